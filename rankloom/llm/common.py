@@ -24,7 +24,7 @@ _R = 0x9E3779B97F4A7C15
 _R_INV = pow(_R, -1, 1 << 64)
 
 #: Python passes work on slices of about so many bytes of text.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import mixing, simhash, urls
+from rankloom.llm import fm_dedup, mixing, simhash, suffix_dedup, urls
 from rankloom.llm.common import read
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.dedup(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("size").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -23,7 +28,12 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark, read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_simhash, op5_urls)}
+def op7_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fm_dedup.dedup(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("size").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_mixing, op4_simhash, op5_urls, op7_fm_dedup)}
 
 ORACLE_SQL = {
     "op3_mixing": r"""
