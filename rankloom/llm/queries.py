@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import fm_dedup, mixing, simhash, suffix_dedup, urls
+from rankloom.llm import audio, fm_dedup, mixing, quality, simhash, suffix_dedup, urls
 from rankloom.llm.common import read
 
 
+def op1_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audio.features(audio.encode(read(spark, sf_dir, "documents")))
+    return rows.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), "feature", "n_frames", F.size("spans").cast("long").alias("n_segments"),
+    )
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix_dedup.dedup(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.col("size").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -28,12 +36,17 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark, read(spark, sf_dir, "pages"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op7_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fm_dedup.dedup(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.col("size").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_mixing, op4_simhash, op5_urls, op7_fm_dedup)}
+QUERIES = {f.__name__: f for f in (op1_audio, op2_suffix_dedup, op3_mixing, op4_simhash, op5_urls, op6_quality, op7_fm_dedup)}
 
 ORACLE_SQL = {
     "op3_mixing": r"""
