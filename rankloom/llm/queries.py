@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import audio, fm_dedup, mixing, quality, simhash, suffix_dedup, urls
+from rankloom.llm import audio, embeddings, fm_dedup, mixing, quality, simhash, suffix_dedup, urls
 from rankloom.llm.common import read
 
 
@@ -46,7 +46,11 @@ def op7_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("size").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_audio, op2_suffix_dedup, op3_mixing, op4_simhash, op5_urls, op6_quality, op7_fm_dedup)}
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_audio, op2_suffix_dedup, op3_mixing, op4_simhash, op5_urls, op6_quality, op7_fm_dedup, op8_embeddings)}
 
 ORACLE_SQL = {
     "op3_mixing": r"""
