@@ -308,7 +308,7 @@ def without_repeats(docs: DataFrame, unit: Unit, least: Callable, carry: tuple[s
     from pyspark.sql.pandas.types import to_arrow_schema
 
     blocks = common.parts(docs)
-    buckets = 2 * blocks
+    buckets = 8 * blocks  # an index of a few MB of stretches fits beside the JVM
 
     @F.pandas_udf("int")
     def block(ids):
