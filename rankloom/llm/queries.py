@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import audio, embeddings, fm_dedup, mixing, quality, simhash, suffix_dedup, urls
+from rankloom.llm import audio, embeddings, fm_dedup, mixing, pieces, quality, simhash, suffix_dedup, urls
 from rankloom.llm.common import read
 
 
@@ -50,7 +50,17 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_audio, op2_suffix_dedup, op3_mixing, op4_simhash, op5_urls, op6_quality, op7_fm_dedup, op8_embeddings)}
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = pieces.encode(spark, read(spark, sf_dir, "documents"))
+    ids = ids.select("doc_id", "text", "ids", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.size("ids").cast("long").alias("n_tokens"))
+    rows = pieces.decode(spark, ids, carry=("text", "ids_sha256", "n_tokens"))
+    return rows.select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_audio, op2_suffix_dedup, op3_mixing, op4_simhash, op5_urls, op6_quality, op7_fm_dedup, op8_embeddings, op9_pieces)}
 
 ORACLE_SQL = {
     "op3_mixing": r"""
