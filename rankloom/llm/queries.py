@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import audio, embeddings, fm_dedup, mixing, pieces, quality, simhash, suffix_dedup, urls
+from rankloom.llm import audio, embeddings, fm_dedup, mixing, pieces, pitman_yor, quality, simhash, suffix_dedup, urls
 from rankloom.llm.common import read
 
 
@@ -60,7 +60,11 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_audio, op2_suffix_dedup, op3_mixing, op4_simhash, op5_urls, op6_quality, op7_fm_dedup, op8_embeddings, op9_pieces)}
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_audio, op2_suffix_dedup, op3_mixing, op4_simhash, op5_urls, op6_quality, op7_fm_dedup, op8_embeddings, op9_pieces, op10_pitman_yor)}
 
 ORACLE_SQL = {
     "op3_mixing": r"""
