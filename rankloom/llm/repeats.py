@@ -80,7 +80,7 @@ def _seen(unit: Unit, buckets: int):
         flag[begins] = many
         flag[again] = 2  # known to repeat: it only passes through
         h, doc, flag = h[keep], doc[keep], flag[keep]
-        bucket = ((h >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
+        bucket = bucket_of(h, buckets)
         ids, local = np.unique(doc, return_inverse=True)
         order = np.lexsort((local, bucket))
         h, local, flag, bucket = h[order], local[order], flag[order], bucket[order]
@@ -134,6 +134,11 @@ def _shared(blocks: int):
     return run
 
 
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    """An anchor's bucket, from the low half of its hash: the high bits of a smallest hash are mostly zeros."""
+    return ((h & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
 def block_of(doc: np.ndarray, blocks: int) -> np.ndarray:
     """A document's block, from its doc_id alone; the same on the executors' columns and in blobs."""
     return (common.mix(doc.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
@@ -192,7 +197,7 @@ def _stretches(unit: Unit, buckets: int):
         least[order] = np.repeat(doc[order][begins], np.diff(np.append(begins, len(order))))
         covered = doc > least
         rows = [(block % buckets, block, 1, None, None, _bytes(row[covered]), _bytes(first[covered]), _bytes((first + width)[covered]), None)]
-        bucket = ((h >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
+        bucket = bucket_of(h, buckets)
         send = np.flatnonzero(~covered)
         send = send[np.argsort(bucket[send], kind="stable")]
         edges = np.searchsorted(bucket[send], np.arange(buckets + 1))
