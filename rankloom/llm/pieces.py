@@ -33,17 +33,20 @@ class Vocabulary:
         self.bytes = [0] * 256
         self.spelled = [b""] * n
         self.known: dict[str, tuple[float, int]] = {}
+        self.scores = np.zeros(n)
         for i in range(n):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 value = int(piece[1:-1], 16)
                 self.bytes[value], self.spelled[i] = i, bytes([value])
+                self.scores[i] = 0.0 if 0x80 <= value < 0xC0 else UNKNOWN  # once a character
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.spelled[i] = piece.replace(SPACE, " ").encode()
                 if sp.get_score(i) > UNUSED:
                     self.known[piece] = (sp.get_score(i), i)
                 elif len(piece) == 1:  # a last resort, but better than bytes
                     self.known[piece] = (UNKNOWN, i)
+                self.scores[i] = self.known.get(piece, (0.0, i))[0]
         self.longest = max(map(len, self.known), default=1)
         #: No used piece goes on after a space: every space begins a piece, and words are independent.
         self.splits = not any(SPACE in p[1:] for p in self.known)
@@ -109,20 +112,45 @@ class Vocabulary:
 
     def encode(self, text: str) -> bytes:
         """Ids (int32 bytes) of a whole text."""
-        if not text:
-            return b""
         if not self.splits:
             marked, real = _marked(text)
             return np.array(self.trace(marked, real, len(marked), 0, 0), "<i4").tobytes()
         memory, word = self.memory, self.word
         return b"".join([memory.get(w) or word(w) for w in [SPACE + u for u in text.split(" ")]])
 
-    def transfer(self, text: str, real: list[bool], size: int) -> np.ndarray:
+    def cuts(self, part: str, size: int) -> tuple[int, int]:
+        """The first and the last space of a chunk, which begin pieces on every path; -1 if there are none."""
+        first = part.find(" ", 0, size) if self.splits else -1
+        return first, part.rfind(" ", 0, size) if first >= 0 else -1
+
+    def chunk_matrix(self, part: str, size: int) -> np.ndarray:
         """Max-plus matrix of a chunk: best score from each entry state to each exit state.
 
-        ``text`` is the chunk's ``size`` characters and what its last piece may reach beyond. A state is how many
-        characters the piece across a boundary takes from the chunk after it; a piece counts where it starts.
+        ``part`` is the chunk's ``size`` characters and what its last piece may reach beyond. A state is how many
+        characters the piece across a boundary takes from the chunk after it; a piece counts where it starts. Paths
+        meet at spaces: only what is before the first and after the last depends on the states.
         """
+        text, real = part.replace(" ", SPACE), [c == " " for c in part]
+        first, last = self.cuts(part, size)
+        if first < 0:
+            return self.transfer(text, real, size)
+        head = self.transfer(text[: first + 1], real[: first + 1], first)[:, 0]
+        tail = self.transfer(text[last:], real[last:], size - last)[0]
+        middle = self.encode(part[first + 1 : last]) if last > first else b""
+        return (head + self.scores[np.frombuffer(middle, "<i4")].sum())[:, None] + tail[None, :]
+
+    def chunk_ids(self, part: str, size: int, start: int, stop: int) -> list[int]:
+        """Ids of the best pieces that start in the chunk, from one entry state to one exit state."""
+        text, real = part.replace(" ", SPACE), [c == " " for c in part]
+        first, last = self.cuts(part, size)
+        if first < 0:
+            return self.trace(text, real, size, start, stop)
+        head = self.trace(text[: first + 1], real[: first + 1], first, start, 0)
+        middle = np.frombuffer(self.encode(part[first + 1 : last]) if last > first else b"", "<i4").tolist()
+        return head + middle + self.trace(text[last:], real[last:], size - last, 0, stop)
+
+    def transfer(self, text: str, real: list[bool], size: int) -> np.ndarray:
+        """The matrix of a stretch, every place and state."""
         k = self.longest
         score = np.full((size + k, k), -np.inf)
         for d in range(min(k, size + k)):
@@ -134,7 +162,7 @@ class Vocabulary:
         return score[size : size + k].T.copy()
 
     def trace(self, text: str, real: list[bool], size: int, start: int, stop: int) -> list[int]:
-        """Ids of the best pieces that start in the chunk, from one entry state to one exit state."""
+        """Ids of the best pieces that start in a stretch, every place looked at."""
         best, back = np.full(size + self.longest, -np.inf).tolist(), [0] * (size + self.longest)
         best[start] = 0.0
         for i in range(start, size):
@@ -228,7 +256,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str = MODEL, chunk: int =
     def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = model.value
         for f in frames:
-            out = [v.transfer(t.replace(" ", SPACE), [c == " " for c in t], n).astype("<f8").tobytes() for t, n in zip(f["part"], f["size"])]
+            out = [v.chunk_matrix(t, n).astype("<f8").tobytes() for t, n in zip(f["part"], f["size"])]
             yield pd.DataFrame({"key": f["key"], "no": f["no"], "matrix": out})
 
     def paths(f: pd.DataFrame) -> pd.DataFrame:
@@ -240,7 +268,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str = MODEL, chunk: int =
     def traced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = model.value
         for f in frames:
-            out = [v.trace(t.replace(" ", SPACE), [c == " " for c in t], n, a, b) for t, n, a, b in zip(f["part"], f["size"], f["start"], f["stop"])]
+            out = [v.chunk_ids(t, n, a, b) for t, n, a, b in zip(f["part"], f["size"], f["start"], f["stop"])]
             yield pd.DataFrame({"key": f["key"], "no": f["no"], "ids": out})
 
     spread = chunks.repartition(common.parts(docs), "key", "no")
