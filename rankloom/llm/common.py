@@ -147,3 +147,18 @@ def spaced(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     out = raw[np.minimum(take, len(raw) - 1)]
     out[at[1:] - 1] = 32
     return out, at
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to a new folder beside the checkpoints, and read back."""
+    import uuid
+
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="rankloom-checkpoint-"))
+        folder = sc.getCheckpointDir()
+    path = f"{folder}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -177,13 +177,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     holds codes, not vectors: the estimate and its bound drop most pairs, and only vectors with a pair left are
     fetched for the exact cosine. Buckets above BLOCK vectors are split into pairs of blocks.
 
-    Null and zero vectors, and those with null or non-finite components, link with nothing. Vectors of different
+    Null and zero vectors, those with null or non-finite components, and those without vec_id link with nothing. Vectors of different
     lengths do not link. Rows that repeat a vec_id and vector count as vectors of their own; an empty table gives an
     empty result.
     """
     rows = vectors.select("vec_id", "embedding")
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    good = F.coalesce((F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & (norm > 0) & (norm < float("inf")), F.lit(False))
+    good = F.coalesce(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & (norm > 0) & (norm < float("inf")), F.lit(False))
     folded = common.cut(rows.filter(good).groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight")))
     n = folded.count()
     bits, tables = plan(n, threshold)
@@ -206,4 +206,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     )
     linked = rows.filter(good).join(per, "embedding").select("vec_id", "n_links", "component_id")
     alone = rows.filter(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -15,7 +15,7 @@ from rankloom.llm import common
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Texts of more characters are split into chunks of so many.
-CHUNK = 1 << 14
+CHUNK = 1 << 16
 #: Words whose pieces a task remembers.
 REMEMBERED = 1 << 18
 #: Score of a character that no piece spells, and the score from which a piece is never used.

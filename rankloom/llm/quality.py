@@ -206,24 +206,25 @@ def fit(train: DataFrame) -> Model:
 def apply(stats: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for a in range(0, len(f), 4096):
-                part = f.iloc[a : a + 4096]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "score": model.score(_matrix(part))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, STATISTICS)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
 
-    return stats.mapInPandas(run, "doc_id long, score double")
+    return stats.mapInArrow(run, "doc_id long, score double")
 
 
 def held_out(doc_id):
-    return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 3 == 1
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score): the chance that a document's quality label is 1.
 
     Learns from labelled rows that are not held out (crc32 of doc_id mod 3 is not 1); of labels that repeat a doc_id the
-    mean counts, null labels count for nothing. Null and empty texts are scored as empty. Inputs of the score are
+    mean counts, null labels count for nothing. A null doc_id has no label and is not held out. Null and empty texts are scored as empty. Inputs of the score are
     statistics of the text alone. An empty table gives an empty result.
     """
     stats = common.cut(describe(docs))

@@ -27,6 +27,9 @@ from rankloom.llm import anchors, common
 #: Anchors that a task gathers before it sends them, each distinct one once.
 FLUSH = 1 << 21
 
+#: Stands for a null doc_id inside.
+_LAST = (1 << 63) - 1
+
 _SEEN = "bucket int, low binary, high binary, doc binary, many binary, ids binary"
 _SHARED = "block int, hashes binary, docs binary"
 _CUT = "bucket int, block int, kind int, data binary, sizes binary, row binary, first binary, anchor binary, ids binary"
@@ -307,9 +310,13 @@ def without_repeats(docs: DataFrame, unit: Unit, least: Callable, carry: tuple[s
 
     ``size`` counts symbols; ``kept`` holds the remaining bytes, or words joined by one space; ``spans`` the maximal
     removed runs, in symbols. ``least(symbols, offsets, anchors, docs, places, windows, length)`` gives the smallest
-    document of each window of a bucket. Null texts are empty; rows of one doc_id do not count against each other;
-    equal rows give equal rows; an empty table gives an empty result. ``carry`` names columns to pass through.
+    document of each window of a bucket. Null texts are empty; a null doc_id comes after all others; rows of one doc_id
+    do not count against each other;
+    equal rows give equal rows; an empty table gives an empty result. ``carry`` names columns to pass through
+    (none of the result's names); all other columns are left out.
     """
+    if clash := {"doc_id", "size", "n_removed", "n_spans", "kept", "spans", "block", "text"} & {*carry}:
+        raise ValueError(f"carried columns clash with the result's: {sorted(clash)}")
     from pyspark.sql.pandas.types import to_arrow_schema
 
     blocks = common.parts(docs)
@@ -319,7 +326,7 @@ def without_repeats(docs: DataFrame, unit: Unit, least: Callable, carry: tuple[s
     def block(ids):
         return _as_series(block_of(ids.to_numpy(np.int64), blocks))
 
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *carry)
+    rows = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
     texts = rows.withColumn("block", block("doc_id"))
     anchored = rows.select("doc_id", "text").mapInArrow(_seen(unit, buckets), _SEEN)
     shared = anchored.groupBy("bucket").applyInArrow(_shared(blocks), _SHARED)
@@ -328,7 +335,8 @@ def without_repeats(docs: DataFrame, unit: Unit, least: Callable, carry: tuple[s
     kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
     result = f"doc_id long{kinds}, size long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>"
     schema = to_arrow_schema(docs.sparkSession.createDataFrame([], result).schema)
-    return texts.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_kept(unit, list(carry), schema), result)
+    kept = texts.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_kept(unit, list(carry), schema), result)
+    return kept.withColumn("doc_id", F.nullif("doc_id", F.lit(_LAST)))
 
 
 def _as_series(values: np.ndarray):

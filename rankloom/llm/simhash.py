@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 from rankloom.llm import common
 from rankloom.llm.components import components
 
-#: Half of a fingerprint is a segment; fingerprints within 3 bits differ in at most one bit of one of the two.
-SEGMENT_BITS, RADIUS = 32, 1
-
-
 def _fingerprint(text: bytes, starts: list[int], ends: list[int]) -> int:
     ones, n, of = np.zeros(64, np.int64), len(starts), xxhash.xxh64_intdigest
     for k in range(0, n, 1 << 16):
@@ -55,30 +51,32 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_fingerprints(width), "doc_id long, fp long")
 
 
+def _ball(no: int, value, flips):
+    return F.transform(flips, lambda x: F.struct(F.lit(no).alias("no"), value.bitwiseXOR(x).alias("value")))
+
+
 def links(prints: DataFrame, distance: int = 3) -> DataFrame:
-    """Pairs (a, b), a < b, of the distinct values of ``prints(fp)`` that differ in 1 to ``distance`` (at most 3) bits.
+    """Pairs (a, b), a < b, of the distinct values of ``prints(fp)`` that differ in 1 to ``distance`` bits.
 
-    Every fingerprint stands in the table under both of its segments. It also looks up all values within one bit of
-    each of its segments (33 a segment) in that table, and the complete distance of what it finds is verified. A
-    bucket's size depends on 32 exact bits, so it does not grow with the input as a short band's would.
+    The 64 bits are split into the fewest segments of which one must differ in at most one bit: two for distances up
+    to 3. Every fingerprint stands in the table under each of its segments. It also looks up all values within one bit
+    of each of its segments in that table, and the complete distance of what it finds is verified. With two segments
+    a bucket depends on 32 exact bits, so that it does not grow with the input as a short band's would.
     """
-    if not 0 <= distance <= 2 * RADIUS + 1:
-        raise ValueError("two segments with balls of one bit find distances up to 3")
+    count = max(2, (distance + 2) // 2)
+    widths = [64 // count + (i < 64 % count) for i in range(count)]
     fps = prints.select("fp").distinct()
-    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    high = F.shiftrightunsigned("fp", SEGMENT_BITS)
-    # key: segment number in bit 32, its value below
-    second = high.bitwiseOR(F.lit(1 << SEGMENT_BITS))
-    table = fps.select("fp", F.explode(F.array(low, second)).alias("key"))
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(SEGMENT_BITS)])
-    probes = fps.select(
-        F.col("fp").alias("a"),
-        F.explode(F.concat(
-            F.transform(flips, lambda x: x.bitwiseXOR(low)), F.transform(flips, lambda x: x.bitwiseXOR(second))
-        )).alias("key"),
-    )
+    segments, balls, at = [], [], 0
+    for i, width in enumerate(widths):
+        value = F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
+        segments.append((value, F.lit(i)))
+        flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(width)])
+        balls.append(_ball(i, value, flips))
+        at += width
+    table = fps.select("fp", F.inline(F.array(*[F.struct(n.alias("no"), v.alias("value")) for v, n in segments])))
+    probes = fps.select(F.col("fp").alias("a"), F.inline(F.concat(*balls)))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= distance
-    return probes.join(table, "key").filter((F.col("a") < F.col("fp")) & near).select("a", F.col("fp").alias("b"))
+    return probes.join(table, ["no", "value"]).filter((F.col("a") < F.col("fp")) & near).select("a", F.col("fp").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
@@ -86,7 +84,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
 
     Documents of one fingerprint fold into one row before any pairing, so groups of exact copies cost one row. Texts
     without words all have fingerprint 0 and link like any others. An empty table gives an empty result; rows that
-    repeat a doc_id are kept, and share a component only if their fingerprints do.
+    repeat a doc_id are kept, and share a component only if their fingerprints do. A null doc_id is never the smallest;
+    a component of nothing else is null.
     """
     of = common.cut(fingerprints(docs, width))
     prints = of.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))

@@ -1,0 +1,389 @@
+import collections
+import hashlib
+import math
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from rankloom.llm import audio, components, embeddings, fm_dedup, mixing, pieces, pitman_yor, quality, simhash, suffix_dedup, urls
+from tests.llm.conftest import LOW, WORD
+
+BIG = 1 << 62
+
+
+def reach(links, nodes):
+    low = {n: n for n in nodes}
+    change = True
+    while change:
+        change = False
+        for a, b in links:
+            m = min(low[a], low[b])
+            if low[a] != m or low[b] != m:
+                low[a] = low[b] = m
+                change = True
+    return low
+
+
+# ---- 1: media columns
+
+
+def test_audio_round_trip(docs, texts):
+    rows = audio.features(audio.encode(docs)).collect()
+    assert len(rows) == len(texts)
+    by_text = collections.defaultdict(set)
+    want = collections.Counter()
+    for _, t in texts:
+        b = (t or "").encode()
+        p = b.ljust(max(1, -(-len(b) // 192)) * 192, b" ")
+        want[len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])] += 1
+    got = collections.Counter((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows)
+    assert got == want
+    for r in rows:
+        by_text[r.payload_sha256].add((r.feature, bytes(r.media)))
+        table = audio.from_ipc(bytes(r.tensors))
+        assert table.schema.field("tensor").type.shape == list(audio.PATCH)
+        assert audio.from_wav(bytes(r.media)) is not None and r.n_frames == r.payload_bytes // 192
+    assert all(len(v) == 1 for v in by_text.values())
+
+
+def test_audio_blocks_agree_with_one_pass(monkeypatch):
+    data = np.random.default_rng(1).integers(0, 256, 192 * 40, dtype=np.uint8).tobytes()
+    mel, energy = audio.log_mel(data)
+    monkeypatch.setattr(audio, "STEP", 7)
+    again, energy2 = audio.log_mel(data)
+    assert np.allclose(mel, again, atol=1e-4) and np.allclose(energy, energy2, atol=1e-6)
+
+
+def test_resampler_is_a_polyphase_filter():
+    x = np.random.default_rng(2).normal(size=96)
+    up = np.zeros(96 * 3)
+    up[::3] = x
+    taps = np.zeros(24)
+    for p in range(3):
+        taps[p::3] = audio.FILTERS[p][::-1]
+    assert np.allclose(np.convolve(up, taps)[: 96 * 3 : 4], audio.resample(x))
+
+
+def test_hysteresis():
+    e = np.array([0, 0, 1, 0, 0, -1, 0, 1, 0, -1, 0.0])
+    assert audio.segments(e) == [(2, 5), (7, 9)]
+
+
+# ---- 2 and 7: repeated passages
+
+
+def brute_bytes(rows, length):
+    first = {}
+    last = BIG
+    for i, t in rows:
+        b = (t or "").encode()
+        for s in range(len(b) - length + 1):
+            w = b[s : s + length]
+            first[w] = min(first.get(w, last), last if i is None else i)
+    out = collections.Counter()
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - length + 1):
+            if first[b[s : s + length]] < (last if i is None else i):
+                gone[s : s + length] = b"\1" * length
+        spans = sum(1 for j in range(len(gone)) if gone[j] and (not j or not gone[j - 1]))
+        out[i, len(b), sum(gone), spans, bytes(x for x, y in zip(b, gone) if not y)] += 1
+    return out
+
+
+def brute_words(rows, length):
+    split = [(i, WORD.findall(t or "")) for i, t in rows]
+    first = {}
+    for i, w in split:
+        for s in range(len(w) - length + 1):
+            k = tuple(w[s : s + length])
+            first[k] = min(first.get(k, BIG), BIG if i is None else i)
+    out = collections.Counter()
+    for i, w in split:
+        gone = [0] * len(w)
+        for s in range(len(w) - length + 1):
+            if first[tuple(w[s : s + length])] < (BIG if i is None else i):
+                gone[s : s + length] = [1] * length
+        out[i, len(w), sum(gone), " ".join(x for x, y in zip(w, gone) if not y).encode()] += 1
+    return out
+
+
+@pytest.mark.parametrize("length", [50, 31])
+def test_suffix_dedup(docs, texts, length):
+    rows = suffix_dedup.dedup(docs, length, carry=("source", "key")).collect()
+    assert collections.Counter((r.doc_id, r.size, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows) == brute_bytes(texts, length)
+    assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in rows)
+
+
+@pytest.mark.parametrize("length", [13, 4])
+def test_fm_dedup(docs, texts, length):
+    rows = fm_dedup.dedup(docs, length).collect()
+    assert collections.Counter((r.doc_id, r.size, r.n_removed, bytes(r.kept)) for r in rows) == brute_words(texts, length)
+
+
+def test_suffix_blocks_are_in_order(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 64)
+    r = np.random.default_rng(3)
+    parts = [r.integers(97, 99, n).astype(np.uint8) for n in r.integers(50, 90, 40)]
+    parts += parts[:10]
+    raw, ends = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+    windows = np.diff(ends) - 50 + 1
+    places = np.concatenate([np.arange(a, a + n) for a, n in zip(ends[:-1], windows)])
+    order, same = zip(*suffix_dedup.suffix_blocks(raw, ends, r.integers(0, 20, len(parts)), places, 50))
+    order, same = np.concatenate(order), np.concatenate(same)
+    text = [raw[p : p + 50].tobytes() for p in order]
+    assert text == sorted(text) and same.tolist() == [False, *[a == b for a, b in zip(text, text[1:])]]
+
+
+def test_fm_index_counts():
+    r = np.random.default_rng(4)
+    sizes = r.integers(4, 12, 30)
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    symbols = r.integers(0, 3, offsets[-1]).astype(np.uint64)
+    doc = r.permutation(30).astype(np.int64)
+    windows = sizes - 4 + 1
+    places = np.concatenate([np.arange(a, a + n) for a, n in zip(offsets[:-1], windows)])
+    got = fm_dedup.least_document(symbols, offsets, None, doc, places, windows, 4)
+    owner = np.repeat(doc, windows)
+    keys = [tuple(symbols[p : p + 4]) for p in places]
+    want = {}
+    for k, d in zip(keys, owner.tolist()):
+        want[k] = min(want.get(k, d), d)
+    assert got.tolist() == [want[k] for k in keys]
+
+
+# ---- 3: mixing
+
+
+def test_mixing(docs, texts):
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == len(texts) and sorted(map(tuple, mixing.mix(docs.repartition(5)).collect()), key=repr) == sorted(map(tuple, rows), key=repr)
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r.source] += r.size
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    target, open_ = {}, set(order)
+    budget = 1.5 * sum(sizes.values())
+    while True:
+        level = (budget - sum(target.values())) / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 2 * sizes[s]}
+        if not full:
+            break
+        target |= {s: 2.0 * sizes[s] for s in full}
+        open_ -= full
+    target |= {s: level * weight[s] for s in open_}
+    taken = collections.Counter()
+    for r in rows:
+        assert r.source_size == sizes[r.source] and abs(r.target - target[r.source]) < 1e-6 and r.copies in (0, 1, 2)
+        taken[r.source] += r.copies * r.size
+    largest = max(r.size for r in rows)
+    assert all(abs(taken[s] - target[s]) <= 2 * largest for s in sizes)
+
+
+# ---- 4: SimHash
+
+
+def brute_print(text, width=3):
+    w = WORD.findall((text or "").translate(LOW))
+    if not w:
+        return 0
+    s = [" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))]
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(docs, texts):
+    rows = simhash.near_duplicates(docs).collect()
+    prints = [brute_print(t) for _, t in texts]
+    assert collections.Counter((r.doc_id, r.fp % (1 << 64)) for r in rows) == collections.Counter(zip([i for i, _ in texts], prints))
+    low = reach([(a, b) for a in set(prints) for b in set(prints) if (a ^ b).bit_count() <= 3], set(prints))
+    first = {}
+    for (i, _), p in zip(texts, prints):
+        first[low[p]] = min(first.get(low[p], BIG), BIG if i is None else i)
+    for r in rows:
+        assert r.component_id == first[low[r.fp % (1 << 64)]]
+
+
+@pytest.mark.parametrize("distance", [1, 3, 5])
+def test_multi_index_links(spark, distance):
+    r = np.random.default_rng(5)
+    base = r.integers(-(1 << 63), 1 << 63 - 1, 20)
+    fps = [int(b) for b in base]
+    for b in base:
+        for n in range(1, 8):
+            flips = r.choice(64, n, replace=False)
+            x = int(b) & ((1 << 64) - 1)
+            for f in flips:
+                x ^= 1 << int(f)
+            fps.append(x - (1 << 64) if x >> 63 else x)
+    got = {tuple(x) for x in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), distance).collect()}
+    u = sorted(set(fps))
+    assert got == {(a, b) for a in u for b in u if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= distance}
+
+
+def test_components(spark):
+    links = [(1, 2), (2, 3), (5, 4), (9, 9), (7, 8), (8, 7), (3, 10), (None, 4)] + [(100 + i, 101 + i) for i in range(40)]
+    got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
+    want = reach([x for x in links if None not in x and x[0] != x[1]], {n for x in links if None not in x and x[0] != x[1] for n in x})
+    assert got == want
+
+
+# ---- 5: url filters
+
+
+def test_urls(spark):
+    urls_ = [None, "", "nothing", "http://www.EXAMPLE.com/en/x?y", "http://a.www.example.com/en/", "https://example.com/en/#f", "https://example.com/english", "http://net/es/", "http://x.net/fr/a", "http://xnet/fr/", "http://b.com", "http://b.com?x", "ftp://q.org/a", "://com/", "http://www.example.com/en/x?y"]
+    pages = spark.createDataFrame([(i, u, "h", "c") for i, u in enumerate(urls_)] + [(3, urls_[3], None, None)], "page_id long, url string, host string, rule string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(spark, pages).collect()}
+
+    def brute(u):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        host, path = rest[:cut].translate(LOW), rest[cut:]
+        path = path[: min([path.find(c) for c in "?#" if c in path] or [len(path)])]
+        fits = [(h + p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule = max(fits, key=lambda x: len(x[0])) if fits else (None, "allow")
+        return host, path, *rule
+
+    assert got == {i: brute(u) for i, u in enumerate(urls_)}
+    assert urls.judge(spark, pages.limit(0)).count() == 0
+    assert {r.verdict for r in urls.judge(spark, pages, rules=()).collect()} == {"allow"}
+
+
+def test_cascade_is_exact(spark):
+    listed, rest = [f"l{i}" for i in range(3000)], [f"r{i}" for i in range(30000)]
+    key = lambda xs: spark.createDataFrame([(x,) for x in xs], "k string").select(F.xxhash64("k").alias("key"))
+    levels = urls.cascade(key(listed), key(listed + rest))
+    assert len(levels) > 1
+    as_keys = lambda xs: np.array([r[0] for r in key(xs).collect()], np.int64).view(np.uint64)
+    assert urls.holds(levels, as_keys(listed)).all() and not urls.holds(levels, as_keys(rest)).any()
+
+
+# ---- 6: quality
+
+
+def test_quality_learns(spark):
+    base = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    rows = quality.classify(docs, labels).join(labels, "doc_id").filter("held_out")
+    right = rows.filter("(score >= 0.5) = (quality = 1)").count()
+    assert right >= 0.95 * rows.count()
+
+
+def test_quality_edges(spark, docs, texts, no_docs):
+    labels = spark.createDataFrame([(4, None, 0), (5, 1, 0), (5, 1, 0), (81, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = quality.classify(docs, labels).collect()
+    assert len(rows) == len(texts) and all(0 <= r.score <= 1 for r in rows)
+    assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
+    assert quality.classify(no_docs, labels).count() == 0
+
+
+def test_isotonic():
+    assert quality.isotonic(np.array([1.0, 1, 1, 1]), np.array([1.0, 0, 1, 1])).tolist() == [0.5, 0.5, 1, 1]
+
+
+# ---- 8: embeddings
+
+
+def test_embeddings(spark):
+    r = np.random.default_rng(6)
+    base = r.normal(size=(12, 64))
+    rows = []
+    for c in range(12):
+        for k in range(25):
+            rows.append(base[c] + r.normal(size=64) * 0.03 * (k % 12))
+    rows += [rows[0], rows[0] * 2.0, rows[30]]
+    vectors = [(i, [float(np.float32(x)) for x in v], 1, "x") for i, v in enumerate(rows)]
+    odd = [(900, None, 1, "x"), (901, [0.0] * 64, 1, "x"), (902, [float("nan")] * 64, 1, "x"), (903, [1.0, None], 1, "x"), (904, [float("inf")] * 64, 1, "x"), (905, [1.0, 2.0], 1, "x"), (906, [], 1, "x"), (None, [1.0, 2.0], 1, "x")]
+    frame = spark.createDataFrame(vectors + odd, "vec_id long, embedding array<float>, key int, n_links string")
+    got = embeddings.near_duplicates(frame).collect()
+    x = np.array([v[1] for v in vectors], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = x @ x.T >= 0.95
+    np.fill_diagonal(link, False)
+    found = {g.vec_id: g for g in got if g.vec_id is not None and g.vec_id < 900}
+    assert sum(g.n_links for g in found.values()) >= 0.9 * link.sum()
+    assert all(found[i].n_links <= link[i].sum() for i in found)
+    low = reach(list(zip(*map(list, np.nonzero(link)))), range(len(x)))
+    assert np.mean([found[i].component_id == low[i] for i in found]) >= 0.9
+    assert all(g.n_links == 0 and g.component_id == g.vec_id for g in got if g.vec_id is None or g.vec_id >= 900)
+    assert len(got) == len(vectors) + len(odd) and embeddings.near_duplicates(frame.limit(0)).count() == 0
+
+
+# ---- 9: pieces
+
+
+def test_words_have_the_best_score():
+    v = pieces.Vocabulary()
+    for w in ["▁the", "▁Hello", "▁naïve", "▁a▁b", "▁xqzzy", "▁日本語", "▁"]:
+        def best(at):
+            if at == len(w):
+                return 0.0
+            return max(s + best(at + n) for n, s in v.options(w, at, at == 0))
+
+        ids = np.frombuffer(v.word(w), "<i4")
+        assert abs(v.scores[ids].sum() - best(0)) < 1e-6, w
+
+
+def test_round_trip_and_chunks(spark, docs, texts):
+    rows = pieces.encode(spark, docs, chunk=50, carry=("source",))
+    back = pieces.decode(spark, rows, carry=("text",)).collect()
+    assert collections.Counter((r.doc_id, r.decoded) for r in back) == collections.Counter((i, t or "") for i, t in texts)
+    whole = {r.text: r.ids for r in pieces.encode(spark, docs, chunk=1 << 20).collect()}
+    v = pieces.Vocabulary()
+    for r in rows.collect():
+        assert abs(v.scores[r.ids].sum() - v.scores[whole[r.text]].sum()) < 1e-3
+
+
+def test_scan_without_spaces():
+    v = pieces.Vocabulary()
+    text, size = " " + "internationalisation" * 9, 23
+    chunks = [(text[i : i + size + v.longest - 1], min(size, len(text) - i)) for i in range(0, len(text), size)]
+    at = pieces.states([v.chunk_matrix(*c) for c in chunks])
+    ids = [x for c, a, b in zip(chunks, at, [*at[1:], 0]) for x in v.chunk_ids(*c, a, b)]
+    assert v.scores[ids].sum() == v.scores[np.frombuffer(v.encode(text[1:]), "<i4")].sum()
+    assert b"".join(v.spelled[i] for i in ids).decode() == text
+
+
+# ---- 10: language model
+
+
+def test_pitman_yor_base(docs, texts):
+    rows = pitman_yor.score(docs).collect()
+    tokens = [(i, [*WORD.findall((t or "").translate(LOW)), None]) for i, t in texts]
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    count = collections.Counter(w for i, ws in tokens if not held(i) for w in ws)
+    n, types = sum(count.values()), len(count)
+    want = collections.Counter((i, held(i), len(ws), sum(count[w] > 0 for w in ws), n, round(sum(math.log10((count[w] + 1) / (n + types + 1)) for w in ws), 6)) for i, ws in tokens)
+    assert collections.Counter((*r[:5], round(r.base_score, 6)) for r in rows) == want
+    assert all(r.score < 0 and math.isfinite(r.score) for r in rows)
+
+
+def test_pitman_yor_beats_its_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    total = pitman_yor.score(docs).filter("held_out").agg(F.sum("base_score"), F.sum("score")).first()
+    assert total[1] > total[0]
+
+
+def test_seating_follows_its_distribution():
+    keys = np.arange(40000, dtype=np.uint64)
+    d, new = pitman_yor.SPELL[0], 1.7
+    t = pitman_yor.seat(np.full(40000, 3), np.full(40000, new), d, keys, 1)
+    # three customers: one table, two tables (three ways), three tables
+    weight = np.array([new * (1 - d) * (2 - d), 3 * new**2 * (1 - d), new**3])
+    assert np.allclose(np.bincount(t, minlength=4)[1:] / 40000, weight / weight.sum(), atol=0.01)
+
+
+# ---- all: empty tables
+
+
+def test_empty_tables(spark, no_docs):
+    assert audio.features(audio.encode(no_docs)).count() == 0
+    assert suffix_dedup.dedup(no_docs).count() == 0 and fm_dedup.dedup(no_docs).count() == 0
+    assert mixing.mix(no_docs).count() == 0 and simhash.near_duplicates(no_docs).count() == 0
+    assert pieces.decode(spark, pieces.encode(spark, no_docs)).count() == 0 and pitman_yor.score(no_docs).count() == 0
