@@ -73,7 +73,7 @@ def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("position").cast("long").alias("position"), (F.col("s") / 10).alias("score"),
         *[(F.col("s") >= x).cast("int").alias(f"c{i + 1}") for i, x in enumerate((20, 35, 50, 65, 80))],
         (F.col("r") % 17 != 0).alias("valid"), F.element_at(F.array(F.lit("random"), F.lit("stratified"), F.lit("adaptive")), (F.col("r") % 3 + 1).cast("int")).alias("phase"),
-        F.concat(F.lit("cat"), (F.col("r") % 5).cast("string")).alias("category"), F.concat(F.lit("j"), (F.col("r") % 2).cast("string")).alias("judge"),
+        F.concat(F.lit("cat"), (F.col("r") % 5).cast("string")).alias("category"), F.concat(F.lit("j"), (F.floor(F.col("r") / 50) % 2).cast("string")).alias("judge"),
     )
 
 
@@ -106,7 +106,7 @@ CTE = {
     "placements": """placements AS (
   SELECT r AS record_id, (r % 50)::VARCHAR AS query_id, 'd' || d AS doc_id, row_number() OVER (PARTITION BY r ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS position,
     s / 10 AS score, (s >= 20)::INT AS c1, (s >= 35)::INT AS c2, (s >= 50)::INT AS c3, (s >= 65)::INT AS c4, (s >= 80)::INT AS c5,
-    r % 17 <> 0 AS valid, ['random', 'stratified', 'adaptive'][1 + r % 3] AS phase, 'cat' || (r % 5) AS category, 'j' || (r % 2) AS judge
+    r % 17 <> 0 AS valid, ['random', 'stratified', 'adaptive'][1 + r % 3] AS phase, 'cat' || (r % 5) AS category, 'j' || (r // 50 % 2) AS judge
   FROM (SELECT l_orderkey AS r, l_partkey % 40 AS d, (l_quantity + 3 * (l_partkey % 40 % 20))::DOUBLE AS s, *,
       row_number() OVER (PARTITION BY l_orderkey, l_partkey % 40 ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS n FROM lineitem)
   WHERE n = 1)""",
