@@ -2,8 +2,8 @@
 
 The corpus is dealt into blocks of documents by a hash of doc_id. Four steps, none of which gathers a hot passage:
 
-1. Every block names its anchors (``anchors``); an anchor goes to its bucket once a scan task and flush, whatever
-   the number of documents that hold it, and a bucket tells which anchors stand in two documents or more.
+1. Every scan task names its documents' anchors (``anchors``); an anchor goes to its bucket once a flush and block,
+   whatever the number of documents that hold it, and a bucket tells the blocks which anchors may repeat.
 2. The blocks cut the stretches around such anchors. Of equal stretches in a block only those of its smallest doc_id
    go on: the others are covered already.
 3. A bucket indexes its stretches (a suffix array or an FM-index, given as ``least``) and finds for each of their
@@ -30,8 +30,10 @@ FLUSH = 1 << 21
 #: Stands for a null doc_id inside.
 _LAST = (1 << 63) - 1
 
-_SEEN = "bucket int, low binary, high binary, doc binary, many binary, ids binary"
-_SHARED = "block int, hashes binary, docs binary"
+_SEEN = "bucket int, low binary, high binary, blocks binary, many binary"
+_SHARED = "block int, hashes binary"
+#: Bits of an anchor's hash that are kept: two anchors that agree in them by chance cost a look, no wrong result.
+_KEPT_BITS = np.uint64((1 << 48) - 1)
 _CUT = "bucket int, block int, kind int, data binary, sizes binary, row binary, first binary, anchor binary, ids binary"
 _SPANS = "block int, row binary, start binary, end binary"
 
@@ -51,11 +53,17 @@ class Unit:
 
 
 def _bytes(a: np.ndarray) -> bytes:
-    return np.ascontiguousarray(a).tobytes()
+    """An array in a blob: its length, and its bytes by zstd."""
+    data = np.ascontiguousarray(a).tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _array(blob: bytes, kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True), kind)
 
 
 def _cat(column, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in column.to_pylist() if x), kind)
+    return np.concatenate([np.zeros(0, kind), *(_array(x, kind) for x in column.to_pylist() if x)])
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -65,34 +73,26 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
-def _seen(unit: Unit, buckets: int):
-    """Step 1, in the scan: anchors by bucket, each once with the first document that has it."""
+def _seen(unit: Unit, buckets: int, blocks: int):
+    """Step 1, in the scan: anchors by bucket, each once with every block that has it."""
 
     def flush(found: list) -> pa.RecordBatch:
         h, doc = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        begins = np.flatnonzero(new)
+        begins = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         many = np.maximum.reduceat(doc, begins) != doc[begins]  # in two documents here
-        again = ~new
-        again[1:] &= (doc[1:] != doc[:-1]) | new[1:]
-        keep = new | again
-        flag = np.zeros(len(h), np.uint8)
-        flag[begins] = many
-        flag[again] = 2  # known to repeat: it only passes through
-        h, doc, flag = h[keep], doc[keep], flag[keep]
-        bucket = bucket_of(h, buckets)
-        ids, local = np.unique(doc, return_inverse=True)
-        order = np.lexsort((local, bucket))
-        h, local, flag, bucket = h[order], local[order], flag[order], bucket[order]
+        flag = np.repeat(many, np.diff(np.append(begins, len(h)))).astype(np.uint8)
+        bucket, block = bucket_of(h, buckets), block_of(doc, blocks)
+        order = np.lexsort((h, block, bucket))
+        h, flag, bucket, block = h[order], flag[order], bucket[order], block[order]
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (block[1:] != block[:-1])))
+        h, flag, bucket, block = h[new], flag[new], bucket[new], block[new]
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
         rows = []
         for b in np.flatnonzero(np.diff(edges)).tolist():
             s = slice(edges[b], edges[b + 1])
-            mine, at = np.unique(local[s], return_inverse=True)
-            rows.append((b, _bytes(h[s].astype(np.uint32)), _bytes((h[s] >> np.uint64(32)).astype(np.uint32)), _bytes(at.astype(np.uint32)), _bytes(flag[s]), _bytes(ids[mine])))
+            rows.append((b, _bytes(h[s].astype(np.uint32)), _bytes((h[s] >> np.uint64(32)).astype(np.uint16)), _bytes(block[s].astype(np.uint32)), _bytes(flag[s])))
         return _batch(rows, _SEEN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +103,7 @@ def _seen(unit: Unit, buckets: int):
                 symbols, at, _, _ = unit.symbols(raw, offsets)
                 h, _, _, _, _, row = anchors.runs(symbols, at, unit.length, unit.gram)
                 if len(h):
-                    found.append((h, docs[first + row]))
+                    found.append((h & _KEPT_BITS, docs[first + row]))
                     n += len(h)
             if n >= FLUSH:
                 yield flush(found)
@@ -114,27 +114,23 @@ def _seen(unit: Unit, buckets: int):
     return run
 
 
-def _shared(blocks: int):
-    """Step 1, in a bucket: (block, anchors, documents) of the anchors that two documents have."""
-
-    def run(table: pa.Table) -> pa.Table:
-        low, high = _cat(table["low"], np.uint32), _cat(table["high"], np.uint32)
-        h = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
-        flag = _cat(table["many"], np.uint8)
-        doc = np.concatenate([np.frombuffer(i, np.int64)[np.frombuffer(d, np.uint32)] for i, d in zip(table["ids"].to_pylist(), table["doc"].to_pylist())])
-        order = np.argsort(h, kind="stable")
-        h, flag, doc = h[order], flag[order], doc[order]
-        begins = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        two = (np.maximum.reduceat(doc, begins) != np.minimum.reduceat(doc, begins)) | (np.maximum.reduceat(flag, begins) > 0)
-        keep = np.repeat(two, np.diff(np.append(begins, len(h))))
-        h, doc = h[keep], doc[keep]
-        block = block_of(doc, blocks)
-        order = np.argsort(block, kind="stable")
-        h, doc, block = h[order], doc[order], block[order]
-        edges = np.searchsorted(block, np.arange(blocks + 1))
-        return pa.Table.from_batches([_batch([(b, _bytes(h[edges[b] : edges[b + 1]]), _bytes(doc[edges[b] : edges[b + 1]])) for b in np.flatnonzero(np.diff(edges)).tolist()], _SHARED)])
-
-    return run
+def _shared(table: pa.Table) -> pa.Table:
+    """Step 1, in a bucket: (block, anchors) of the anchors seen in two documents of a flush, or in two flushes."""
+    low, high = _cat(table["low"], np.uint32), _cat(table["high"], np.uint16)
+    h = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+    flag, block = _cat(table["many"], np.uint8), _cat(table["blocks"], np.uint32)
+    order = np.lexsort((block, h))
+    h, flag, block = h[order], flag[order], block[order]
+    begins = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    sizes = np.diff(np.append(begins, len(h)))
+    keep = np.repeat((sizes > 1) | (np.maximum.reduceat(flag, begins) > 0), sizes)
+    keep[1:] &= (h[1:] != h[:-1]) | (block[1:] != block[:-1])
+    h, block = h[keep], block[keep]
+    order = np.lexsort((h, block))
+    h, block = h[order], block[order]
+    edges = np.append(np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))), len(block)) if len(block) else np.zeros(1, np.int64)
+    rows = [(int(block[a]), _bytes(h[a:b])) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+    return pa.Table.from_batches([_batch(rows, _SHARED)])
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -165,18 +161,14 @@ def _stretches(unit: Unit, buckets: int):
             return pa.Table.from_batches([_batch([], _CUT)])
         block = docs["block"][0].as_py()
         have = np.unique(_cat(shared["hashes"], np.uint64))
-        only = np.unique(_cat(shared["docs"], np.int64))
         docs, base = _ordered(docs), 0
         out = []
         for batch, ids in _texts(docs):
             for first_row, _, raw, offsets in common.slices(batch):
-                some = np.isin(ids[first_row : first_row + len(offsets) - 1], only)
-                if not some.any():
-                    continue
                 symbols, at, starts, ends = unit.symbols(raw, offsets)
                 h, where, first, last, whole, row = anchors.runs(symbols, at, unit.length, unit.gram)
-                spot = np.minimum(np.searchsorted(have, h), len(have) - 1)
-                keep = (have[spot] == h) & some[row]
+                spot = np.minimum(np.searchsorted(have, h & _KEPT_BITS), len(have) - 1)
+                keep = have[spot] == h & _KEPT_BITS
                 h, where, first, last, whole, row = (x[keep] for x in (h, where, first, last, whole, row))
                 stop = last + unit.length
                 if unit.words:
@@ -199,7 +191,7 @@ def _stretches(unit: Unit, buckets: int):
         least = np.empty(len(doc), np.int64)
         least[order] = np.repeat(doc[order][begins], np.diff(np.append(begins, len(order))))
         covered = doc > least
-        rows = [(block % buckets, block, 1, None, None, _bytes(row[covered]), _bytes(first[covered]), _bytes((first + width)[covered]), None)]
+        rows = [(block % buckets, block, 1, None, None, _bytes(row[covered].astype(np.uint32)), _bytes(first[covered].astype(np.uint32)), _bytes((first + width)[covered].astype(np.uint32)), None)]
         bucket = bucket_of(h, buckets)
         send = np.flatnonzero(~covered)
         send = send[np.argsort(bucket[send], kind="stable")]
@@ -209,7 +201,7 @@ def _stretches(unit: Unit, buckets: int):
             size = sizes[s]
             total = np.concatenate(([0], np.cumsum(size)))
             bits = data[np.repeat(starts[s] - total[:-1], size) + np.arange(total[-1])]
-            rows.append((b, block, 0, _bytes(bits), _bytes(size.astype(np.uint32)), _bytes(row[s]), _bytes(first[s]), _bytes(anchor[s].astype(np.uint16)), _bytes(doc[s])))
+            rows.append((b, block, 0, _bytes(bits), _bytes(size.astype(np.uint32)), _bytes(row[s].astype(np.uint32)), _bytes(first[s].astype(np.uint32)), _bytes(anchor[s].astype(np.uint16)), _bytes(doc[s])))
         return pa.Table.from_batches([_batch(rows, _CUT)])
 
     return run
@@ -228,9 +220,9 @@ def _covered(unit: Unit, least: Callable):
             sizes = _cat(table["sizes"], np.uint32).astype(np.int64)
             raw = _cat(table["data"], np.uint8)
             ends = np.concatenate(([0], np.cumsum(sizes)))
-            row, first, doc = _cat(table["row"], np.int64), _cat(table["first"], np.int64), _cat(table["ids"], np.int64)
+            row, first, doc = _cat(table["row"], np.uint32), _cat(table["first"], np.uint32).astype(np.int64), _cat(table["ids"], np.int64)
             anchor = _cat(table["anchor"], np.uint16).astype(np.int64)
-            block = np.repeat(table["block"].to_numpy(), [len(x) // 8 for x in table["ids"].to_pylist()])
+            block = np.repeat(table["block"].to_numpy(), [int.from_bytes(x[:8], "little") // 8 for x in table["ids"].to_pylist()])
             symbols, at, _, _ = unit.symbols(raw, ends)
             windows = np.diff(at) - unit.length + 1
             edge = np.concatenate(([0], np.cumsum(windows)))
@@ -246,7 +238,7 @@ def _covered(unit: Unit, least: Callable):
                 row, block = row[of], block[of]
                 edges = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
                 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                    rows.append((int(block[a]), _bytes(row[a:b]), _bytes(start[a:b]), _bytes(end[a:b])))
+                    rows.append((int(block[a]), _bytes(row[a:b]), _bytes(start[a:b].astype(np.uint32)), _bytes(end[a:b].astype(np.uint32))))
         return pa.Table.from_batches([_batch(rows, _SPANS)])
 
     return run
@@ -257,7 +249,7 @@ def _kept(unit: Unit, carry: list[str], schema: pa.Schema):
 
     def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
         docs = _ordered(docs)
-        row, start, end = (_cat(spans[c], np.int64) for c in ("row", "start", "end")) if spans.num_rows else [np.zeros(0, np.int64)] * 3
+        row, start, end = (_cat(spans[c], np.uint32).astype(np.int64) for c in ("row", "start", "end")) if spans.num_rows else [np.zeros(0, np.int64)] * 3
         order = np.lexsort((start, row))
         row, start, end = row[order], start[order], end[order]
         size, removed, count, kept, gone = [], [], [], [], []
@@ -328,8 +320,8 @@ def without_repeats(docs: DataFrame, unit: Unit, least: Callable, carry: tuple[s
 
     rows = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
     texts = rows.withColumn("block", block("doc_id"))
-    anchored = rows.select("doc_id", "text").mapInArrow(_seen(unit, buckets), _SEEN)
-    shared = anchored.groupBy("bucket").applyInArrow(_shared(blocks), _SHARED)
+    anchored = rows.select("doc_id", "text").mapInArrow(_seen(unit, buckets, blocks), _SEEN)
+    shared = anchored.groupBy("bucket").applyInArrow(_shared, _SHARED)
     cut = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_stretches(unit, buckets), _CUT)
     spans = cut.groupBy("bucket").applyInArrow(_covered(unit, least), _SPANS)
     kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
