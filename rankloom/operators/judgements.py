@@ -139,3 +139,21 @@ def schedule_sizes(pools: DataFrame, window: int = 10, random: float = 3.5, stra
     sizes = pools.groupBy("dataset", "query_id").agg(F.count("*").alias("units"))
     shape = lambda x: F.bround(F.lit(x) * F.col("units") / F.lit(float(window))).cast("long")
     return sizes.select("dataset", "query_id", "units", shape(random).alias("random"), shape(stratified).alias("stratified"), F.least(F.lit(adaptive).cast("long"), F.col("units")).alias("adaptive"))
+
+
+def superseded(log: DataFrame, keys: list[str], within_store: bool = False) -> DataFrame:
+    """(*keys, line): the line of each key that stands, from ``log(*keys, pos, record_id, valid, tombstone, recorded_at)``.
+
+    Lines are folded in store order. Valid beats invalid, then the later time, and the new line wins a tie. Where either
+    is a tombstone only time decides, or, within one store, the place in it: the rule is cyclic, so no ordering
+    of the lines can stand for the fold. A key has few lines; its lines are what one row's array holds.
+    """
+    line = F.struct("pos", "record_id", "valid", "tombstone", "recorded_at")
+    rows = log.groupBy(*keys).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+
+    def stands(old, new):
+        marked = F.lit(True) if within_store else new["recorded_at"] >= old["recorded_at"]
+        plain = F.when(old["valid"] != new["valid"], new["valid"]).otherwise(new["recorded_at"] >= old["recorded_at"])
+        return F.when(F.when(old["tombstone"] | new["tombstone"], marked).otherwise(plain), new).otherwise(old)
+
+    return rows.select(*keys, F.reduce(F.slice("lines", 2, F.size("lines")), F.get("lines", F.lit(0)), stands).alias("line"))

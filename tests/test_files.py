@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.operators.judgements import latest
-from rankloom.sources import rankings
+from rankloom.functions import answers
+from rankloom.sources import hub, rankings
 from rankloom.streaming import log
 
 
@@ -75,3 +76,27 @@ def test_stream_equals_batch(spark, tmp_path):
     out = log.windowed_coverage(log.read_stream(spark, str(folder))).writeStream.format("memory").queryName("coverage_").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     out.awaitTermination(120)
     assert spark.table("coverage_").columns == ["start", "phase", "windows", "invalid"]
+
+
+def test_hub_round_trip(spark, tmp_path):
+    labels = spark.createDataFrame([("d", "q", "a", 2.0, 0.5, 1.5), ("d", "q", "b", 0.0, None, None)], "dataset string, query_id string, doc_id string, grade double, gain double, theta double")
+    pools = spark.createDataFrame([("d", "q", "b", 1), ("d", "q", "a", 0)], "dataset string, query_id string, doc_id string, pos int")
+    tables = {"labels": labels, "pools": pools, "excluded": pools.select("dataset", "query_id", "doc_id").limit(1), "corpus": spark.range(2), "queries": spark.range(1)}
+    hub.write(tables, str(tmp_path / "h"))
+    again = hub.read(spark, str(tmp_path / "h"), "d")
+    assert sorted(map(tuple, again["labels"].collect())) == sorted(map(tuple, labels.collect()))
+    assert sorted((r.pos, r.doc_id) for r in again["pools"].collect()) == [(0, "a"), (1, "b")] and again["excluded"].count() == 1
+    both = hub.suite({"x": again, "y": again})
+    assert {r.dataset for r in both["labels"].select("dataset").distinct().collect()} == {"x", "y"} and both["pools"].count() == 4
+    hub.write(tables | {"labels": labels.withColumn("gain", F.lit(None).cast("double"))}, str(tmp_path / "bad"))
+    with pytest.raises(ValueError, match="without a gain"):
+        hub.read(spark, str(tmp_path / "bad"))
+
+
+@pytest.mark.parametrize("text,slots,category", [
+    ('{"doc_1": 2, "Document 2": 1.5}', 2, "ok"), ('<think>{"1": 9}</think> ```json\n{"1": 1, "2": 2}\n``` done', 2, "ok"), ('{"1": 1} trailing {', 1, "ok"),
+    ('{"1": 1}', 2, "incomplete"), ('{"1": 1, "3": 1}', 2, "schema"), ('{"1": "x"}', 1, "schema"), ('{"1": NaN}', 1, "schema"), ('{"1": 1, "1": 2}', 1, "duplicate"),
+    ('{"1": 1', 1, "json"), ("nothing", 1, "empty"), (None, 1, "empty"), ('{"a\\_b": 1}', 1, "schema"),
+])
+def test_answers(text, slots, category):
+    assert answers.listwise(text, slots)["category"] == category

@@ -1,10 +1,10 @@
 import pytest
 
-from rankloom.plans import analysis, scoring
+from rankloom.plans import analysis, reporting, scoring
 from tests.oracle import check
 
-QUERIES = {**scoring.QUERIES, **analysis.QUERIES}
-SQL = {**scoring.ORACLE_SQL, **analysis.ORACLE_SQL}
+QUERIES = {**scoring.QUERIES, **analysis.QUERIES, **reporting.QUERIES}
+SQL = {**scoring.ORACLE_SQL, **analysis.ORACLE_SQL, **reporting.ORACLE_SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
