@@ -6,6 +6,7 @@ import json
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S)
@@ -56,7 +57,11 @@ def listwise(text: str | None, slots: int) -> dict:
     return {"category": category, "scores": scores if category == "ok" else None}
 
 
-@F.pandas_udf("category string, scores map<int, double>")
-def listwise_scores(text: pd.Series, slots: pd.Series) -> pd.DataFrame:
+def listwise_scores(text: Column, slots: Column) -> Column:
     """Column form of ``listwise``."""
-    return pd.DataFrame([listwise(t, int(n)) for t, n in zip(text, slots)], columns=["category", "scores"])
+
+    @F.pandas_udf("category string, scores map<int, double>")
+    def read(text: pd.Series, slots: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([listwise(t, int(n)) for t, n in zip(text, slots)], columns=["category", "scores"])
+
+    return read(text, slots)
