@@ -18,6 +18,8 @@ SPACE = "▁"
 CHUNK = 1 << 16
 #: Words whose pieces a task remembers.
 REMEMBERED = 1 << 18
+#: Words of more characters are encoded by themselves.
+LONG = 64
 #: Score of a character that no piece spells, and the score from which a piece is never used.
 UNKNOWN, UNUSED = -100_000.0, -1e8
 
@@ -51,6 +53,7 @@ class Vocabulary:
         #: No used piece goes on after a space: every space begins a piece, and words are independent.
         self.splits = not any(SPACE in p[1:] for p in self.known)
         self.memory: dict[str, bytes] = {}
+        self.table = None
 
     def options(self, text: str, at: int, marker: bool) -> list[tuple[int, float]]:
         """(length, score) of the pieces that can start at a place; a literal marker character is no space."""
@@ -74,49 +77,124 @@ class Vocabulary:
         return [self.bytes[b] for b in piece.encode()]
 
     def word(self, text: str) -> bytes:
-        """Ids (int32 bytes) of one word with its space before it: the best sum of scores, of equal ones the shortest last piece."""
-        hit = self.memory.get(text)
-        if hit is not None:
-            return hit
-        n, known, longest = len(text), self.known, self.longest
+        """Ids (int32 bytes) of one word with its space before it: the best sum of scores, of equal ones the longest last piece."""
+        n = len(text)
         best, back = [0.0] + [-np.inf] * n, [0] * (n + 1)
         for i in range(n):
-            here = best[i]
-            if here == -np.inf:
-                continue
-            if i and text[i] == SPACE:
-                options = [(1, UNKNOWN)]
-            else:
-                stop = text.find(SPACE, i + 1)
-                end = min(i + longest, n if stop < 0 else stop)
-                single = known.get(text[i : i + 1])
-                if here + (single[0] if single else UNKNOWN) > best[i + 1]:
-                    best[i + 1], back[i + 1] = here + (single[0] if single else UNKNOWN), 1
-                for j in range(i + 2, end + 1):
-                    hit = known.get(text[i:j])
-                    if hit and here + hit[0] > best[j]:
-                        best[j], back[j] = here + hit[0], j - i
-                continue
-            for k, s in options:
-                if here + s > best[i + k]:
-                    best[i + k], back[i + k] = here + s, k
+            if best[i] > -np.inf:
+                for k, s in self.options(text, i, i == 0):
+                    if best[i] + s > best[i + k]:
+                        best[i + k], back[i + k] = best[i] + s, k
         cuts, at = [], n
         while at:
             cuts.append((at - back[at], back[at]))
             at -= back[at]
-        out = np.array([x for a, k in reversed(cuts) for x in self.ids(text, a, k, a == 0)], "<i4").tobytes()
-        if len(self.memory) >= REMEMBERED:
-            self.memory.clear()
-        self.memory[text] = out
+        return np.array([x for a, k in reversed(cuts) for x in self.ids(text, a, k, a == 0)], "<i4").tobytes()
+
+    def _table(self):
+        """Hashes of the pieces in order, with their scores and ids."""
+        if self.table is None:
+            names = list(self.known)
+            flat = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32)
+            ends = np.cumsum([len(x) for x in names])
+            h = common.spans(common.prefix_hash(flat), ends - [len(x) for x in names], ends)
+            order = np.argsort(h)
+            values = [self.known[n] for n in names]
+            h = h[order]
+            # where the hashes of each leading 20 bits begin
+            first = np.searchsorted(h >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64)).astype(np.int32)
+            self.table = h, np.array([v[0] for v in values])[order], np.array([v[1] for v in values], np.int32)[order], first
+        return self.table
+
+    def _found(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes in the table; -1 for those that no piece has."""
+        hashes, _, _, first = self._table()
+        bucket = (h >> np.uint64(44)).astype(np.int64)
+        spot, stop = first[bucket], first[bucket + 1]
+        out = np.full(len(h), -1, np.int32)
+        open_ = np.flatnonzero(spot < stop)
+        while len(open_):
+            at = spot[open_]
+            hit = hashes[at] == h[open_]
+            out[open_[hit]] = at[hit]
+            spot[open_] += 1
+            open_ = open_[~hit & (at + 1 < stop[open_])]
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids (int32 bytes) of a whole text."""
+    def words(self, units: list[str]) -> list[bytes]:
+        """``word`` of each unit with a space before it, all at once: one step a place and length, over all units."""
+        if not units:
+            return []
+        _, scores, pieces, _ = self._table()
+        order = sorted(range(len(units)), key=lambda i: -len(units[i]))
+        units = [units[i] for i in order]
+        size = np.array([len(u) + 1 for u in units])
+        start = np.concatenate(([0], np.cumsum(size)))
+        flat = np.frombuffer("".join([SPACE + u for u in units]).encode("utf-32-le"), np.uint32)
+        left = np.repeat(start[1:], size) - np.arange(len(flat))
+        prefix, depth = common.prefix_hash(flat), min(self.longest, int(size.max()))
+        gain, ident = np.full((depth, len(flat)), -np.inf), np.zeros((depth, len(flat)), np.int32)
+        for k in range(1, depth + 1):
+            at = np.flatnonzero(left >= k)
+            h = common.spans(prefix, at, at + k)
+            spot = self._found(h)
+            hit = spot >= 0
+            gain[k - 1, at[hit]], ident[k - 1, at[hit]] = scores[spot[hit]], pieces[spot[hit]]
+            if k == 1:
+                lost = at[~hit]
+                gain[0, lost], ident[0, lost] = UNKNOWN, -flat[lost].astype(np.int64) - 1
+        longest = int(size[0])
+        best, back = np.full((longest + 1, len(units)), -np.inf), np.zeros((longest + 1, len(units)), np.int8)
+        best[0] = 0.0
+        live = np.searchsorted(-size, -np.arange(longest), "left")  # units longer than each place
+        for i in range(longest):
+            for k in range(1, min(depth, longest - i) + 1):
+                n = live[i + k - 1]
+                new = best[i, :n] + gain[k - 1, start[:n] + i]
+                better = new > best[i + k, :n]
+                np.copyto(best[i + k, :n], new, where=better)
+                back[i + k, :n][better] = k
+        at, rows = size.copy(), []
+        going = np.arange(len(units))
+        while len(going):
+            k = back[at[going], going].astype(np.int64)
+            at[going] -= k
+            rows.append((going, ident[k - 1, start[going] + at[going]]))
+            going = going[at[going] > 0]
+        of, found = np.concatenate([r[0] for r in rows[::-1]]), np.concatenate([r[1] for r in rows[::-1]])
+        turn = np.argsort(of, kind="stable")
+        of, found = of[turn], found[turn]
+        low = (found < 0) & (found >= -128)
+        found[low] = np.array(self.bytes, np.int32)[-found[low] - 1]
+        ends = np.searchsorted(of, np.arange(1, len(units) + 1)).tolist()
+        data, odd = found.astype("<i4").tobytes(), set(of[found < 0].tolist())
+        out: list[bytes] = [b""] * len(units)
+        a = 0
+        for i, z in enumerate(ends):
+            # characters of several bytes without a piece, and literal markers, are spelled one by one
+            out[order[i]] = self.word(SPACE + units[i]) if i in odd or SPACE in units[i] else data[4 * a : 4 * z]
+            a = z
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids (int32 bytes) of each whole text; an empty text is its first space alone."""
         if not self.splits:
-            marked, real = _marked(text)
-            return np.array(self.trace(marked, real, len(marked), 0, 0), "<i4").tobytes()
-        memory, word = self.memory, self.word
-        return b"".join([memory.get(w) or word(w) for w in [SPACE + u for u in text.split(" ")]])
+            marked = [_marked(t) for t in texts]
+            return [np.array(self.trace(m, real, len(m), 0, 0), "<i4").tobytes() for m, real in marked]
+        split = [t.split(" ") for t in texts]
+        memory = self.memory
+        if len(memory) >= REMEMBERED:
+            memory.clear()
+        new = [u for u in set().union(*split) if u not in memory]
+        short = [u for u in new if len(u) < LONG]
+        for a in range(0, len(short), 1 << 14):
+            some = short[a : a + (1 << 14)]
+            memory.update(zip(some, self.words(some)))
+        memory.update((u, self.word(SPACE + u)) for u in new if len(u) >= LONG)
+        return [b"".join([memory[u] for u in us]) for us in split]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
     def cuts(self, part: str, size: int) -> tuple[int, int]:
         """The first and the last space of a chunk, which begin pieces on every path; -1 if there are none."""
@@ -232,9 +310,10 @@ def encode(spark: SparkSession, docs: DataFrame, path: str = MODEL, chunk: int =
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = model.value
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                ids = [v.encode(t) if t else b"" for t in part.column(1).to_pylist()]
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                texts = part.column(1).to_pylist()
+                ids = [x if t else b"" for t, x in zip(texts, v.encode_all([t or "" for t in texts]))]
                 yield pa.RecordBatch.from_arrays([*part.columns, _listed(ids)], names=[*batch.schema.names, "ids"])
 
     giant = F.coalesce(F.length("text") > chunk, F.lit(False))
