@@ -34,14 +34,11 @@ def _piece(symbols: np.ndarray, ends: np.ndarray, length: int, gram: int):
     mask = np.uint64((1 << _PLACE) - 1)
     keys = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
     at = (_sliding_min(keys, length - gram + 1) & mask).astype(np.int64)  # the anchor of the window at each place
-    valid = np.ones(len(at), bool)
-    for k in ends[:-1].tolist() if len(ends) < 64 else ():
-        valid[max(0, k - length + 1) : k] = False
-    if len(ends) >= 64:
-        cut = np.zeros(len(at) + 1, np.int64)
-        np.add.at(cut, np.clip(ends[:-1] - length + 1, 0, len(at)), 1)
-        np.add.at(cut, np.clip(ends[:-1], 0, len(at)), -1)
-        valid = np.cumsum(cut[:-1]) == 0
+    # windows that would cross a text's end
+    crossing = np.zeros(len(at) + 1, np.int64)
+    np.add.at(crossing, np.clip(ends[:-1] - length + 1, 0, len(at)), 1)
+    np.add.at(crossing, np.clip(ends[:-1], 0, len(at)), -1)
+    valid = np.cumsum(crossing[:-1]) == 0
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1]) | ~valid[:-1]
     first = np.flatnonzero(new & valid)

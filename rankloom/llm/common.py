@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +28,28 @@ _R_INV = pow(_R, -1, 1 << 64)
 SLICE_BYTES = 1 << 19
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once, its lineage cut by a checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder: ``spark.checkpoint.dir``. Only a session without one gets a temporary folder."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="rankloom-checkpoint-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder
 
-    The folder is ``spark.checkpoint.dir``; only a session without one gets a temporary folder.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="rankloom-checkpoint-"))
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once, its lineage cut by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to a new folder in the shared one, and read back."""
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -148,17 +160,3 @@ def spaced(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     out[at[1:] - 1] = 32
     return out, at
 
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to a new folder beside the checkpoints, and read back."""
-    import uuid
-
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="rankloom-checkpoint-"))
-        folder = sc.getCheckpointDir()
-    path = f"{folder}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
