@@ -17,7 +17,7 @@ SPACE = "▁"
 #: Texts of more characters are split into chunks of so many.
 CHUNK = 1 << 16
 #: Words whose pieces a task remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 #: Words of more characters are encoded by themselves.
 LONG = 64
 #: Score of a character that no piece spells, and the score from which a piece is never used.
@@ -293,7 +293,19 @@ def _listed(ids: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
 
 
-def encode(spark: SparkSession, docs: DataFrame, path: str = MODEL, chunk: int = CHUNK, carry: tuple[str, ...] = ()) -> DataFrame:
+def _texts(spelled: list[bytes], ids: np.ndarray, counts: np.ndarray) -> list[str]:
+    """The texts that runs of ids spell, each without its first space; bytes that are no UTF-8 are replaced."""
+    sizes = np.array([len(x) for x in spelled])
+    begins = np.concatenate(([0], np.cumsum(sizes)))
+    n = sizes[ids]
+    to = np.concatenate(([0], np.cumsum(n)))
+    data = np.frombuffer(b"".join(spelled), np.uint8)
+    text = data[np.repeat(begins[ids] - to[:-1], n) + np.arange(to[-1])].tobytes()
+    at = to[np.concatenate(([0], np.cumsum(counts)))].tolist()
+    return [text[x + 1 : y].decode("utf-8", "replace") if y > x else "" for x, y in zip(at[:-1], at[1:])]
+
+
+def encode(spark: SparkSession, docs: DataFrame, path: str = MODEL, chunk: int = CHUNK, carry: tuple[str, ...] = (), verify: bool = False) -> DataFrame:
     """(doc_id, text, *carry, ids): the pieces of each whole text whose scores have the largest sum.
 
     Spaces become markers and one stands before the text, as the model asks; characters without a piece become the
@@ -301,7 +313,8 @@ def encode(spark: SparkSession, docs: DataFrame, path: str = MODEL, chunk: int =
     and empty texts have no pieces. Texts up to ``chunk`` characters are encoded where they are. Longer ones are split
     into chunks: each gives the matrix of best scores from its entry to its exit states, the matrices of a text are
     combined, and with its boundary states known each chunk is traced back on its own. Repeated rows are kept; those of
-    a giant text are computed once. An empty table gives an empty result.
+    a giant text are computed once. An empty table gives an empty result. With ``verify`` the pieces are decoded again
+    where they were made, and ``round_trip`` tells whether that gave the text.
     """
     model = spark.sparkContext.broadcast(Vocabulary(path))
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
@@ -314,10 +327,16 @@ def encode(spark: SparkSession, docs: DataFrame, path: str = MODEL, chunk: int =
                 part = batch.slice(a, 512)
                 texts = part.column(1).to_pylist()
                 ids = [x if t else b"" for t, x in zip(texts, v.encode_all([t or "" for t in texts]))]
-                yield pa.RecordBatch.from_arrays([*part.columns, _listed(ids)], names=[*batch.schema.names, "ids"])
-
+                columns, names = [*part.columns, _listed(ids)], [*batch.schema.names, "ids"]
+                if verify:
+                    flat = np.frombuffer(b"".join(ids), "<i4")
+                    back = _texts(v.spelled, flat, np.array([len(x) // 4 for x in ids], np.int64))
+                    columns, names = [*columns, pa.array([t == (x or "") for t, x in zip(back, texts)])], [*names, "round_trip"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    more = ", round_trip boolean" if verify else ""
     giant = F.coalesce(F.length("text") > chunk, F.lit(False))
-    small = rows.filter(~giant).mapInArrow(short, f"doc_id long, text string{kinds}, ids array<int>")
+    small = rows.filter(~giant).mapInArrow(short, f"doc_id long, text string{kinds}, ids array<int>{more}")
 
     large = rows.filter(giant).withColumn("key", F.sha2("text", 256))
     # each chunk with the characters that its last piece may reach
@@ -354,11 +373,15 @@ def encode(spark: SparkSession, docs: DataFrame, path: str = MODEL, chunk: int =
     bounds = spread.mapInPandas(matrices, "key string, no int, matrix binary").groupBy("key").applyInPandas(paths, "key string, no int, start int, stop int")
     pieces = spread.join(bounds, ["key", "no"]).mapInPandas(traced, "key string, no int, ids array<int>")
     whole = pieces.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return small.unionByName(large.join(whole, "key").select("doc_id", "text", *carry, "ids"))
+    done = large.join(whole, "key").select("doc_id", "text", *carry, "ids")
+    if verify:
+        back = decode(spark, done, path, ("text", *carry, "ids"))
+        done = back.withColumn("round_trip", F.col("decoded") == F.col("text")).drop("decoded")
+    return small.unionByName(done)
 
 
 def decode(spark: SparkSession, encoded: DataFrame, path: str = MODEL, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *carry, decoded) for rows of ``encoded(doc_id, ids)``: the text that the pieces spell, without the first space.
+    """(doc_id, *carry, decoded) for rows of ``encoded(doc_id, ids)``: the text that the pieces spell.
 
     Null or no ids give an empty text; bytes that are no UTF-8 are replaced.
     """
@@ -366,21 +389,13 @@ def decode(spark: SparkSession, encoded: DataFrame, path: str = MODEL, carry: tu
     kinds = "".join(f", `{c}` {encoded.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = table.value
-        data = np.frombuffer(b"".join(spelled), np.uint8)
-        sizes = np.array([len(x) for x in spelled])
-        begins = np.concatenate(([0], np.cumsum(sizes)))
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 lists = part.column(1)
                 counts = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()])
                 ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                n = sizes[ids]
-                to = np.concatenate(([0], np.cumsum(n)))
-                text = data[np.repeat(begins[ids] - to[:-1], n) + np.arange(to[-1])].tobytes()
-                at = to[np.concatenate(([0], np.cumsum(counts)))].tolist()
-                out = [text[x + 1 : y].decode("utf-8", "replace") if y > x else "" for x, y in zip(at[:-1], at[1:])]
+                out = _texts(table.value, ids, counts)
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(out, pa.string())], names=["doc_id", *carry, "decoded"])
 
     return encoded.select("doc_id", "ids", *carry).mapInArrow(run, f"doc_id long{kinds}, decoded string")

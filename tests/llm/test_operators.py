@@ -334,6 +334,7 @@ def test_round_trip_and_chunks(spark, docs, texts):
     rows = pieces.encode(spark, docs, chunk=50, carry=("source",))
     back = pieces.decode(spark, rows, carry=("text",)).collect()
     assert collections.Counter((r.doc_id, r.decoded) for r in back) == collections.Counter((i, t or "") for i, t in texts)
+    assert all(r.round_trip for r in pieces.encode(spark, docs, chunk=50, verify=True).collect())
     whole = {r.text: r.ids for r in pieces.encode(spark, docs, chunk=1 << 20).collect()}
     v = pieces.Vocabulary()
     for r in rows.collect():
