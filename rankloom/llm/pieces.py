@@ -187,8 +187,8 @@ class Vocabulary:
             memory.clear()
         new = [u for u in set().union(*split) if u not in memory]
         short = [u for u in new if len(u) < LONG]
-        for a in range(0, len(short), 1 << 14):
-            some = short[a : a + (1 << 14)]
+        for a in range(0, len(short), 1 << 12):
+            some = short[a : a + (1 << 12)]
             memory.update(zip(some, self.words(some)))
         memory.update((u, self.word(SPACE + u)) for u in new if len(u) >= LONG)
         return [b"".join([memory[u] for u in us]) for us in split]
@@ -323,8 +323,8 @@ def encode(spark: SparkSession, docs: DataFrame, path: str = MODEL, chunk: int =
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = model.value
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for a in range(0, batch.num_rows, 128):
+                part = batch.slice(a, 128)
                 texts = part.column(1).to_pylist()
                 ids = [x if t else b"" for t, x in zip(texts, v.encode_all([t or "" for t in texts]))]
                 columns, names = [*part.columns, _listed(ids)], [*batch.schema.names, "ids"]

@@ -51,12 +51,10 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = pieces.encode(spark, read(spark, sf_dir, "documents"))
-    ids = ids.select("doc_id", "text", "ids", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.size("ids").cast("long").alias("n_tokens"))
-    rows = pieces.decode(spark, ids, carry=("text", "ids_sha256", "n_tokens"))
+    rows = pieces.encode(spark, read(spark, sf_dir, "documents"), verify=True)
     return rows.select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "round_trip",
     )
 
 
