@@ -312,7 +312,8 @@ def without_repeats(docs: DataFrame, unit: Unit, least: Callable, carry: tuple[s
     from pyspark.sql.pandas.types import to_arrow_schema
 
     blocks = common.parts(docs)
-    buckets = 8 * blocks  # an index of a few MB of stretches fits beside the JVM
+    seen = max(1, blocks // 2)  # a bucket answers every block: their product is the number of rows
+    buckets = 4 * blocks  # an index of a few MB of stretches fits beside the JVM
 
     @F.pandas_udf("int")
     def block(ids):
@@ -320,7 +321,7 @@ def without_repeats(docs: DataFrame, unit: Unit, least: Callable, carry: tuple[s
 
     rows = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
     texts = rows.withColumn("block", block("doc_id"))
-    anchored = rows.select("doc_id", "text").mapInArrow(_seen(unit, buckets, blocks), _SEEN)
+    anchored = rows.select("doc_id", "text").mapInArrow(_seen(unit, seen, blocks), _SEEN)
     shared = anchored.groupBy("bucket").applyInArrow(_shared, _SHARED)
     cut = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_stretches(unit, buckets), _CUT)
     spans = cut.groupBy("bucket").applyInArrow(_covered(unit, least), _SPANS)
