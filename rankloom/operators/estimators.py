@@ -55,7 +55,7 @@ def bradley_terry(comparisons: DataFrame, l2: float = 1e-4) -> DataFrame:
     return summed.groupBy("query_id").applyInPandas(fit, "query_id string, doc_id string, theta double, se double")
 
 
-def rubric_items(patterns: DataFrame, criteria: int, low: float = -18.0, high: float = 10.0, points: int = 561, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+def rubric_items(patterns: DataFrame, criteria: int, low: float = -18.0, high: float = 10.0, points: int = 561, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
     """Discriminations (sum: the criteria) and difficulties (mean 0) by marginal maximum likelihood.
 
     ``patterns(n, s1...)`` counts a document's windows and passes. Documents collapse into distinct patterns, which
@@ -86,7 +86,7 @@ def rubric_items(patterns: DataFrame, criteria: int, low: float = -18.0, high: f
                 if np.abs(step).max() < 1e-10:
                     break
             gamma[k], beta[k] = a, -b / a
-        if np.abs(np.concatenate([gamma, beta]) - last).max() < 1e-7:
+        if np.abs(np.concatenate([gamma, beta]) - last).max() < 1e-5:
             break
     scale = criteria / gamma.sum()
     return gamma * scale, (beta - beta.mean()) / scale
