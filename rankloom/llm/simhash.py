@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -94,3 +95,135 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
     least = ids.groupBy("component_id").agg(F.min("doc_id").alias("least"))
     ids = ids.join(least, "component_id").select("fp", F.col("least").alias("component_id"))
     return of.join(ids, "fp").select("doc_id", "fp", "component_id")
+
+
+def _masks(width: int, radius: int) -> list[int]:
+    """Every value of ``width`` bits that has at most ``radius`` ones."""
+    return [sum(1 << b for b in bits) for n in range(min(width, radius) + 1) for bits in combinations(range(width), n)]
+
+
+def wide_links(prints: DataFrame, distance: int, radius: int, blocks: int) -> DataFrame:
+    """As ``links``, with balls of ``radius`` bits in the fewest segments of which one must differ in so few.
+
+    Distance 11 and radius 3 take three segments. A fingerprint travels to the groups whose leading bits lie within
+    the radius of its own; a group looks up the rest of the ball in its own fingerprints, so that no ball is shuffled.
+    Groups follow ``blocks``; what a lookup finds by chance grows with the distinct fingerprints over 2**21.
+    """
+    count = max(2, -(-(distance + 1) // (radius + 1)))
+    widths = [64 // count + (i < 64 % count) for i in range(count)]
+    lead = min(max(2, (blocks // count).bit_length()), min(widths) - 1)
+    places = [sum(widths[:i]) for i in range(count)]
+    tops = []
+    for i, (width, at) in enumerate(zip(widths, places)):
+        top = F.shiftrightunsigned("fp", at + width - lead).bitwiseAND(F.lit((1 << lead) - 1))
+        tops.append(_ball(i, top, F.array(*[F.lit(m).cast("long") for m in _masks(lead, radius)])))
+
+    def find(table: pa.Table) -> pa.Table:
+        no, group = table["no"][0].as_py(), table["value"][0].as_py()
+        rest = widths[no] - lead
+        fps = table["fp"].to_numpy()
+        value = fps.view(np.uint64) >> np.uint64(places[no]) & np.uint64((1 << widths[no]) - 1)
+        low = (value & np.uint64((1 << rest) - 1)).astype(np.int64)
+        off = np.bitwise_count(value >> np.uint64(rest) ^ np.uint64(group))
+        own = np.flatnonzero(off == 0)
+        own = own[np.argsort(low[own], kind="stable")]
+        start = np.concatenate(([0], np.cumsum(np.bincount(low[own], minlength=1 << rest))))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for n in range(radius + 1):
+            mine = np.flatnonzero(off == n)
+            for mask in _masks(rest, radius - n) if len(mine) and len(own) else []:
+                at = low[mine] ^ mask
+                size = start[at + 1] - start[at]
+                hit = np.flatnonzero(size)
+                size, probe = size[hit], np.repeat(mine[hit], size[hit])
+                a, b = fps[probe], fps[own[np.arange(len(probe)) + np.repeat(start[at[hit]] - np.cumsum(size) + size, size)]]
+                near = (a < b) & (np.bitwise_count((a ^ b).view(np.uint64)) <= distance)
+                if near.any():
+                    found.append((a[near], b[near]))
+        a, b = (np.concatenate(x) for x in zip(*found)) if found else (fps[:0], fps[:0])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    spread = prints.select("fp").distinct().select("fp", F.inline(F.concat(*tops)))
+    return spread.groupBy("no", "value").applyInArrow(find, "a long, b long").distinct()
+
+
+def _nodes(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = next(_fingerprints(width)(iter([batch.select(["doc_id", "text"])])))
+            out: list[int] = []
+            for _, rows, raw, offsets in common.slices(batch):
+                low = common.fold(raw)
+                starts, ends, row = common.words_of(low, offsets)
+                joined, at = common.spaced(low, starts, ends)
+                cut = at[np.searchsorted(row, np.arange(rows + 1))].tolist()
+                text = joined.tobytes()
+                out += [xxhash.xxh64_intdigest(text[a:b], 7) for a, b in zip(cut[:-1], cut[1:])]
+            node = pa.array(np.array(out, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([prints.column(0), batch.column(2), prints.column(1), node], names=["doc_id", "raw", "fp", "node"])
+
+    return run
+
+
+def _shingles(width: int):
+    """(node, shingles): the distinct 64-bit shingle hashes of a text, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for _, rows, raw, offsets in common.slices(batch):
+                low = common.fold(raw)
+                starts, ends, row = common.words_of(low, offsets)
+                joined, at = common.spaced(low, starts, ends)
+                text, first = joined.tobytes(), np.searchsorted(row, np.arange(rows + 1)).tolist()
+                for a, b in zip(first[:-1], first[1:]):
+                    w = min(width, b - a)
+                    spans = zip(at[a : b - w + 1].tolist(), (at[a + w : b + 1] - 1).tolist()) if w else ()
+                    out.append(np.unique(np.array([xxhash.xxh64_intdigest(text[x:y], 42) for x, y in spans], np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "shingles"])
+
+    return run
+
+
+def _alike(similarity: float):
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        of = {n: np.frombuffer(s, np.uint64) for n, s in zip(sets["node"].to_pylist(), sets["shingles"].to_pylist())}
+        good = []
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
+            x, y = of[a], of[b]
+            both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+            good.append(both >= similarity * (len(x) + len(y) - both))
+        return pairs.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def similar_copies(docs: DataFrame, width: int = 5, distance: int = 11, radius: int = 3, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, fp, component_id) as ``near_duplicates``, of links whose similarity is verified.
+
+    Texts whose fingerprints differ in ``distance`` bits or fewer are linked if the Jaccard similarity of their sets of
+    distinct shingles is ``similarity`` or more; also texts of one fingerprint are. Texts of equal words are one node,
+    as are all without words. Sets of shingles travel once a cell of blocks of nodes, not once a pair.
+    """
+    blocks = common.parts(docs)
+    side = max(2, int(blocks**0.5))
+    raw = F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw")
+    of = common.cut(docs.select("doc_id", "text", raw).mapInArrow(_nodes(width), "doc_id long, raw long, fp long, node long"))
+    nodes = common.cut(of.groupBy("node").agg(F.min("fp").alias("fp"), F.min("raw").alias("raw"), F.min("doc_id").alias("doc_id")))
+    same = nodes.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    near = wide_links(nodes, distance, radius, blocks).unionByName(same)
+    left = nodes.select(F.col("fp").alias("a"), F.col("node").alias("x"))
+    right = nodes.select(F.col("fp").alias("b"), F.col("node").alias("y"))
+    # of two fingerprints every pair of nodes, of one fingerprint each pair once
+    met = near.join(left, "a").join(right, "b").filter("a <> b OR x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
+    pairs = common.cut(met.withColumn("cell", (cell("a") * side + cell("b")).cast("int")))
+    asked = pairs.select(F.col("cell").alias("at"), F.col("a").alias("node")).unionByName(pairs.select(F.col("cell").alias("at"), F.col("b").alias("node"))).distinct()
+    wanted = nodes.join(asked.select("node").distinct(), "node", "left_semi").select("node", "raw")
+    texts = docs.select("text", raw).join(wanted, "raw").groupBy("node").agg(F.min("text").alias("text"))
+    sets = asked.join(texts.mapInArrow(_shingles(width), "node long, shingles binary"), "node")
+    links_ = pairs.groupBy("cell").cogroup(sets.groupBy("at")).applyInArrow(_alike(similarity), "a long, b long")
+    reach = components(links_).withColumnRenamed("component_id", "root")
+    ids = nodes.select("node", "doc_id").join(reach, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return of.join(ids.join(least, "root").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")

@@ -226,6 +226,45 @@ def test_multi_index_links(spark, distance):
     assert got == {(a, b) for a in u for b in u if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= distance}
 
 
+def test_similar_copies(spark):
+    """Links up to 11 bits and of similarity 0.8 or more, and no others; planted copies of 0.8 that 5 bits would lose."""
+    r = np.random.default_rng(9)
+    say = lambda n: [f"w{x}" for x in r.integers(0, 9999, n)]
+    texts = []
+    for _ in range(60):
+        base = say(120)
+        texts.append(base)
+        for changes in (2, 4, 8):
+            w = list(base)
+            for at in r.choice(120, changes, replace=False):
+                w[at] = "new"
+            texts.append(w)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    prints = [brute_print(" ".join(w), 5) for w in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    links = [(a, b) for a, b in pairs if (prints[a] ^ prints[b]).bit_count() <= 11]
+    short = [(a, b) for a, b in pairs if (prints[a] ^ prints[b]).bit_count() <= 5]
+    low = reach(links, range(len(texts)))
+    assert low != reach(short, range(len(texts)))
+    rows = simhash.similar_copies(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in rows} == low and len(rows) == len(texts)
+
+
+@pytest.mark.parametrize("distance, radius", [(8, 2), (11, 3)])
+def test_wide_links(spark, distance, radius):
+    r = np.random.default_rng(5)
+    fps = []
+    for b in r.integers(0, 1 << 63, 20).tolist():
+        for n in range(14):
+            x = b
+            for f in r.choice(64, n, replace=False):
+                x ^= 1 << int(f)
+            fps.append(x - (1 << 64) if x >> 63 else x)
+    got = [tuple(x) for x in simhash.wide_links(spark.createDataFrame([(f,) for f in fps], "fp long"), distance, radius, 8).collect()]
+    u = sorted(set(fps))
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in u for b in u if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= distance}
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (9, 9), (7, 8), (8, 7), (3, 10), (None, 4)] + [(100 + i, 101 + i) for i in range(40)]
     got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
