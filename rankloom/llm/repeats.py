@@ -1,21 +1,26 @@
 """Passages that also start in an earlier document: the frame of the two substring operators.
 
-The corpus is dealt into blocks of documents by a hash of doc_id. Four steps, none of which gathers a hot passage:
-
-1. Every scan task names its documents' anchors (``anchors``); an anchor goes to its bucket once a flush and block,
-   whatever the number of documents that hold it, and a bucket tells the blocks which anchors may repeat.
-2. The blocks cut the stretches around such anchors. Of equal stretches in a block only those of its smallest doc_id
-   go on: the others are covered already.
-3. A bucket indexes its stretches (a suffix array or an FM-index, given as ``least``) and finds for each of their
-   windows the smallest doc_id that has it.
+The corpus is dealt into blocks of documents by a hash of doc_id. Four steps over one exchange of the texts:
+
+1. A block names its distinct stretches (``anchors``: the symbols around a content-defined anchor), each once with the
+   smallest doc_id that has it here, in the bucket of its anchor. A bucket answers the blocks: the smallest doc_id of
+   each stretch that repeats, and whether stretches of other documents share its anchor.
+2. The blocks cut out the stretches whose anchor stands in different contexts, each in its first document alone: equal
+   stretches fold into one, all later holders are covered. What stands around an anchor that every holder has in the
+   same context needs no look.
+3. A bucket indexes its stretches (a suffix array or an FM-index, given as ``earlier``) and finds which of their
+   windows an earlier document has.
 4. The blocks join the covered spans with their texts.
 
-Step 2 and 4 read the same exchange of the texts.
+A passage that a third of all documents hold is one row a block in step 1 and one stretch in step 3. An anchor in more
+than ``HOT`` different contexts is split by context: its stretches go as single windows, each to the bucket of its own
+content, so that no task gathers an anchor. What blocks and buckets send each other is never more than one entry a
+stretch; entries travel packed by (block, bucket).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +29,18 @@ from pyspark.sql import functions as F
 
 from rankloom.llm import anchors, common
 
-#: Anchors that a task gathers before it sends them, each distinct one once.
-FLUSH = 1 << 21
+#: Contexts of an anchor beyond which it is split; a block tells those apart that have a quarter of them there.
+HOT = 1 << 14
 
 #: Stands for a null doc_id inside.
 _LAST = (1 << 63) - 1
 
-_SEEN = "bucket int, low binary, high binary, blocks binary, many binary"
-_SHARED = "block int, hashes binary"
+_SEEN = "bucket int, block int, anchor binary, whole binary, doc binary, again binary, hot binary"
+_SHARED = "block int, whole binary, least binary, send binary, hot binary"
+_CUT = "bucket int, block int, kind int, data binary, sizes binary, ids binary, anchor binary, times binary, row binary, first binary, last binary"
+_SPANS = "block int, row binary, start binary, end binary"
 #: Bits of an anchor's hash that are kept: two anchors that agree in them by chance cost a look, no wrong result.
 _KEPT_BITS = np.uint64((1 << 48) - 1)
-_CUT = "bucket int, block int, kind int, data binary, sizes binary, row binary, first binary, anchor binary, ids binary"
-_SPANS = "block int, row binary, start binary, end binary"
 
 
 class Unit:
@@ -66,71 +71,18 @@ def _cat(column, kind) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(_array(x, kind) for x in column.to_pylist() if x)])
 
 
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+def _batch(rows: list[tuple], schema: str) -> pa.Table:
     fields = [f.split() for f in schema.split(", ")]
     kinds = {"int": pa.int32(), "binary": pa.binary(), "long": pa.int64()}
     columns = list(zip(*rows)) if rows else [()] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
-
-
-def _seen(unit: Unit, buckets: int, blocks: int):
-    """Step 1, in the scan: anchors by bucket, each once with every block that has it."""
-
-    def flush(found: list) -> pa.RecordBatch:
-        h, doc = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
-        begins = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        many = np.maximum.reduceat(doc, begins) != doc[begins]  # in two documents here
-        flag = np.repeat(many, np.diff(np.append(begins, len(h)))).astype(np.uint8)
-        bucket, block = bucket_of(h, buckets), block_of(doc, blocks)
-        order = np.lexsort((h, block, bucket))
-        h, flag, bucket, block = h[order], flag[order], bucket[order], block[order]
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (block[1:] != block[:-1])))
-        h, flag, bucket, block = h[new], flag[new], bucket[new], block[new]
-        edges = np.searchsorted(bucket, np.arange(buckets + 1))
-        rows = []
-        for b in np.flatnonzero(np.diff(edges)).tolist():
-            s = slice(edges[b], edges[b + 1])
-            rows.append((b, _bytes(h[s].astype(np.uint32)), _bytes((h[s] >> np.uint64(32)).astype(np.uint16)), _bytes(block[s].astype(np.uint32)), _bytes(flag[s])))
-        return _batch(rows, _SEEN)
+    return pa.Table.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, n = [], 0
-        for batch in batches:
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, _, raw, offsets in common.slices(batch):
-                symbols, at, _, _ = unit.symbols(raw, offsets)
-                h, _, _, _, _, row = anchors.runs(symbols, at, unit.length, unit.gram)
-                if len(h):
-                    found.append((h & _KEPT_BITS, docs[first + row]))
-                    n += len(h)
-            if n >= FLUSH:
-                yield flush(found)
-                found, n = [], 0
-        if found:
-            yield flush(found)
 
-    return run
-
-
-def _shared(table: pa.Table) -> pa.Table:
-    """Step 1, in a bucket: (block, anchors) of the anchors seen in two documents of a flush, or in two flushes."""
-    low, high = _cat(table["low"], np.uint32), _cat(table["high"], np.uint16)
-    h = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
-    flag, block = _cat(table["many"], np.uint8), _cat(table["blocks"], np.uint32)
-    order = np.lexsort((block, h))
-    h, flag, block = h[order], flag[order], block[order]
-    begins = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    sizes = np.diff(np.append(begins, len(h)))
-    keep = np.repeat((sizes > 1) | (np.maximum.reduceat(flag, begins) > 0), sizes)
-    keep[1:] &= (h[1:] != h[:-1]) | (block[1:] != block[:-1])
-    h, block = h[keep], block[keep]
-    order = np.lexsort((h, block))
-    h, block = h[order], block[order]
-    edges = np.append(np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))), len(block)) if len(block) else np.zeros(1, np.int64)
-    rows = [(int(block[a]), _bytes(h[a:b])) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
-    return pa.Table.from_batches([_batch(rows, _SHARED)])
+def _begins(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -138,108 +90,228 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def block_of(doc: np.ndarray, blocks: int) -> np.ndarray:
-    """A document's block, from its doc_id alone; the same on the executors' columns and in blobs."""
-    return (common.mix(doc.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
-
-
 def _ordered(table: pa.Table) -> pa.Table:
     """A block in an order that no rerun changes."""
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
 
 
-def _texts(table: pa.Table):
-    for batch in table.to_batches():
-        yield batch, batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
+def _runs(unit: Unit, docs: pa.Table):
+    """The stretches of a block, a slice of its texts at a time."""
+    base = 0
+    for batch in docs.to_batches():
+        ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
+        for first_row, _, raw, offsets in common.slices(batch):
+            symbols, at, starts, ends = unit.symbols(raw, offsets)
+            h, where, first, last, whole, row = anchors.runs(symbols, at, unit.length, unit.gram)
+            yield raw, (symbols, at, starts, ends), (h & _KEPT_BITS, where, first, last, whole, row), ids[first_row + row], base + first_row + row
+        base += batch.num_rows
+
+
+def _seen(unit: Unit, buckets: int, hot: int):
+    """Step 1, in a block: its distinct stretches by the bucket of their anchor."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        block = docs["block"][0].as_py()
+        found = [(h, whole, doc) for _, _, (h, _, _, _, whole, _), doc, _ in _runs(unit, docs)]
+        if not found:
+            return _batch([], _SEEN)
+        h, whole, doc = (np.concatenate(x) for x in zip(*found))
+        if not len(h):
+            return _batch([], _SEEN)
+        order = np.lexsort((doc, whole, h))
+        h, whole, doc = h[order], whole[order], doc[order]
+        at = _begins(h, whole)
+        again = (np.maximum.reduceat(doc, at) > doc[at]).astype(np.uint8)  # a later document here has it too
+        h, whole, doc = h[at], whole[at], doc[at]
+        at = _begins(h)
+        contexts = np.diff(np.append(at, len(h)))
+        many = contexts > hot // 4
+        keep = np.repeat(~many, contexts)
+        split = h[at[many]]
+        h, whole, doc, again = h[keep], whole[keep], doc[keep], again[keep]
+        edges = _edges(bucket_of(h, buckets), buckets)
+        order = edges[0]
+        h, whole, doc, again = h[order], whole[order], doc[order], again[order]
+        where = _edges(bucket_of(split, buckets), buckets)
+        split = split[where[0]]
+        rows = []
+        for b in np.flatnonzero(np.diff(edges[1]) + np.diff(where[1])).tolist():
+            s = slice(edges[1][b], edges[1][b + 1])
+            rows.append((b, block, _bytes(h[s]), _bytes(whole[s]), _bytes(doc[s]), _bytes(again[s]), _bytes(split[where[1][b] : where[1][b + 1]])))
+        return _batch(rows, _SEEN)
+
+    return run
+
+
+def _edges(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order by key, and where each of the keys 0 to n begins in it."""
+    order = np.argsort(key, kind="stable")
+    return order, np.searchsorted(key[order], np.arange(n + 1))
+
+
+def _shared(hot: int):
+    """Step 1, in a bucket: to each block, its stretches that repeat or meet others, and anchors to be split."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        sizes = [int.from_bytes(x[:8], "little") // 8 for x in table["anchor"].to_pylist()]
+        block = np.repeat(table["block"].to_numpy(), sizes)
+        h, whole, doc, again = (_cat(table[c], k) for c, k in (("anchor", np.uint64), ("whole", np.uint64), ("doc", np.int64), ("again", np.uint8)))
+        split = np.unique(_cat(table["hot"], np.uint64))
+        answers: dict[int, list] = {}
+        if len(h):
+            order = np.lexsort((doc, whole, h))
+            h, whole, doc, again, block = h[order], whole[order], doc[order], again[order], block[order]
+            at = _begins(h, whole)
+            holders = np.diff(np.append(at, len(h)))
+            least, of = doc[at], h[at]  # of each stretch
+            a = _begins(of)
+            contexts = np.diff(np.append(a, len(of)))
+            # stretches whose first holders are one document have nothing to find in each other
+            meets = np.maximum.reduceat(least, a) > np.minimum.reduceat(least, a)
+            split = np.union1d(split, of[a[contexts > hot]])
+            meets = np.repeat(meets, contexts)
+            wanted = np.repeat(meets | (holders > 1), holders) | (again > 0)
+            wanted &= ~np.isin(h, split)
+            send, low = np.repeat(meets, holders), np.repeat(least, holders)
+            order, edge = _edges(block[wanted], int(block.max()) + 1)
+            w, l, s = whole[wanted][order], low[wanted][order], send[wanted][order]
+            for b in np.flatnonzero(np.diff(edge)).tolist():
+                x = slice(edge[b], edge[b + 1])
+                answers[b] = [_bytes(w[x]), _bytes(l[x]), _bytes(s[x].astype(np.uint8)), None]
+        if len(split):
+            data = _bytes(split)
+            for b in set(table["block"].to_pylist()):
+                answers.setdefault(b, [None] * 4)[3] = data
+        return _batch([(b, *x) for b, x in sorted(answers.items())], _SHARED)
+
+    return run
+
+
+class _Gathered:
+    """Stretches that a block sends, in pieces."""
+
+    def __init__(self):
+        self.parts: list[tuple] = []
+
+    def add(self, unit, raw, view, h, whole, doc, row, first, last, anchor):
+        symbols, at, starts, ends = view
+        if unit.words:
+            joined, place = common.spaced(raw, starts, ends)
+            a, b = place[first], place[last]
+        else:
+            joined, a, b = raw, first, last
+        sizes = b - a
+        total = np.concatenate(([0], np.cumsum(sizes)))
+        data = joined[np.repeat(a - total[:-1], sizes) + np.arange(total[-1])] if len(a) else joined[:0]
+        begin = first - at[np.searchsorted(at, first, "right") - 1]
+        self.parts.append((h, whole, doc, row, begin, begin + last - first, anchor - first, sizes, data))
+
+    def all(self):
+        return [np.concatenate(x) for x in zip(*self.parts)]
+
+
+def _windows(unit: Unit, symbols: np.ndarray, first: np.ndarray, last: np.ndarray):
+    """Stretches as single windows: which stretch each is of, where it starts, and its hash."""
+    n = last - first + 1
+    of = np.repeat(np.arange(len(n)), n)
+    start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[of]
+    return of, start, common.spans(common.prefix_hash(symbols), start, start + unit.length)
 
 
 def _stretches(unit: Unit, buckets: int):
-    """Step 2: the stretches around repeated anchors."""
+    """Step 2: spans that a stretch's earlier holder covers, and the stretches that a bucket has to look at."""
 
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
         if not docs.num_rows or not shared.num_rows:
-            return pa.Table.from_batches([_batch([], _CUT)])
+            return _batch([], _CUT)
         block = docs["block"][0].as_py()
-        have = np.unique(_cat(shared["hashes"], np.uint64))
-        docs, base = _ordered(docs), 0
-        out = []
-        for batch, ids in _texts(docs):
-            for first_row, _, raw, offsets in common.slices(batch):
-                symbols, at, starts, ends = unit.symbols(raw, offsets)
-                h, where, first, last, whole, row = anchors.runs(symbols, at, unit.length, unit.gram)
-                spot = np.minimum(np.searchsorted(have, h & _KEPT_BITS), len(have) - 1)
-                keep = have[spot] == h & _KEPT_BITS
-                h, where, first, last, whole, row = (x[keep] for x in (h, where, first, last, whole, row))
-                stop = last + unit.length
-                if unit.words:
-                    joined, place = common.spaced(raw, starts, ends)
-                    a, b = place[first], place[stop]
-                else:
-                    joined, a, b = raw, first, stop
-                sizes = b - a
-                total = np.concatenate(([0], np.cumsum(sizes)))
-                data = joined[np.repeat(a - total[:-1], sizes) + np.arange(total[-1])] if len(a) else joined[:0]
-                out.append((h, whole, ids[first_row + row], base + first_row + row, first - at[row], stop - first, where - first, sizes, data))
-            base += batch.num_rows
-        if not out:
-            return pa.Table.from_batches([_batch([], _CUT)])
-        h, whole, doc, row, first, width, anchor, sizes, data = (np.concatenate(x) for x in zip(*out))
+        known, least, send = _cat(shared["whole"], np.uint64), _cat(shared["least"], np.int64), _cat(shared["send"], np.uint8)
+        order = np.argsort(known)
+        known, least, send = known[order], least[order], send[order] > 0
+        split = np.unique(_cat(shared["hot"], np.uint64))
+        out, gone = _Gathered(), []
+        for raw, view, (h, where, first, last, whole, row), doc, at_row in _runs(unit, _ordered(docs)):
+            begin = first - view[1][row]
+            spot = np.minimum(np.searchsorted(known, whole), max(len(known) - 1, 0))
+            hit = known[spot] == whole if len(known) else np.zeros(len(whole), bool)
+            apart = np.isin(h, split) if len(split) else np.zeros(len(h), bool)
+            hit &= ~apart
+            low = least[spot] if len(known) else doc
+            covered = np.flatnonzero(hit & (doc > low))
+            gone.append((at_row[covered], begin[covered], begin[covered] + last[covered] - first[covered] + unit.length))
+            mine = np.flatnonzero(hit & (send[spot] if len(known) else False) & (doc == low))
+            out.add(unit, raw, view, h[mine], whole[mine], doc[mine], at_row[mine], first[mine], last[mine] + unit.length, where[mine])
+            if apart.any():
+                s = np.flatnonzero(apart)
+                of, start, content = _windows(unit, view[0], first[s], last[s])
+                of = s[of]
+                out.add(unit, raw, view, content & _KEPT_BITS, content, doc[of], at_row[of], start, start + unit.length, where[of])
+        if not out.parts:
+            return _batch([], _CUT)
+        h, whole, doc, row, first, last, anchor, sizes, data = out.all()
         starts = np.concatenate(([0], np.cumsum(sizes)))
-        # of equal stretches those of the smallest doc_id go on; the rest are covered
+        # one copy of each, in its first document; windows of split anchors have no answer yet, so fold here as well
         order = np.lexsort((doc, whole))
-        begins = np.flatnonzero(np.concatenate(([True], whole[order][1:] != whole[order][:-1])))
-        least = np.empty(len(doc), np.int64)
-        least[order] = np.repeat(doc[order][begins], np.diff(np.append(begins, len(order))))
-        covered = doc > least
-        rows = [(block % buckets, block, 1, None, None, _bytes(row[covered].astype(np.uint32)), _bytes(first[covered].astype(np.uint32)), _bytes((first + width)[covered].astype(np.uint32)), None)]
-        bucket = bucket_of(h, buckets)
-        send = np.flatnonzero(~covered)
-        send = send[np.argsort(bucket[send], kind="stable")]
-        edges = np.searchsorted(bucket[send], np.arange(buckets + 1))
+        at = _begins(whole[order])
+        times = np.diff(np.append(at, len(order)))
+        low = np.repeat(doc[order][at], times) if len(order) else doc
+        later = order[doc[order] > low] if len(order) else order
+        gone.append((row[later], first[later], last[later]))
+        row_, first_, last_ = (np.concatenate(x) for x in zip(*gone))
+        rows = [(block % buckets, block, 1, None, None, None, None, None, _bytes(row_.astype(np.uint32)), _bytes(first_.astype(np.uint32)), _bytes(last_.astype(np.uint32)))]
+        order = order[doc[order] == low] if len(order) else order
+        at = _begins(whole[order]) if len(order) else order
+        times = np.diff(np.append(at, len(order)))
+        one = order[at]
+        turn, edges = _edges(bucket_of(h[one], buckets), buckets)
         for b in np.flatnonzero(np.diff(edges)).tolist():
-            s = send[edges[b] : edges[b + 1]]
+            t = turn[edges[b] : edges[b + 1]]
+            s, n = one[t], times[t]
             size = sizes[s]
             total = np.concatenate(([0], np.cumsum(size)))
             bits = data[np.repeat(starts[s] - total[:-1], size) + np.arange(total[-1])]
-            rows.append((b, block, 0, _bytes(bits), _bytes(size.astype(np.uint32)), _bytes(row[s].astype(np.uint32)), _bytes(first[s].astype(np.uint32)), _bytes(anchor[s].astype(np.uint16)), _bytes(doc[s])))
-        return pa.Table.from_batches([_batch(rows, _CUT)])
+            edge = np.cumsum(n) - n
+            places = order[np.repeat(at[t] - edge, n) + np.arange(n.sum())]
+            rows.append((b, block, 0, _bytes(bits), _bytes(size.astype(np.uint32)), _bytes(doc[s]), _bytes(anchor[s].astype(np.uint16)), _bytes(n.astype(np.uint32)), _bytes(row[places].astype(np.uint32)), _bytes(first[places].astype(np.uint32)), None))
+        return _batch(rows, _CUT)
 
     return run
 
 
-def _covered(unit: Unit, least: Callable):
+def _covered(unit: Unit, earlier: Callable):
     """Step 3: a bucket's windows that an earlier document has, as spans by block."""
 
     def run(table: pa.Table) -> pa.Table:
         kind = table["kind"].to_numpy()
         rows = []
         for i in np.flatnonzero(kind == 1).tolist():
-            rows.append((table["block"][i].as_py(), table["row"][i].as_py(), table["first"][i].as_py(), table["anchor"][i].as_py()))
+            rows.append((table["block"][i].as_py(), table["row"][i].as_py(), table["first"][i].as_py(), table["last"][i].as_py()))
         table = table.filter(pa.array(kind == 0)).sort_by("block")
         if table.num_rows:
-            sizes = _cat(table["sizes"], np.uint32).astype(np.int64)
-            raw = _cat(table["data"], np.uint8)
-            ends = np.concatenate(([0], np.cumsum(sizes)))
-            row, first, doc = _cat(table["row"], np.uint32), _cat(table["first"], np.uint32).astype(np.int64), _cat(table["ids"], np.int64)
-            anchor = _cat(table["anchor"], np.uint16).astype(np.int64)
+            ends = np.concatenate(([0], np.cumsum(_cat(table["sizes"], np.uint32).astype(np.int64))))
+            doc, times = _cat(table["ids"], np.int64), _cat(table["times"], np.uint32).astype(np.int64)
+            symbols, at, _, _ = unit.symbols(_cat(table["data"], np.uint8), ends)
             block = np.repeat(table["block"].to_numpy(), [int.from_bytes(x[:8], "little") // 8 for x in table["ids"].to_pylist()])
-            symbols, at, _, _ = unit.symbols(raw, ends)
             windows = np.diff(at) - unit.length + 1
             edge = np.concatenate(([0], np.cumsum(windows)))
-            place = np.arange(edge[-1]) - np.repeat(edge[:-1] - at[:-1], windows)  # where each window starts
-            earlier = least(symbols, at, anchor, doc, place, windows, unit.length) < np.repeat(doc, windows)
-            hits = np.flatnonzero(earlier)
+            hits = np.flatnonzero(earlier(symbols, at, _cat(table["anchor"], np.uint16).astype(np.int64), doc, windows, unit.length))
             if len(hits):
                 stretch = np.searchsorted(edge, hits, "right") - 1
-                begins = np.flatnonzero(np.concatenate(([True], stretch[1:] != stretch[:-1])))
+                begins = _begins(stretch, hits - np.arange(len(hits)))
                 of = stretch[begins]
-                start = first[of] + hits[begins] - edge[of]
-                end = first[of] + hits[np.append(begins[1:], len(hits)) - 1] - edge[of] + unit.length
-                row, block = row[of], block[of]
-                edges = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
+                start = hits[begins] - edge[of]
+                end = hits[np.append(begins[1:], len(hits)) - 1] - edge[of] + unit.length
+                # once for each place where the first document has the stretch
+                n = times[of]
+                begin = np.concatenate(([0], np.cumsum(times)))
+                place = np.repeat(begin[of] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                row, first = _cat(table["row"], np.uint32)[place], _cat(table["first"], np.uint32).astype(np.int64)[place]
+                block, start, end = np.repeat(block[of], n), first + np.repeat(start, n), first + np.repeat(end, n)
+                edges = np.append(_begins(block), len(block))
                 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                     rows.append((int(block[a]), _bytes(row[a:b]), _bytes(start[a:b].astype(np.uint32)), _bytes(end[a:b].astype(np.uint32))))
-        return pa.Table.from_batches([_batch(rows, _SPANS)])
+        return _batch(rows, _SPANS)
 
     return run
 
@@ -254,7 +326,7 @@ def _kept(unit: Unit, carry: list[str], schema: pa.Schema):
         row, start, end = row[order], start[order], end[order]
         size, removed, count, kept, gone = [], [], [], [], []
         base = 0
-        for batch, _ in _texts(docs):
+        for batch in docs.to_batches():
             for first_row, n, raw, offsets in common.slices(batch):
                 symbols, at, starts, ends = unit.symbols(raw, offsets)
                 a, b = np.searchsorted(row, [base + first_row, base + first_row + n])
@@ -297,42 +369,30 @@ def _kept(unit: Unit, carry: list[str], schema: pa.Schema):
     return run
 
 
-def without_repeats(docs: DataFrame, unit: Unit, least: Callable, carry: tuple[str, ...] = ()) -> DataFrame:
+def without_repeats(docs: DataFrame, unit: Unit, earlier: Callable, carry: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
     """(doc_id, *carry, size, n_removed, n_spans, kept, spans) for every row of ``docs(doc_id, text)``.
 
     ``size`` counts symbols; ``kept`` holds the remaining bytes, or words joined by one space; ``spans`` the maximal
-    removed runs, in symbols. ``least(symbols, offsets, anchors, docs, places, windows, length)`` gives the smallest
-    document of each window of a bucket. Null texts are empty; a null doc_id comes after all others; rows of one doc_id
-    do not count against each other;
-    equal rows give equal rows; an empty table gives an empty result. ``carry`` names columns to pass through
-    (none of the result's names); all other columns are left out.
+    removed runs, in symbols. ``earlier(symbols, offsets, anchors, docs, windows, length)`` tells for each window of a
+    bucket's stretches whether a smaller doc_id has it. Null texts are empty; a null doc_id comes after all others; rows
+    of one doc_id do not count against each other; equal rows give equal rows; a very long text is read in slices, with
+    the same result; an empty table gives an empty result. ``carry`` names columns to pass through (none of the
+    result's names); all other columns are left out.
     """
     if clash := {"doc_id", "size", "n_removed", "n_spans", "kept", "spans", "block", "text"} & {*carry}:
         raise ValueError(f"carried columns clash with the result's: {sorted(clash)}")
     from pyspark.sql.pandas.types import to_arrow_schema
 
     blocks = common.parts(docs)
-    seen = max(1, blocks // 2)  # a bucket answers every block: their product is the number of rows
-    buckets = 4 * blocks  # an index of a few MB of stretches fits beside the JVM
-
-    @F.pandas_udf("int")
-    def block(ids):
-        return _as_series(block_of(ids.to_numpy(np.int64), blocks))
-
     rows = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
-    texts = rows.withColumn("block", block("doc_id"))
-    anchored = rows.select("doc_id", "text").mapInArrow(_seen(unit, seen, blocks), _SEEN)
-    shared = anchored.groupBy("bucket").applyInArrow(_shared, _SHARED)
-    cut = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_stretches(unit, buckets), _CUT)
-    spans = cut.groupBy("bucket").applyInArrow(_covered(unit, least), _SPANS)
+    # rows without an id are dealt by their text, so that they do not meet in one block
+    texts = rows.withColumn("block", F.pmod(F.when(F.col("doc_id") == _LAST, F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(blocks)).cast("int"))
+    seen = texts.groupBy("block").applyInArrow(_seen(unit, blocks, hot), _SEEN)
+    shared = seen.groupBy("bucket").applyInArrow(_shared(hot), _SHARED)
+    cut = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_stretches(unit, blocks), _CUT)
+    spans = cut.groupBy("bucket").applyInArrow(_covered(unit, earlier), _SPANS)
     kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
     result = f"doc_id long{kinds}, size long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>"
     schema = to_arrow_schema(docs.sparkSession.createDataFrame([], result).schema)
     kept = texts.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_kept(unit, list(carry), schema), result)
     return kept.withColumn("doc_id", F.nullif("doc_id", F.lit(_LAST)))
-
-
-def _as_series(values: np.ndarray):
-    import pandas as pd
-
-    return pd.Series(values.astype(np.int32))

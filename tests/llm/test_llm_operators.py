@@ -1,14 +1,16 @@
 import collections
 import hashlib
 import math
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rankloom.llm import audio, components, embeddings, fm_dedup, mixing, pieces, pitman_yor, quality, simhash, suffix_dedup, urls
+from rankloom.llm import anchors, audio, common, components, embeddings, fm_dedup, mixing, pieces, pitman_yor, quality, repeats, simhash, suffix_dedup, urls
 from tests.llm.conftest import LOW, WORD
 
 BIG = 1 << 62
@@ -112,19 +114,50 @@ def brute_words(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length", [50, 31])
-def test_suffix_dedup(docs, texts, length):
-    rows = suffix_dedup.dedup(docs, length, carry=("source", "key")).collect()
+@pytest.mark.parametrize("length, hot", [(50, 1 << 14), (31, 1 << 14), (50, 4)])
+def test_suffix_dedup(docs, texts, length, hot):
+    rows = suffix_dedup.dedup(docs, length, carry=("source", "key"), hot=hot).collect()
     assert collections.Counter((r.doc_id, r.size, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows) == brute_bytes(texts, length)
     assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in rows)
 
 
-@pytest.mark.parametrize("length", [13, 4])
-def test_fm_dedup(docs, texts, length):
-    rows = fm_dedup.dedup(docs, length).collect()
+@pytest.mark.parametrize("length, hot", [(13, 1 << 14), (4, 1 << 14), (13, 4)])
+def test_fm_dedup(docs, texts, length, hot):
+    rows = fm_dedup.dedup(docs, length, hot=hot).collect()
     assert collections.Counter((r.doc_id, r.size, r.n_removed, bytes(r.kept)) for r in rows) == brute_words(texts, length)
 
 
+def test_hot_anchor_is_split(spark):
+    """One gram in very many contexts: its windows are dealt by content, and the result is whole."""
+    r = random.Random(8)
+    line = "the common line that everyone has"
+    rows = [(i, f"{r.randrange(1 << 60):x} {line} {r.randrange(300):x} {r.randrange(3)} and some more of it here") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = collections.Counter((x.doc_id, x.size, x.n_removed, x.n_spans, bytes(x.kept)) for x in suffix_dedup.dedup(docs, hot=64).collect())
+    assert got == brute_bytes(rows, 50)
+    unit = repeats.Unit(False, 50, 20)
+    table = pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows], "block": pa.array([0] * len(rows), pa.int32())})
+    seen = repeats._seen(unit, 8, 64)(table)
+    named = sum(int.from_bytes(x[:8], "little") // 8 for x in seen["anchor"].to_pylist())
+    split = sum(int.from_bytes(x[:8], "little") // 8 for x in seen["hot"].to_pylist())
+    assert 0 < split < 30 and named < len(rows) * 20  # the split anchors' contexts do not travel
+
+
+def test_passages_in_very_long_texts(spark):
+    """Texts beyond a slice and a piece, with repeats across their edges."""
+    r = random.Random(3)
+    long = " ".join(f"{r.randrange(1 << 30):x}" for _ in range(140_000))
+    rows = [(1, long), (2, "start " + long[5:]), (3, long[400_000:700_000]), (4, long[-60:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert len(long) > 2 * common.SLICE_BYTES and len(long) > 2 * anchors.PIECE
+    got = {x.doc_id: x for x in suffix_dedup.dedup(docs).collect()}
+    assert [got[i].n_removed for i in (1, 2, 3, 4)] == [0, len(long) - 5, 300_000, 60]
+    words = {x.doc_id: x for x in fm_dedup.dedup(docs).collect()}
+    n = len(long.split(" "))
+    assert words[1].n_removed == 0 and words[2].n_removed == n - 1 and words[4].n_removed == 0
+    assert words[3].size - words[3].n_removed <= 2
+
+
 def test_suffix_blocks_are_in_order(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 64)
     r = np.random.default_rng(3)
@@ -134,26 +167,67 @@ def test_suffix_blocks_are_in_order(monkeypatch):
     windows = np.diff(ends) - 50 + 1
     places = np.concatenate([np.arange(a, a + n) for a, n in zip(ends[:-1], windows)])
     order, same = zip(*suffix_dedup.suffix_blocks(raw, ends, r.integers(0, 20, len(parts)), places, 50))
+    assert len(order) > 5
     order, same = np.concatenate(order), np.concatenate(same)
     text = [raw[p : p + 50].tobytes() for p in order]
     assert text == sorted(text) and same.tolist() == [False, *[a == b for a, b in zip(text, text[1:])]]
 
 
-def test_fm_index_counts():
-    r = np.random.default_rng(4)
-    sizes = r.integers(4, 12, 30)
+def shard(seed=4, n=30):
+    r = np.random.default_rng(seed)
+    sizes = r.integers(4, 12, n)
     offsets = np.concatenate(([0], np.cumsum(sizes)))
-    symbols = r.integers(0, 3, offsets[-1]).astype(np.uint64)
-    doc = r.permutation(30).astype(np.int64)
+    return r.integers(0, 3, offsets[-1]).astype(np.uint64), offsets, sizes, r.permutation(n).astype(np.int64)
+
+
+def test_fm_index_finds_earlier_documents():
+    symbols, offsets, sizes, doc = shard()
     windows = sizes - 4 + 1
     places = np.concatenate([np.arange(a, a + n) for a, n in zip(offsets[:-1], windows)])
-    got = fm_dedup.least_document(symbols, offsets, None, doc, places, windows, 4)
+    got = fm_dedup.earlier_document(symbols, offsets, None, doc, windows, 4)
     owner = np.repeat(doc, windows)
     keys = [tuple(symbols[p : p + 4]) for p in places]
     want = {}
     for k, d in zip(keys, owner.tolist()):
         want[k] = min(want.get(k, d), d)
-    assert got.tolist() == [want[k] for k in keys]
+    assert got.tolist() == [want[k] < d for k, d in zip(keys, owner.tolist())]
+
+
+def test_fm_index_is_what_answers(monkeypatch):
+    """With a wrong transform the answers are wrong: nothing beside the index knows them."""
+    symbols, offsets, sizes, doc = shard()
+    windows = sizes - 4 + 1
+    right = fm_dedup.earlier_document(symbols, offsets, None, doc, windows, 4)
+    tree = fm_dedup.Wavelet
+    monkeypatch.setattr(fm_dedup, "Wavelet", lambda x: tree(x[::-1].copy()))
+    assert fm_dedup.earlier_document(symbols, offsets, None, doc, windows, 4).tolist() != right.tolist()
+
+
+def test_fm_index_takes_foreign_documents():
+    """Matching statistics of texts that are not in the shard: the windows that it has, and their smallest document."""
+    symbols, offsets, sizes, doc = shard()
+    text = np.concatenate([np.append(symbols[a:b] + 1, 0) for a, b in zip(offsets[:-1], offsets[1:])]).astype(np.int32)
+    index = fm_dedup.Index(text, np.repeat(doc, sizes + 1), len(doc), int(sizes.max()), 4)
+    other = np.random.default_rng(5).integers(1, 4, 400).astype(np.int32)
+    want = {}
+    for (a, b), d in zip(zip(offsets[:-1], offsets[1:]), doc.tolist()):
+        for p in range(a, b - 3):
+            k = tuple(symbols[p : p + 4] + 1)
+            want[k] = min(want.get(k, d), d)
+    got = {int(p): int(d) for hit, place, least in index.statistics(other, np.array([399]), np.array([400]), 4) for p, d in zip(place, least)}
+    assert got == {p: want[k] for p in range(397) if (k := tuple(other[p : p + 4])) in want} and 0 < len(got)
+
+
+def test_wavelet_tree_is_compressed():
+    r = np.random.default_rng(6)
+    seq = np.minimum(r.zipf(1.3, 50_000), 3000)
+    seq = np.unique(seq, return_inverse=True)[1]
+    tree = fm_dedup.Wavelet(seq)
+    p = tree.counts / len(seq)
+    entropy = -(p * np.log2(p)).sum()
+    assert sum(64 * len(level[0].words) for level in tree.levels) < len(seq) * (entropy + 0.2)
+    symbol, place = r.integers(0, len(p), 500), r.integers(0, len(seq) + 1, 500)
+    assert tree.ranks(symbol, place).tolist() == [int((seq[:i] == s).sum()) for s, i in zip(symbol, place)]
 
 
 # ---- 3: mixing
