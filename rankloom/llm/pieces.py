@@ -1,7 +1,14 @@
-"""SentencePiece encoding and decoding by best-scoring pieces, with a max-plus scan over the chunks of giant texts."""
+"""SentencePiece encoding and decoding, with a max-plus scan over the chunks of giant texts.
+
+The model merges the best-scoring neighbours first (BPE). A sequence of pieces is what those merges give exactly if
+every two neighbours stay apart when the merges are run on the two alone: a merge across a border would happen between
+the same two neighbours whatever stands around them. So a text's pieces are the one path on which all neighbours may
+meet, and whether a stretch can be crossed from one piece to another is a matrix of 0 and minus infinity.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,14 +21,18 @@ from rankloom.llm import common
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: Stands for a marker character of the text itself, which is no space; no valid text has it.
+LITERAL = "\ud800"
 #: Texts of more characters are split into chunks of so many.
 CHUNK = 1 << 16
-#: Words whose pieces a task remembers.
-REMEMBERED = 1 << 17
+#: Words and pairs of pieces that a task remembers.
+REMEMBERED = 1 << 18
 #: Words of more characters are encoded by themselves.
 LONG = 64
-#: Score of a character that no piece spells, and the score from which a piece is never used.
-UNKNOWN, UNUSED = -100_000.0, -1e8
+#: The rank of a pair that no merge joins, and a place whose symbol has gone into another.
+NEVER, GONE = np.int32(2**31 - 1), np.int32(-(2**31))
+
+_UNIT = re.compile(" +[^ ]*")
 
 
 class Vocabulary:
@@ -35,238 +46,275 @@ class Vocabulary:
         self.bytes = [0] * 256
         self.spelled = [b""] * n
         self.known: dict[str, tuple[float, int]] = {}
-        self.scores = np.zeros(n)
         for i in range(n):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 value = int(piece[1:-1], 16)
                 self.bytes[value], self.spelled[i] = i, bytes([value])
-                self.scores[i] = 0.0 if 0x80 <= value < 0xC0 else UNKNOWN  # once a character
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.spelled[i] = piece.replace(SPACE, " ").encode()
-                if sp.get_score(i) > UNUSED:
-                    self.known[piece] = (sp.get_score(i), i)
-                elif len(piece) == 1:  # a last resort, but better than bytes
-                    self.known[piece] = (UNKNOWN, i)
-                self.scores[i] = self.known.get(piece, (0.0, i))[0]
+                self.known[piece] = (sp.get_score(i), i)
         self.longest = max(map(len, self.known), default=1)
-        #: No used piece goes on after a space: every space begins a piece, and words are independent.
-        self.splits = not any(SPACE in p[1:] for p in self.known)
+        #: No piece goes on with a space after another character: what begins with spaces is encoded alone.
+        self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.known)
         self.memory: dict[str, bytes] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
         self.table = None
 
-    def options(self, text: str, at: int, marker: bool) -> list[tuple[int, float]]:
-        """(length, score) of the pieces that can start at a place; a literal marker character is no space."""
-        known, out = self.known, []
-        if text[at] == SPACE and not marker:
-            return [(1, UNKNOWN)]
-        for n in range(1, min(self.longest, len(text) - at) + 1):
-            if n > 1 and text[at + n - 1] == SPACE:
-                break
-            hit = known.get(text[at : at + n])
-            if hit:
-                out.append((n, hit[0]))
-        if text[at] not in known:
-            out.append((1, UNKNOWN))
-        return out
-
-    def ids(self, text: str, at: int, n: int, marker: bool) -> list[int]:
-        piece = text[at : at + n]
-        if piece in self.known and (piece[0] != SPACE or marker):
-            return [self.known[piece][1]]
-        return [self.bytes[b] for b in piece.encode()]
-
-    def word(self, text: str) -> bytes:
-        """Ids (int32 bytes) of one word with its space before it: the best sum of scores, of equal ones the longest last piece."""
-        n = len(text)
-        best, back = [0.0] + [-np.inf] * n, [0] * (n + 1)
-        for i in range(n):
-            if best[i] > -np.inf:
-                for k, s in self.options(text, i, i == 0):
-                    if best[i] + s > best[i + k]:
-                        best[i + k], back[i + k] = best[i] + s, k
-        cuts, at = [], n
-        while at:
-            cuts.append((at - back[at], back[at]))
-            at -= back[at]
-        return np.array([x for a, k in reversed(cuts) for x in self.ids(text, a, k, a == 0)], "<i4").tobytes()
+    def merged(self, text: str) -> list[str]:
+        """What the merges make of a short text: the best-scoring pair first, of equal ones the leftmost."""
+        parts = list(text)
+        while True:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                hit = self.known.get(parts[i] + parts[i + 1])
+                if hit and (best is None or hit[0] > best):
+                    best, at = hit[0], i
+            if best is None:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def meet(self, a: str, b: str) -> bool:
+        """Whether two pieces can be neighbours; ``a`` is empty at a text's or a word's start."""
+        hit = self.pairs.get((a, b))
+        if hit is None:
+            if len(self.pairs) >= REMEMBERED:
+                self.pairs.clear()
+            hit = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+        return hit
+
+    def starting(self, text: str, at: int) -> list[str]:
+        """The pieces, or the single character, that can start at a place."""
+        out = [t for n in range(1, min(self.longest, len(text) - at) + 1) if (t := text[at : at + n]) in self.known]
+        return out if text[at] in self.known else [text[at], *out]
+
+    def ids(self, piece: str) -> list[int]:
+        hit = self.known.get(piece)
+        return [hit[1]] if hit else [self.bytes[b] for b in (SPACE if piece == LITERAL else piece).encode()]
 
     def _table(self):
-        """Hashes of the pieces in order, with their scores and ids."""
+        """Merges by a hash of their two symbols, with ranks (best first) and results; symbols of characters; ids of symbols."""
         if self.table is None:
-            names = list(self.known)
-            flat = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32)
-            ends = np.cumsum([len(x) for x in names])
-            h = common.spans(common.prefix_hash(flat), ends - [len(x) for x in names], ends)
-            order = np.argsort(h)
-            values = [self.known[n] for n in names]
-            h = h[order]
-            # where the hashes of each leading 20 bits begin
-            first = np.searchsorted(h >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64)).astype(np.int32)
-            self.table = h, np.array([v[0] for v in values])[order], np.array([v[1] for v in values], np.int32)[order], first
+            names = dict.fromkeys([*self.known, *{c for p in self.known for c in p}])
+            number = {s: i for i, s in enumerate(names)}
+            rows = [(number[p[:k]] << 32 | number[p[k:]], -score, number[p]) for p, (score, _) in self.known.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number]
+            keys, scores, result = (np.array(c, k) for c, k in zip(zip(*rows), (np.uint64, np.float64, np.int32))) if rows else (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int32))
+            rank = np.unique(scores, return_inverse=True)[1].astype(np.int32)  # equal scores, equal ranks
+            symbol = np.full(0x110000, -1, np.int32)
+            for s, i in number.items():
+                if len(s) == 1:
+                    symbol[ord(s)] = i
+            symbol[ord(" ")], symbol[ord(SPACE)] = symbol[ord(SPACE)], -1  # a space is a marker, a marker is none
+            ids = np.array([self.known[s][1] if s in self.known else -ord(s) - 1 for s in number], np.int32)
+            places = np.full(1 << max(10, (4 * len(keys)).bit_length()), -1, np.int32)
+            at, left = _hashed(keys, len(places)), np.arange(len(keys))
+            while len(left):
+                free = left[places[at] < 0]
+                places[at[places[at] < 0]] = free  # of several at one place the last stays
+                lost = places[at] != left
+                at, left = (at[lost] + 1) % len(places), left[lost]
+            self.table = keys, rank, result, symbol, ids, places
         return self.table
 
-    def _found(self, h: np.ndarray) -> np.ndarray:
-        """Places of the hashes in the table; -1 for those that no piece has."""
-        hashes, _, _, first = self._table()
-        bucket = (h >> np.uint64(44)).astype(np.int64)
-        spot, stop = first[bucket], first[bucket + 1]
-        out = np.full(len(h), -1, np.int32)
-        open_ = np.flatnonzero(spot < stop)
+    def _lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and result of merging each pair of symbols; the rank NEVER where there is none."""
+        keys, ranks, results, _, _, places = self._table()
+        rank, result = np.full(left.shape, NEVER, np.int32), np.zeros(left.shape, np.int32)
+        open_ = np.flatnonzero((left >= 0) & (right >= 0)) if len(keys) else np.zeros(0, np.int64)
+        key = left[open_].astype(np.uint64) << np.uint64(32) | right[open_].astype(np.uint64)
+        at = _hashed(key, len(places))
         while len(open_):
-            at = spot[open_]
-            hit = hashes[at] == h[open_]
-            out[open_[hit]] = at[hit]
-            spot[open_] += 1
-            open_ = open_[~hit & (at + 1 < stop[open_])]
-        return out
+            spot = places[at]
+            hit = (keys[spot] == key) & (spot >= 0)
+            rank[open_[hit]], result[open_[hit]] = ranks[spot[hit]], results[spot[hit]]
+            on = ~hit & (spot >= 0)
+            open_, key, at = open_[on], key[on], (at[on] + 1) % len(places)
+        return rank, result
 
     def words(self, units: list[str]) -> list[bytes]:
-        """``word`` of each unit with a space before it, all at once: one step a place and length, over all units."""
+        """Ids (int32 bytes) of short units (spaces, then other characters), all merged at once.
+
+        A step makes the best merge of every unit. Symbols stay at their places, linked to the next and the last.
+        """
         if not units:
             return []
-        _, scores, pieces, _ = self._table()
-        order = sorted(range(len(units)), key=lambda i: -len(units[i]))
-        units = [units[i] for i in order]
-        size = np.array([len(u) + 1 for u in units])
-        start = np.concatenate(([0], np.cumsum(size)))
-        flat = np.frombuffer("".join([SPACE + u for u in units]).encode("utf-32-le"), np.uint32)
-        left = np.repeat(start[1:], size) - np.arange(len(flat))
-        prefix, depth = common.prefix_hash(flat), min(self.longest, int(size.max()))
-        gain, ident = np.full((depth, len(flat)), -np.inf), np.zeros((depth, len(flat)), np.int32)
-        for k in range(1, depth + 1):
-            at = np.flatnonzero(left >= k)
-            h = common.spans(prefix, at, at + k)
-            spot = self._found(h)
-            hit = spot >= 0
-            gain[k - 1, at[hit]], ident[k - 1, at[hit]] = scores[spot[hit]], pieces[spot[hit]]
-            if k == 1:
-                lost = at[~hit]
-                gain[0, lost], ident[0, lost] = UNKNOWN, -flat[lost].astype(np.int64) - 1
-        longest = int(size[0])
-        best, back = np.full((longest + 1, len(units)), -np.inf), np.zeros((longest + 1, len(units)), np.int8)
-        best[0] = 0.0
-        live = np.searchsorted(-size, -np.arange(longest), "left")  # units longer than each place
-        for i in range(longest):
-            for k in range(1, min(depth, longest - i) + 1):
-                n = live[i + k - 1]
-                new = best[i, :n] + gain[k - 1, start[:n] + i]
-                better = new > best[i + k, :n]
-                np.copyto(best[i + k, :n], new, where=better)
-                back[i + k, :n][better] = k
-        at, rows = size.copy(), []
-        going = np.arange(len(units))
-        while len(going):
-            k = back[at[going], going].astype(np.int64)
-            at[going] -= k
-            rows.append((going, ident[k - 1, start[going] + at[going]]))
-            going = going[at[going] > 0]
-        of, found = np.concatenate([r[0] for r in rows[::-1]]), np.concatenate([r[1] for r in rows[::-1]])
-        turn = np.argsort(of, kind="stable")
-        of, found = of[turn], found[turn]
-        low = (found < 0) & (found >= -128)
-        found[low] = np.array(self.bytes, np.int32)[-found[low] - 1]
-        ends = np.searchsorted(of, np.arange(1, len(units) + 1)).tolist()
-        data, odd = found.astype("<i4").tobytes(), set(of[found < 0].tolist())
+        _, _, _, symbol, names, _ = self._table()
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        order = np.argsort(sizes, kind="stable")
         out: list[bytes] = [b""] * len(units)
-        a = 0
-        for i, z in enumerate(ends):
-            # characters of several bytes without a piece, and literal markers, are spelled one by one
-            out[order[i]] = self.word(SPACE + units[i]) if i in odd or SPACE in units[i] else data[4 * a : 4 * z]
-            a = z
+        for a in range(0, len(order), 1 << 12):
+            some = order[a : a + (1 << 12)]
+            size = sizes[some]
+            m, wide = len(some), int(size.max()) + 1
+            flat = np.frombuffer("".join([units[i] for i in some.tolist()]).encode("utf-32-le"), np.uint32).astype(np.int32)
+            inside = (np.arange(wide) < size[:, None]).reshape(-1)
+            parts = np.full(m * wide, GONE, np.int32)
+            found = symbol[flat]
+            parts[inside] = np.where(found >= 0, found, -flat - 1)  # a character without a symbol: its negative code
+            after, before = np.arange(1, m * wide + 1), np.arange(-1, m * wide - 1)
+            rank = np.full(m * wide, NEVER, np.int32)
+            first = np.flatnonzero(inside)
+            rank[first] = self._lookup(parts[first], parts[first + 1])[0]
+            grid, live = rank.reshape(m, wide), np.arange(m)
+            while len(live):
+                at = grid[live].argmin(1)  # of equal ranks the leftmost
+                at += live * wide
+                good = rank[at] < NEVER
+                live, at = live[good], at[good]
+                right = after[at]
+                parts[at] = self._lookup(parts[at], parts[right])[1]
+                parts[right], rank[right] = GONE, NEVER
+                then = after[right]
+                after[at], before[then] = then, at
+                rank[at] = self._lookup(parts[at], parts[then])[0]
+                left = before[at]
+                has = left >= live * wide
+                at, left = at[has], left[has]
+                rank[left] = self._lookup(parts[left], parts[at])[0]
+            kept = np.flatnonzero(parts > GONE)
+            of, flat = kept // wide, parts[kept]
+            known = flat >= 0
+            flat[known] = names[flat[known]]
+            low = (flat < 0) & (flat >= -128)
+            flat[low] = np.array(self.bytes, np.int32)[-flat[low] - 1]
+            edges = np.searchsorted(of, np.arange(m + 1)).tolist()
+            data, odd = flat.astype("<i4").tobytes(), set(of[flat < 0].tolist())
+            for i, (k, x, y) in enumerate(zip(some.tolist(), edges[:-1], edges[1:])):
+                # characters of several bytes without a piece are spelled one by one
+                if i in odd:
+                    out[k] = np.array([z for p in flat[x:y].tolist() for z in ([p] if p >= 0 else [self.bytes[b] for b in chr(-p - 1).encode()])], "<i4").tobytes()
+                else:
+                    out[k] = data[4 * x : 4 * y]
         return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids (int32 bytes) of each whole text; an empty text is its first space alone."""
+        """Ids (int32 bytes) of each whole text with a space before it."""
         if not self.splits:
-            marked = [_marked(t) for t in texts]
-            return [np.array(self.trace(m, real, len(m), 0, 0), "<i4").tobytes() for m, real in marked]
-        split = [t.split(" ") for t in texts]
+            return [self.path(_marked(" " + t)) for t in texts]
+        split = [_UNIT.findall(" " + t) for t in texts]
         memory = self.memory
         if len(memory) >= REMEMBERED:
             memory.clear()
         new = [u for u in set().union(*split) if u not in memory]
         short = [u for u in new if len(u) < LONG]
-        for a in range(0, len(short), 1 << 12):
-            some = short[a : a + (1 << 12)]
-            memory.update(zip(some, self.words(some)))
-        memory.update((u, self.word(SPACE + u)) for u in new if len(u) >= LONG)
+        memory.update(zip(short, self.words(short)))
+        memory.update((u, self.path(_marked(u))) for u in new if len(u) >= LONG)
         return [b"".join([memory[u] for u in us]) for us in split]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
-    def cuts(self, part: str, size: int) -> tuple[int, int]:
-        """The first and the last space of a chunk, which begin pieces on every path; -1 if there are none."""
-        first = part.find(" ", 0, size) if self.splits else -1
-        return first, part.rfind(" ", 0, size) if first >= 0 else -1
+    # ---- chunks
+
+    def across(self, text: str, border: int, last: bool) -> list[tuple[int, str]]:
+        """States of a border: (start, piece) of the pieces that can hold the character before it; at a text's end, end there."""
+        out = []
+        for s in range(max(0, border - self.longest), border):
+            out += [(s, t) for t in self.starting(text, s) if s + len(t) >= border and (not last or s + len(t) == border)]
+        return out
 
-    def chunk_matrix(self, part: str, size: int) -> np.ndarray:
-        """Max-plus matrix of a chunk: best score from each entry state to each exit state.
+    def cuts(self, text: str, lead: int, size: int) -> tuple[int, int]:
+        """The first and the last place inside a chunk where a space follows another character; -1 if there are none."""
+        places = [m.start() + 1 for m in re.finditer(f"[^{SPACE}]{SPACE}", text[lead : lead + size])] if self.splits else []
+        return (lead + places[0], lead + places[-1]) if places else (-1, -1)
 
-        ``part`` is the chunk's ``size`` characters and what its last piece may reach beyond. A state is how many
-        characters the piece across a boundary takes from the chunk after it; a piece counts where it starts. Paths
-        meet at spaces: only what is before the first and after the last depends on the states.
+    def walk(self, text: str, entry: list[tuple[int, str]], stop: int, back: dict | None = None) -> dict[int, dict[str, int]]:
+        """Which pieces that end at ``stop`` or later, having started before, can be reached from which entry states.
+
+        The result has the pieces by their end, each with a bit for every entry state; ``back`` gets every piece's
+        predecessor, for a single entry state.
+        """
+        reach: dict[int, dict[str, int]] = {}
+        for i, (s, t) in enumerate(entry):
+            reach.setdefault(s + len(t), {})[t] = reach.get(s + len(t), {}).get(t, 0) | 1 << i
+        for at in range(min(reach, default=stop), stop):
+            before = reach.pop(at, None)
+            if not before:
+                continue
+            for t in self.starting(text, at):
+                mask = 0
+                for p, m in before.items():
+                    if m | mask != mask and self.meet(p, t):
+                        mask |= m
+                        if back is not None:
+                            back[at, t] = p
+                if mask:
+                    here = reach.setdefault(at + len(t), {})
+                    here[t] = here.get(t, 0) | mask
+        return reach
+
+    def chunk_matrix(self, part: str, lead: int, size: int, last: bool) -> np.ndarray:
+        """Max-plus matrix of a chunk: 0 where its exit state can be reached from its entry state.
+
+        ``part`` holds the chunk's ``size`` characters, ``lead`` before them (none at a text's start) and some after. A
+        state is the piece that holds the character before a border. Paths meet where a word ends: only what is before
+        the first and after the last such place depends on the states.
         """
-        text, real = part.replace(" ", SPACE), [c == " " for c in part]
-        first, last = self.cuts(part, size)
+        text, stop = _marked(part), lead + size
+        entry = self.across(text, lead, False) if lead else [(0, "")]
+        leave = self.across(text, stop, last)
+        first, final = self.cuts(text, lead, size)
+        out = np.full((len(entry), len(leave)), -np.inf)
         if first < 0:
-            return self.transfer(text, real, size)
-        head = self.transfer(text[: first + 1], real[: first + 1], first)[:, 0]
-        tail = self.transfer(text[last:], real[last:], size - last)[0]
-        middle = self.encode(part[first + 1 : last]) if last > first else b""
-        return (head + self.scores[np.frombuffer(middle, "<i4")].sum())[:, None] + tail[None, :]
-
-    def chunk_ids(self, part: str, size: int, start: int, stop: int) -> list[int]:
-        """Ids of the best pieces that start in the chunk, from one entry state to one exit state."""
-        text, real = part.replace(" ", SPACE), [c == " " for c in part]
-        first, last = self.cuts(part, size)
+            reach = self.walk(text, entry, stop)
+            for j, (s, t) in enumerate(leave):
+                mask = reach.get(s + len(t), {}).get(t, 0)
+                out[[i for i in range(len(entry)) if mask >> i & 1], j] = 0.0
+            return out
+        # a piece of a word ends where the word does
+        came = 0
+        for mask in self.walk(text[:first], entry, first).get(first, {}).values():
+            came |= mask
+        tail = self.walk(text, [(final, "")], stop)
+        goes = [j for j, (s, t) in enumerate(leave) if s >= final and tail.get(s + len(t), {}).get(t)]
+        out[np.ix_([i for i in range(len(entry)) if came >> i & 1], goes)] = 0.0
+        return out
+
+    def chunk_ids(self, part: str, lead: int, size: int, last: bool, start: int, stop: int) -> list[int]:
+        """Ids of the pieces that start in the chunk, from one entry state to one exit state."""
+        text, end = _marked(part), lead + size
+        entry = self.across(text, lead, False)[start] if lead else (0, "")
+        leave = self.across(text, end, last)[stop]
+        first, final = self.cuts(text, lead, size)
         if first < 0:
-            return self.trace(text, real, size, start, stop)
-        head = self.trace(text[: first + 1], real[: first + 1], first, start, 0)
-        middle = np.frombuffer(self.encode(part[first + 1 : last]) if last > first else b"", "<i4").tolist()
-        return head + middle + self.trace(text[last:], real[last:], size - last, 0, stop)
-
-    def transfer(self, text: str, real: list[bool], size: int) -> np.ndarray:
-        """The matrix of a stretch, every place and state."""
-        k = self.longest
-        score = np.full((size + k, k), -np.inf)
-        for d in range(min(k, size + k)):
-            score[d, d] = 0.0
-        for i in range(size):
-            here = score[i]
-            for n, s in self.options(text, i, real[i]):
-                np.maximum(score[i + n], here + s, out=score[i + n])
-        return score[size : size + k].T.copy()
-
-    def trace(self, text: str, real: list[bool], size: int, start: int, stop: int) -> list[int]:
-        """Ids of the best pieces that start in a stretch, every place looked at."""
-        best, back = np.full(size + self.longest, -np.inf).tolist(), [0] * (size + self.longest)
-        best[start] = 0.0
-        for i in range(start, size):
-            if best[i] == -np.inf:
-                continue
-            for n, s in self.options(text, i, real[i]):
-                if best[i] + s > best[i + n]:
-                    best[i + n], back[i + n] = best[i] + s, n
-        cuts, at = [], size + stop
-        while at > start:
-            cuts.append((at - back[at], back[at]))
-            at -= back[at]
-        return [x for a, n in reversed(cuts) for x in self.ids(text, a, n, real[a])]
+            return self.trace(text, entry, end, leave)
+        head = self.trace(text[:first], entry, first, None)
+        middle = np.frombuffer(self.encode(part[first + 1 : final]) if final > first else b"", "<i4").tolist()
+        return head + middle + self.trace(text, (final, ""), end, leave)
+
+    def trace(self, text: str, entry: tuple[int, str], stop: int, leave: tuple[int, str] | None) -> list[int]:
+        """Ids of the pieces after the entry state, up to the exit state or to the one piece that ends at ``stop``."""
+        back: dict[tuple[int, str], str] = {}
+        reach = self.walk(text, [entry], stop, back)
+        at, piece = (leave[0] + len(leave[1]), leave[1]) if leave else (stop, next(iter(reach[stop])))
+        begin, out = entry[0] + len(entry[1]), []
+        while at > begin:
+            out.append(piece)
+            at, piece = at - len(piece), back[at - len(piece), piece]
+        return [x for p in reversed(out) for x in self.ids(p)]
+
+    def path(self, text: str) -> bytes:
+        """Ids (int32 bytes) of one marked text, every place looked at."""
+        ends = [(s, t) for s, t in self.across(text, len(text), True)]
+        reach = self.walk(text, [(0, "")], len(text))
+        leave = next((x for x in ends if x[1] in reach.get(len(text), {})), None)
+        return np.array(self.trace(text, (0, ""), len(text), leave), "<i4").tobytes()
+
+
+def _hashed(keys: np.ndarray, size: int) -> np.ndarray:
+    return (common.mix(keys) & np.uint64(size - 1)).astype(np.int64)
 
 
-def _marked(text: str) -> tuple[str, list[bool]]:
-    """The text with spaces as markers and one before it, and which characters are such markers."""
-    spaced = " " + text
-    return spaced.replace(" ", SPACE), [c == " " for c in spaced]
+def _marked(text: str) -> str:
+    """Spaces as markers; a marker character of the text itself is no space."""
+    return text.replace(SPACE, LITERAL).replace(" ", SPACE)
 
 
 def states(matrices: list[np.ndarray]) -> list[int]:
-    """Boundary states of the best path through all chunks, from state 0 to state 0.
+    """Border states of the path through all chunks: one for each border, the text's start and end included.
 
-    Matrices combine by (max, +), which is associative: runs of chunks are multiplied pairwise up a tree, and the best
-    state at each middle boundary is then chosen from the root down.
+    Matrices combine by (max, +), which is associative: runs of chunks are multiplied pairwise up a tree, and the
+    state at each middle border is then chosen from the root down. One path is finite, so there are no ties.
     """
     tree = [matrices]
     while len(tree[-1]) > 1:
@@ -275,7 +323,7 @@ def states(matrices: list[np.ndarray]) -> list[int]:
             (level[i][:, :, None] + level[i + 1][None, :, :]).max(1) if i + 1 < len(level) else level[i]
             for i in range(0, len(level), 2)
         ])
-    ends = [(0, 0)]
+    ends = [(0, int(tree[-1][0][0].argmax()))]
     for level in reversed(tree[:-1]):
         below: list[tuple[int, int]] = []
         for i, (a, b) in zip(range(0, len(level), 2), ends):
@@ -285,7 +333,7 @@ def states(matrices: list[np.ndarray]) -> list[int]:
             else:
                 below.append((a, b))
         ends = below
-    return [a for a, _ in ends]
+    return [ends[0][0], *[b for _, b in ends]]
 
 
 def _listed(ids: list[bytes]) -> pa.ListArray:
@@ -306,17 +354,24 @@ def _texts(spelled: list[bytes], ids: np.ndarray, counts: np.ndarray) -> list[st
 
 
 def encode(spark: SparkSession, docs: DataFrame, path: str = MODEL, chunk: int = CHUNK, carry: tuple[str, ...] = (), verify: bool = False) -> DataFrame:
-    """(doc_id, text, *carry, ids): the pieces of each whole text whose scores have the largest sum.
+    """(doc_id, text, *carry, ids): the pieces of each whole text, the ids that the model's own library gives.
 
     Spaces become markers and one stands before the text, as the model asks; characters without a piece become the
-    pieces of their bytes, and so do marker characters of the text itself, so that decoding gives back any text. Null
-    and empty texts have no pieces. Texts up to ``chunk`` characters are encoded where they are. Longer ones are split
-    into chunks: each gives the matrix of best scores from its entry to its exit states, the matrices of a text are
-    combined, and with its boundary states known each chunk is traced back on its own. Repeated rows are kept; those of
-    a giant text are computed once. An empty table gives an empty result. With ``verify`` the pieces are decoded again
-    where they were made, and ``round_trip`` tells whether that gave the text.
+    pieces of their bytes. So do marker characters of the text itself (the library reads them as spaces), so that
+    decoding gives back any text. Null and empty texts have no pieces. Texts up to ``chunk`` characters are encoded
+    where they are. Longer ones are split into chunks: each gives the matrix of what can be reached from its entry to
+    its exit states, the matrices of a text are combined, and with its border states known each chunk is traced back
+    on its own; the ids do not depend on ``chunk`` (twice the longest piece at least). Ties of equal scores go to the
+    left, as in the library. Repeated rows are kept; those of a giant text are computed once. An empty table gives an
+    empty result. ``carry`` names columns to pass through (none of the result's names); all others are left out. With
+    ``verify`` the pieces are decoded again where they were made, and ``round_trip`` tells whether that gave the text.
     """
-    model = spark.sparkContext.broadcast(Vocabulary(path))
+    if clash := {"doc_id", "text", "ids", "key", "round_trip", "decoded"} & {*carry}:
+        raise ValueError(f"carried columns clash with the result's: {sorted(clash)}")
+    vocabulary = Vocabulary(path)
+    if chunk < 2 * vocabulary.longest:
+        raise ValueError(f"chunks of {chunk} characters are shorter than two pieces of {vocabulary.longest}")
+    model = spark.sparkContext.broadcast(vocabulary)
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     rows = docs.select("doc_id", "text", *carry)
 
@@ -339,38 +394,39 @@ def encode(spark: SparkSession, docs: DataFrame, path: str = MODEL, chunk: int =
     small = rows.filter(~giant).mapInArrow(short, f"doc_id long, text string{kinds}, ids array<int>{more}")
 
     large = rows.filter(giant).withColumn("key", F.sha2("text", 256))
-    # each chunk with the characters that its last piece may reach
-    reach = model.value.longest - 1
+    # each chunk with the characters around it that the pieces across its borders may take
+    reach = vocabulary.longest
     chunks = (
-        large.select("key", "text").dropDuplicates(["key"])
-        .select("key", F.posexplode(F.transform(
-            F.sequence(F.lit(0), F.floor(F.length("text") / chunk).cast("int")),
-            lambda c: F.substring(F.concat(F.lit(" "), "text"), c * chunk + 1, F.lit(chunk + reach)),
+        large.select("key", F.concat(F.lit(" "), "text").alias("text")).dropDuplicates(["key"])
+        .select("key", F.length("text").alias("total"), F.posexplode(F.transform(
+            F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int")),
+            lambda c: F.substring("text", F.greatest(c * chunk - reach, F.lit(0)) + 1, F.least(c * chunk, F.lit(reach)) + chunk + reach),
         )).alias("no", "part"))
-        .filter(F.length("part") > 0)
-        .withColumn("size", F.least(F.length("part"), F.lit(chunk)))
+        .withColumn("lead", F.least(F.col("no") * chunk, F.lit(reach)))
+        .withColumn("size", F.least(F.col("total") - F.col("no") * chunk, F.lit(chunk)))
+        .withColumn("last", (F.col("no") + 1) * chunk >= F.col("total"))
+        .drop("total")
     )
 
     def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = model.value
         for f in frames:
-            out = [v.chunk_matrix(t, n).astype("<f8").tobytes() for t, n in zip(f["part"], f["size"])]
-            yield pd.DataFrame({"key": f["key"], "no": f["no"], "matrix": out})
+            out = [v.chunk_matrix(*c) for c in zip(f["part"], f["lead"], f["size"], f["last"])]
+            yield pd.DataFrame({"key": f["key"], "no": f["no"], "width": [m.shape[1] for m in out], "matrix": [(m == 0).tobytes() for m in out]})
 
     def paths(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("no")
-        k = int((len(f["matrix"].iloc[0]) // 8) ** 0.5)
-        at = states([np.frombuffer(m, "<f8").reshape(k, k) for m in f["matrix"]])
-        return pd.DataFrame({"key": f["key"], "no": f["no"], "start": at, "stop": [*at[1:], 0]})
+        at = states([np.where(np.frombuffer(m, bool).reshape(-1, w), 0.0, -np.inf) for m, w in zip(f["matrix"], f["width"])])
+        return pd.DataFrame({"key": f["key"], "no": f["no"], "start": at[:-1], "stop": at[1:]})
 
     def traced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = model.value
         for f in frames:
-            out = [v.chunk_ids(t, n, a, b) for t, n, a, b in zip(f["part"], f["size"], f["start"], f["stop"])]
+            out = [v.chunk_ids(*c) for c in zip(f["part"], f["lead"], f["size"], f["last"], f["start"], f["stop"])]
             yield pd.DataFrame({"key": f["key"], "no": f["no"], "ids": out})
 
     spread = chunks.repartition(common.parts(docs), "key", "no")
-    bounds = spread.mapInPandas(matrices, "key string, no int, matrix binary").groupBy("key").applyInPandas(paths, "key string, no int, start int, stop int")
+    bounds = spread.mapInPandas(matrices, "key string, no int, width int, matrix binary").groupBy("key").applyInPandas(paths, "key string, no int, start int, stop int")
     pieces = spread.join(bounds, ["key", "no"]).mapInPandas(traced, "key string, no int, ids array<int>")
     whole = pieces.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("ids"))
     done = large.join(whole, "key").select("doc_id", "text", *carry, "ids")

@@ -431,16 +431,20 @@ def test_embeddings(spark):
 # ---- 9: pieces
 
 
-def test_words_have_the_best_score():
-    v = pieces.Vocabulary()
-    for w in ["▁the", "▁Hello", "▁naïve", "▁a▁b", "▁xqzzy", "▁日本語", "▁"]:
-        def best(at):
-            if at == len(w):
-                return 0.0
-            return max(s + best(at + n) for n, s in v.options(w, at, at == 0))
+ODD = ["", " ", "   ", "a  b   c    ", "x" * 300, "ab" * 200, "日本語" * 50, "\n\n\t x", "naïve é \U0001d518", " " * 60 + "z", "internationalisation" * 20, "\x00\ufffd e\u0301", "The  1234 & 12,5"]
+
 
-        ids = np.frombuffer(v.word(w), "<i4")
-        assert abs(v.scores[ids].sum() - best(0)) < 1e-6, w
+def test_pieces_are_the_librarys(spark):
+    """Real texts and odd ones, whole and in chunks: the ids that the model's own library gives."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    real = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    frame = spark.createDataFrame(list(enumerate(real + ODD)), "doc_id long, text string").repartition(4)
+    want = dict(enumerate(library.encode(real + ODD)))
+    for chunk in (1 << 16, 37, 64, 700):
+        got = {r.doc_id: r.ids for r in pieces.encode(spark, frame, chunk=chunk).collect()}
+        assert got == want, chunk
 
 
 def test_round_trip_and_chunks(spark, docs, texts):
@@ -449,19 +453,33 @@ def test_round_trip_and_chunks(spark, docs, texts):
     assert collections.Counter((r.doc_id, r.decoded) for r in back) == collections.Counter((i, t or "") for i, t in texts)
     assert all(r.round_trip for r in pieces.encode(spark, docs, chunk=50, verify=True).collect())
     whole = {r.text: r.ids for r in pieces.encode(spark, docs, chunk=1 << 20).collect()}
-    v = pieces.Vocabulary()
-    for r in rows.collect():
-        assert abs(v.scores[r.ids].sum() - v.scores[whole[r.text]].sum()) < 1e-3
+    assert all(r.ids == whole[r.text] for r in rows.collect())
+    with pytest.raises(ValueError):
+        pieces.encode(spark, docs, carry=("ids",))
+    with pytest.raises(ValueError):
+        pieces.encode(spark, docs, chunk=20)
+
+
+def test_texts_beyond_a_chunk(spark):
+    """Texts longer than the production chunk, with and without spaces."""
+    import sentencepiece
+
+    r = random.Random(2)
+    say = "".join(r.choice("abcdeé日 ") for _ in range(150_000))
+    texts = [say, say.replace(" ", ""), "ab" * 70_000]
+    assert min(map(len, texts)) > pieces.CHUNK
+    got = {x.doc_id: x.ids for x in pieces.encode(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL).encode(texts)))
 
 
-def test_scan_without_spaces():
+def test_neighbours_decide():
+    """Pieces that meet pairwise are what the merges make of the whole."""
     v = pieces.Vocabulary()
-    text, size = " " + "internationalisation" * 9, 23
-    chunks = [(text[i : i + size + v.longest - 1], min(size, len(text) - i)) for i in range(0, len(text), size)]
-    at = pieces.states([v.chunk_matrix(*c) for c in chunks])
-    ids = [x for c, a, b in zip(chunks, at, [*at[1:], 0]) for x in v.chunk_ids(*c, a, b)]
-    assert v.scores[ids].sum() == v.scores[np.frombuffer(v.encode(text[1:]), "<i4")].sum()
-    assert b"".join(v.spelled[i] for i in ids).decode() == text
+    r = random.Random(1)
+    for _ in range(300):
+        w = "".join(r.choice("▁aeinrst") for _ in range(r.randint(1, 14)))
+        got = v.merged(w)
+        assert all(v.meet(a, b) for a, b in zip(["", *got], got))
 
 
 # ---- 10: language model
