@@ -29,9 +29,13 @@ SLICE_BYTES = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder: ``spark.checkpoint.dir``. Only a session without one gets a temporary folder."""
+    """The cluster's shared folder: ``spark.checkpoint.dir``. Only a local session may be without one: it gets a temporary folder."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="rankloom-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="rankloom-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder

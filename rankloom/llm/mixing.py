@@ -32,9 +32,9 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: fl
 
 
 def mix(
-    docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7
+    docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies): how often the mix takes each document.
+    """(doc_id, source, size, *carry, source_size, target, copies): how often the mix takes each document.
 
     A document's expected copies are its source's target over the source's size, at most ``most``. Within a source the
     documents stand by size and doc_id; the running sum of expected copies starts at one random offset a source, and a
@@ -44,10 +44,14 @@ def mix(
     The running sum is built from range partitions: rows are dealt by (source, size, doc_id), so that a hot source
     spreads over as many partitions as it needs, each counts its own rows, and only the counts go through an ordered
     window. A null source is a source of its own; a text without words has size 0 and adds no words; repeated rows
-    count as documents each. An empty table gives an empty result.
+    count as documents each; of rows that tie in size and doc_id it is open which is taken. A very long text counts
+    whole. ``carry`` names columns to pass through (none of the result's names); all others are left out. An empty table
+    gives an empty result.
     """
-    sized = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.WORD)).cast("long").alias("size"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if clash := {"doc_id", "source", "size", "source_size", "target", "copies", "part", "place", "rate", "offset"} & {*carry}:
+        raise ValueError(f"carried columns clash with the result's: {sorted(clash)}")
+    sized = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.WORD)).cast("long").alias("size"), *carry)
+    n = common.parts(docs)
     dealt = common.cut(
         sized.repartitionByRange(n, F.col("source").asc_nulls_last(), "size", "doc_id")
         .withColumn("part", F.spark_partition_id())
@@ -66,4 +70,4 @@ def mix(
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     rows = rows.withColumn("place", place).withColumn("rate", rate).withColumn("offset", offset)
     copies = F.floor(F.expr("offset + place * rate")) - F.floor(F.expr("offset + (place - 1) * rate"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return rows.select("doc_id", "source", "size", *carry, "source_size", "target", copies.cast("long").alias("copies"))

@@ -80,17 +80,18 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, stats): the statistics of each whole text; null reads as empty."""
+def describe(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *carry, stats): the statistics of each whole text; null reads as empty."""
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [statistics(raw, offsets) for _, _, raw, offsets in common.slices(batch)]
             flat = np.concatenate(rows) if rows else np.zeros((0, STATISTICS))
             lists = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, STATISTICS, dtype=np.int32), pa.array(flat.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], lists], names=["doc_id", *carry, "stats"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, stats array<double>")
+    return docs.select("doc_id", "text", *carry).mapInArrow(run, f"doc_id long, {kinds}stats array<double>")
 
 
 def _summed(rows: DataFrame, part, shape: tuple[int, ...]) -> np.ndarray:
@@ -203,31 +204,36 @@ def fit(train: DataFrame) -> Model:
     return model
 
 
-def apply(stats: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score)."""
+def apply(stats: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *carry, score)."""
+    kinds = "".join(f"`{c}` {stats.schema[c].dataType.simpleString()}, " for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 4096):
                 part = batch.slice(a, 4096)
-                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, STATISTICS)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
+                x = part.column(part.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, STATISTICS)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(model.score(x))], names=["doc_id", *carry, "score"])
 
-    return stats.mapInArrow(run, "doc_id long, score double")
+    return stats.select("doc_id", *carry, "stats").mapInArrow(run, f"doc_id long, {kinds}score double")
 
 
 def held_out(doc_id):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 3 == 1
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score): the chance that a document's quality label is 1.
+def classify(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *carry, held_out, score): the chance that a document's quality label is 1.
 
     Learns from labelled rows that are not held out (crc32 of doc_id mod 3 is not 1); of labels that repeat a doc_id the
-    mean counts, null labels count for nothing. A null doc_id has no label and is not held out. Null and empty texts are scored as empty. Inputs of the score are
-    statistics of the text alone. An empty table gives an empty result.
+    mean counts, null labels count for nothing. A null doc_id has no label and is not held out. Null and empty texts are
+    scored as empty, very long ones whole; equal texts have equal scores, and repeated rows are scored each. Inputs of
+    the score are statistics of the text alone. ``carry`` names columns to pass through (none of the result's names);
+    all others are left out. An empty table gives an empty result.
     """
-    stats = common.cut(describe(docs))
+    if clash := {"doc_id", "text", "stats", "held_out", "score", "label", "fold"} & {*carry}:
+        raise ValueError(f"carried columns clash with the result's: {sorted(clash)}")
+    stats = common.cut(describe(docs, carry))
     known = labels.filter("quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("label")).filter(~held_out("doc_id"))
-    model = fit(stats.join(known, "doc_id"))
-    return apply(stats, model).select("doc_id", held_out("doc_id").alias("held_out"), "score")
+    model = fit(stats.select("doc_id", "stats").join(known, "doc_id"))
+    return apply(stats, model, carry).select("doc_id", *carry, held_out("doc_id").alias("held_out"), "score")

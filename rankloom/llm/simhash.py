@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rankloom.llm import common
 from rankloom.llm.components import components
 
+
 def _fingerprint(text: bytes, starts: list[int], ends: list[int]) -> int:
     ones, n, of = np.zeros(64, np.int64), len(starts), xxhash.xxh64_intdigest
     for k in range(0, n, 1 << 16):
@@ -66,7 +67,7 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     """
     count = max(2, (distance + 2) // 2)
     widths = [64 // count + (i < 64 % count) for i in range(count)]
-    fps = prints.select("fp").distinct()
+    fps = prints.select("fp").distinct().repartition(common.parts(prints))  # few bytes, but many probes each
     segments, balls, at = [], [], 0
     for i, width in enumerate(widths):
         value = F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
@@ -199,11 +200,13 @@ def _alike(similarity: float):
 
 
 def similar_copies(docs: DataFrame, width: int = 5, distance: int = 11, radius: int = 3, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, fp, component_id) as ``near_duplicates``, of links whose similarity is verified.
+    """(doc_id, fp, component_id, raw, root) as ``near_duplicates``, of links whose similarity is verified.
 
     Texts whose fingerprints differ in ``distance`` bits or fewer are linked if the Jaccard similarity of their sets of
     distinct shingles is ``similarity`` or more; also texts of one fingerprint are. Texts of equal words are one node,
-    as are all without words. Sets of shingles travel once a cell of blocks of nodes, not once a pair.
+    as are all without words. ``raw`` is the text's xxhash64, and rows of one ``root`` are one component, also where
+    component_id is null because no doc_id in it is known, or where rows of one doc_id have different texts. Sets of
+    shingles travel once a cell of blocks of nodes, not once a pair.
     """
     blocks = common.parts(docs)
     side = max(2, int(blocks**0.5))
@@ -226,4 +229,4 @@ def similar_copies(docs: DataFrame, width: int = 5, distance: int = 11, radius:
     reach = components(links_).withColumnRenamed("component_id", "root")
     ids = nodes.select("node", "doc_id").join(reach, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return of.join(ids.join(least, "root").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
+    return of.join(ids.join(least, "root").select("node", "component_id", "root"), "node").select("doc_id", "fp", "component_id", "raw", "root")
