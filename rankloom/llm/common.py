@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,39 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run``, a function of one or two tables or of batches, handing back at its end the memory that it has freed.
+
+    Workers wait for their next task; what they still hold would count against the executor all the while.
+    """
+
+    def done(out):
+        if not isinstance(out, Iterator):
+            _give_back()
+            return out
+
+        def passed():
+            yield from out
+            _give_back()
+
+        return passed()
+
+    def one(a):
+        return done(run(a))
+
+    def two(a, b):
+        return done(run(a, b))
+
+    return one if run.__code__.co_argcount == 1 else two
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once, its lineage cut by a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

@@ -391,7 +391,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str = MODEL, chunk: int =
 
     more = ", round_trip boolean" if verify else ""
     giant = F.coalesce(F.length("text") > chunk, F.lit(False))
-    small = rows.filter(~giant).mapInArrow(short, f"doc_id long, text string{kinds}, ids array<int>{more}")
+    small = rows.filter(~giant).mapInArrow(common.tidy(short), f"doc_id long, text string{kinds}, ids array<int>{more}")
 
     large = rows.filter(giant).withColumn("key", F.sha2("text", 256))
     # each chunk with the characters around it that the pieces across its borders may take

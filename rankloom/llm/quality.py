@@ -91,7 +91,7 @@ def describe(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             lists = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, STATISTICS, dtype=np.int32), pa.array(flat.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], lists], names=["doc_id", *carry, "stats"])
 
-    return docs.select("doc_id", "text", *carry).mapInArrow(run, f"doc_id long, {kinds}stats array<double>")
+    return docs.select("doc_id", "text", *carry).mapInArrow(common.tidy(run), f"doc_id long, {kinds}stats array<double>")
 
 
 def _summed(rows: DataFrame, part, shape: tuple[int, ...]) -> np.ndarray:
@@ -111,7 +111,7 @@ def _summed(rows: DataFrame, part, shape: tuple[int, ...]) -> np.ndarray:
                 total += np.frombuffer(x, "<f8")
         yield pd.DataFrame({"sum": [total.tobytes()]})
 
-    partial = rows.mapInPandas(first, "sum binary")
+    partial = rows.mapInPandas(common.tidy(first), "sum binary")
     few = max(1, round(rows.rdd.getNumPartitions() ** 0.5))
     total = np.zeros(size)
     for r in partial.repartition(few).mapInPandas(then, "sum binary").toLocalIterator():

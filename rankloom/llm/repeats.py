@@ -387,12 +387,12 @@ def without_repeats(docs: DataFrame, unit: Unit, earlier: Callable, carry: tuple
     rows = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *carry)
     # rows without an id are dealt by their text, so that they do not meet in one block
     texts = rows.withColumn("block", F.pmod(F.when(F.col("doc_id") == _LAST, F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(blocks)).cast("int"))
-    seen = texts.groupBy("block").applyInArrow(_seen(unit, blocks, hot), _SEEN)
-    shared = seen.groupBy("bucket").applyInArrow(_shared(hot), _SHARED)
-    cut = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_stretches(unit, blocks), _CUT)
-    spans = cut.groupBy("bucket").applyInArrow(_covered(unit, earlier), _SPANS)
+    seen = texts.groupBy("block").applyInArrow(common.tidy(_seen(unit, blocks, hot)), _SEEN)
+    shared = seen.groupBy("bucket").applyInArrow(common.tidy(_shared(hot)), _SHARED)
+    cut = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(common.tidy(_stretches(unit, blocks)), _CUT)
+    spans = cut.groupBy("bucket").applyInArrow(common.tidy(_covered(unit, earlier)), _SPANS)
     kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
     result = f"doc_id long{kinds}, size long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>"
     schema = to_arrow_schema(docs.sparkSession.createDataFrame([], result).schema)
-    kept = texts.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_kept(unit, list(carry), schema), result)
+    kept = texts.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(common.tidy(_kept(unit, list(carry), schema)), result)
     return kept.withColumn("doc_id", F.nullif("doc_id", F.lit(_LAST)))

@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     A-Z is lower-cased; shingles count as often as they occur; a text of fewer words is one shingle; a null, empty or
     blank text has fingerprint 0. Repeated rows give repeated rows.
     """
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints(width), "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(common.tidy(_fingerprints(width)), "doc_id long, fp long")
 
 
 def _ball(no: int, value, flips):
@@ -145,7 +145,7 @@ def wide_links(prints: DataFrame, distance: int, radius: int, blocks: int) -> Da
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     spread = prints.select("fp").distinct().select("fp", F.inline(F.concat(*tops)))
-    return spread.groupBy("no", "value").applyInArrow(find, "a long, b long").distinct()
+    return spread.groupBy("no", "value").applyInArrow(common.tidy(find), "a long, b long").distinct()
 
 
 def _nodes(width: int):
@@ -211,7 +211,7 @@ def similar_copies(docs: DataFrame, width: int = 5, distance: int = 11, radius:
     blocks = common.parts(docs)
     side = max(2, int(blocks**0.5))
     raw = F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw")
-    of = common.cut(docs.select("doc_id", "text", raw).mapInArrow(_nodes(width), "doc_id long, raw long, fp long, node long"))
+    of = common.cut(docs.select("doc_id", "text", raw).mapInArrow(common.tidy(_nodes(width)), "doc_id long, raw long, fp long, node long"))
     nodes = common.cut(of.groupBy("node").agg(F.min("fp").alias("fp"), F.min("raw").alias("raw"), F.min("doc_id").alias("doc_id")))
     same = nodes.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
     near = wide_links(nodes, distance, radius, blocks).unionByName(same)
@@ -224,8 +224,8 @@ def similar_copies(docs: DataFrame, width: int = 5, distance: int = 11, radius:
     asked = pairs.select(F.col("cell").alias("at"), F.col("a").alias("node")).unionByName(pairs.select(F.col("cell").alias("at"), F.col("b").alias("node"))).distinct()
     wanted = nodes.join(asked.select("node").distinct(), "node", "left_semi").select("node", "raw")
     texts = docs.select("text", raw).join(wanted, "raw").groupBy("node").agg(F.min("text").alias("text"))
-    sets = asked.join(texts.mapInArrow(_shingles(width), "node long, shingles binary"), "node")
-    links_ = pairs.groupBy("cell").cogroup(sets.groupBy("at")).applyInArrow(_alike(similarity), "a long, b long")
+    sets = asked.join(texts.mapInArrow(common.tidy(_shingles(width)), "node long, shingles binary"), "node")
+    links_ = pairs.groupBy("cell").cogroup(sets.groupBy("at")).applyInArrow(common.tidy(_alike(similarity)), "a long, b long")
     reach = components(links_).withColumnRenamed("component_id", "root")
     ids = nodes.select("node", "doc_id").join(reach, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
