@@ -223,8 +223,8 @@ def similar_copies(docs: DataFrame, width: int = 5, distance: int = 11, radius:
     pairs = common.cut(met.withColumn("cell", (cell("a") * side + cell("b")).cast("int")))
     asked = pairs.select(F.col("cell").alias("at"), F.col("a").alias("node")).unionByName(pairs.select(F.col("cell").alias("at"), F.col("b").alias("node"))).distinct()
     wanted = nodes.join(asked.select("node").distinct(), "node", "left_semi").select("node", "raw")
-    texts = docs.select("text", raw).join(wanted, "raw").groupBy("node").agg(F.min("text").alias("text"))
-    sets = asked.join(texts.mapInArrow(common.tidy(_shingles(width)), "node long, shingles binary"), "node")
+    texts = docs.select("text", raw).join(wanted, "raw").groupBy("raw", "node").agg(F.min("text").alias("text"))
+    sets = asked.join(texts.select("node", "text").mapInArrow(common.tidy(_shingles(width)), "node long, shingles binary"), "node")
     links_ = pairs.groupBy("cell").cogroup(sets.groupBy("at")).applyInArrow(common.tidy(_alike(similarity)), "a long, b long")
     reach = components(links_).withColumnRenamed("component_id", "root")
     ids = nodes.select("node", "doc_id").join(reach, "node", "left").withColumn("root", F.coalesce("root", "node"))
