@@ -26,7 +26,7 @@ LITERAL = "\ud800"
 #: Texts of more characters are split into chunks of so many.
 CHUNK = 1 << 16
 #: Words and pairs of pieces that a task remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 #: Words of more characters are encoded by themselves.
 LONG = 64
 #: The rank of a pair that no merge joins, and a place whose symbol has gone into another.
@@ -61,6 +61,11 @@ class Vocabulary:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.table = None
 
+    def forget(self) -> None:
+        """Drops what a task has remembered: the vocabulary stays in its worker."""
+        self.memory.clear()
+        self.pairs.clear()
+
     def merged(self, text: str) -> list[str]:
         """What the merges make of a short text: the best-scoring pair first, of equal ones the leftmost."""
         parts = list(text)
@@ -388,6 +393,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str = MODEL, chunk: int =
                     back = _texts(v.spelled, flat, np.array([len(x) // 4 for x in ids], np.int64))
                     columns, names = [*columns, pa.array([t == (x or "") for t, x in zip(back, texts)])], [*names, "round_trip"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        v.forget()
 
     more = ", round_trip boolean" if verify else ""
     giant = F.coalesce(F.length("text") > chunk, F.lit(False))
@@ -426,8 +432,8 @@ def encode(spark: SparkSession, docs: DataFrame, path: str = MODEL, chunk: int =
             yield pd.DataFrame({"key": f["key"], "no": f["no"], "ids": out})
 
     spread = chunks.repartition(common.parts(docs), "key", "no")
-    bounds = spread.mapInPandas(matrices, "key string, no int, width int, matrix binary").groupBy("key").applyInPandas(paths, "key string, no int, start int, stop int")
-    pieces = spread.join(bounds, ["key", "no"]).mapInPandas(traced, "key string, no int, ids array<int>")
+    bounds = spread.mapInPandas(common.tidy(matrices), "key string, no int, width int, matrix binary").groupBy("key").applyInPandas(paths, "key string, no int, start int, stop int")
+    pieces = spread.join(bounds, ["key", "no"]).mapInPandas(common.tidy(traced), "key string, no int, ids array<int>")
     whole = pieces.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("ids"))
     done = large.join(whole, "key").select("doc_id", "text", *carry, "ids")
     if verify:
