@@ -239,9 +239,9 @@ def earlier_document(symbols, offsets, anchor, doc, windows, length):
     return out
 
 
-def dedup(docs: DataFrame, length: int = 13, carry: tuple[str, ...] = (), hot: int = repeats.HOT) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 13, carry: tuple[str, ...] = (), hot: int = repeats.HOT, want: tuple[str, ...] = tuple(repeats.RESULTS)) -> DataFrame:
     """Every text's words without those covered by a ``length``-word window that starts in a smaller doc_id.
 
     See ``repeats.without_repeats`` for the columns and for nulls, empty and very long texts, ties and repeated rows.
     """
-    return repeats.without_repeats(docs, repeats.Unit(True, length, max(1, length // 2 - 1)), earlier_document, carry, hot)
+    return repeats.without_repeats(docs, repeats.Unit(True, length, max(1, length // 2 - 1)), earlier_document, carry, hot, want)

@@ -18,7 +18,7 @@ def op1_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = suffix_dedup.dedup(read(spark, sf_dir, "documents"))
+    rows = suffix_dedup.dedup(read(spark, sf_dir, "documents"), want=("size", "n_removed", "n_spans", "kept"))
     return rows.select("doc_id", F.col("size").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -42,7 +42,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fm_dedup.dedup(read(spark, sf_dir, "documents"))
+    rows = fm_dedup.dedup(read(spark, sf_dir, "documents"), want=("size", "n_removed", "kept"))
     return rows.select("doc_id", F.col("size").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -38,6 +38,8 @@ _LAST = (1 << 63) - 1
 _SEEN = "bucket int, block int, anchor binary, whole binary, doc binary, again binary, hot binary"
 _SHARED = "block int, whole binary, least binary, send binary, hot binary"
 _CUT = "bucket int, block int, kind int, data binary, sizes binary, ids binary, anchor binary, times binary, row binary, first binary, last binary"
+#: Columns of the result.
+RESULTS = {"size": "long", "n_removed": "long", "n_spans": "long", "kept": "binary", "spans": "array<struct<start: long, end: long>>"}
 _SPANS = "block int, row binary, start binary, end binary"
 #: Bits of an anchor's hash that are kept: two anchors that agree in them by chance cost a look, no wrong result.
 _KEPT_BITS = np.uint64((1 << 48) - 1)
@@ -317,14 +319,15 @@ def _covered(unit: Unit, earlier: Callable):
 
 
 def _kept(unit: Unit, carry: list[str], schema: pa.Schema):
-    """Step 4: what is left of each text, and the spans that went."""
+    """Step 4: what is left of each text, and the spans that went; only the columns that the schema has."""
+    want = set(schema.names)
 
     def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
         docs = _ordered(docs)
         row, start, end = (_cat(spans[c], np.uint32).astype(np.int64) for c in ("row", "start", "end")) if spans.num_rows else [np.zeros(0, np.int64)] * 3
         order = np.lexsort((start, row))
         row, start, end = row[order], start[order], end[order]
-        size, removed, count, kept, gone = [], [], [], [], []
+        out: dict[str, list] = {c: [] for c in ("size", "n_removed", "n_spans", "kept", "spans", "text")}
         base = 0
         for batch in docs.to_batches():
             for first_row, n, raw, offsets in common.slices(batch):
@@ -337,8 +340,8 @@ def _kept(unit: Unit, carry: list[str], schema: pa.Schema):
                 np.add.at(change, at[of] + end[a:b], -1)
                 cover = np.cumsum(change[:-1]) > 0
                 before = np.concatenate(([0], np.cumsum(cover)))
-                size += np.diff(at).tolist()
-                removed += (before[at[1:]] - before[at[:-1]]).tolist()
+                out["size"].append(np.diff(at))
+                out["n_removed"].append(before[at[1:]] - before[at[:-1]])
                 rising = cover.copy()
                 rising[1:] &= ~cover[:-1]
                 edge = at[:-1][at[:-1] < len(cover)]
@@ -349,37 +352,52 @@ def _kept(unit: Unit, carry: list[str], schema: pa.Schema):
                 falling[edge[edge >= 0]] = cover[edge[edge >= 0]]
                 begin, stop = np.flatnonzero(rising), np.flatnonzero(falling) + 1
                 cuts = np.searchsorted(begin, at)
-                count += np.diff(cuts).tolist()
-                if unit.words:
-                    joined, place = common.spaced(raw, starts, ends)
-                    keep = np.repeat(~cover, np.diff(place))
-                else:
-                    joined, place, keep = raw, np.arange(len(raw) + 1), ~cover
-                left = joined[keep].tobytes()
-                to = np.concatenate(([0], np.cumsum(keep)))[place[at]]
-                trim = 1 if unit.words else 0
-                kept += [left[x : max(x, y - trim)] for x, y in zip(to[:-1].tolist(), to[1:].tolist())]
-                for i in range(n):
-                    x, y = cuts[i], cuts[i + 1]
-                    gone.append([] if x == y else [{"start": int(p - at[i]), "end": int(q - at[i])} for p, q in zip(begin[x:y], stop[x:y])])
+                out["n_spans"].append(np.diff(cuts))
+                if "kept" in want:
+                    if unit.words:
+                        joined, place = common.spaced(raw, starts, ends)
+                        keep = np.repeat(~cover, np.diff(place))
+                    else:
+                        joined, place, keep = raw, np.arange(len(raw) + 1), ~cover
+                    left = joined[keep].tobytes()
+                    to = np.concatenate(([0], np.cumsum(keep)))[place[at]]
+                    trim = 1 if unit.words else 0
+                    out["kept"].append(pa.array([left[x : max(x, y - trim)] for x, y in zip(to[:-1].tolist(), to[1:].tolist())], pa.binary()))
+                if "text" in want:
+                    data, p, q = raw.tobytes(), begin.tolist(), stop.tolist()
+                    texts = []
+                    for i, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+                        edges = [int(offsets[i]), *[e for span in zip(p[x:y], q[x:y]) for e in span], int(offsets[i + 1])]
+                        # of a stretch of a valid text only the ends can be incomplete
+                        texts.append("".join([data[k:m].decode("utf-8", "ignore") for k, m in zip(edges[::2], edges[1::2])]))
+                    out["text"].append(pa.array(texts, pa.string()))
+                if "spans" in want:
+                    text = np.searchsorted(at, begin, "right") - 1
+                    both = pa.StructArray.from_arrays([pa.array(begin - at[text]), pa.array(stop - at[text])], names=["start", "end"])
+                    out["spans"].append(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), both))
             base += batch.num_rows
-        columns = [docs[c] for c in ("doc_id", *carry)] + [pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary()), pa.array(gone, schema.field("spans").type)]
-        return pa.Table.from_arrays(columns, schema=schema)
+        columns = {c: docs[c] for c in ("doc_id", *carry)}
+        for c, kind in zip(schema.names, schema.types):
+            if c not in columns:
+                parts = [x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in out[c]]
+                columns[c] = pa.chunked_array([x.cast(kind) for x in parts], kind)
+        return pa.Table.from_arrays([columns[c] for c in schema.names], schema=schema).combine_chunks()
 
     return run
 
 
-def without_repeats(docs: DataFrame, unit: Unit, earlier: Callable, carry: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
-    """(doc_id, *carry, size, n_removed, n_spans, kept, spans) for every row of ``docs(doc_id, text)``.
+def without_repeats(docs: DataFrame, unit: Unit, earlier: Callable, carry: tuple[str, ...] = (), hot: int = HOT, want: tuple[str, ...] = tuple(RESULTS)) -> DataFrame:
+    """(doc_id, *carry, size, n_removed, n_spans, kept, spans) for every row of ``docs(doc_id, text)``, or those of ``want``.
 
     ``size`` counts symbols; ``kept`` holds the remaining bytes, or words joined by one space; ``spans`` the maximal
-    removed runs, in symbols. ``earlier(symbols, offsets, anchors, docs, windows, length)`` tells for each window of a
+    removed runs, in symbols. For bytes, ``text`` can be asked for: what is kept, without the bytes of characters that
+    a span's edge cuts. ``earlier(symbols, offsets, anchors, docs, windows, length)`` tells for each window of a
     bucket's stretches whether a smaller doc_id has it. Null texts are empty; a null doc_id comes after all others; rows
     of one doc_id do not count against each other; equal rows give equal rows; a very long text is read in slices, with
     the same result; an empty table gives an empty result. ``carry`` names columns to pass through (none of the
     result's names); all other columns are left out.
     """
-    if clash := {"doc_id", "size", "n_removed", "n_spans", "kept", "spans", "block", "text"} & {*carry}:
+    if clash := {"doc_id", "block", "text", *RESULTS} & {*carry}:
         raise ValueError(f"carried columns clash with the result's: {sorted(clash)}")
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -392,7 +410,8 @@ def without_repeats(docs: DataFrame, unit: Unit, earlier: Callable, carry: tuple
     cut = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(common.tidy(_stretches(unit, blocks)), _CUT)
     spans = cut.groupBy("bucket").applyInArrow(common.tidy(_covered(unit, earlier)), _SPANS)
     kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
-    result = f"doc_id long{kinds}, size long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>"
+    results = RESULTS | ({} if unit.words else {"text": "string"})
+    result = f"doc_id long{kinds}, " + ", ".join(f"{c} {results[c]}" for c in want)
     schema = to_arrow_schema(docs.sparkSession.createDataFrame([], result).schema)
     kept = texts.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(common.tidy(_kept(unit, list(carry), schema)), result)
     return kept.withColumn("doc_id", F.nullif("doc_id", F.lit(_LAST)))
