@@ -103,16 +103,19 @@ def _masks(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for n in range(min(width, radius) + 1) for bits in combinations(range(width), n)]
 
 
-def wide_links(prints: DataFrame, distance: int, radius: int, blocks: int) -> DataFrame:
-    """As ``links``, with balls of ``radius`` bits in the fewest segments of which one must differ in so few.
-
-    Distance 11 and radius 3 take three segments. A fingerprint travels to the groups whose leading bits lie within
-    the radius of its own; a group looks up the rest of the ball in its own fingerprints, so that no ball is shuffled.
-    Groups follow ``blocks``; what a lookup finds by chance grows with the distinct fingerprints over 2**21.
+def wide_links(nodes: DataFrame, distance: int, radius: int, blocks: int, star: bool = False) -> DataFrame:
+    """Pairs (a, b), a < b, of ``nodes(node, fp, part)`` whose fingerprints differ in ``distance`` bits or fewer.
+
+    As ``links``, with balls of ``radius`` bits in the fewest segments of which one must differ in so few: distance 11
+    and radius 3 take three. A node travels to the groups whose leading bits lie within the radius of its own; a group
+    looks up the rest of the ball in its own nodes, so that no ball is shuffled. Only nodes of different ``part`` are
+    paired, and others are not even looked at: a dense group of one part costs no pairs. With ``star`` every node is
+    paired with one other alone, the smallest of all that stand first in a bucket it looks up. Groups follow
+    ``blocks``; what a lookup finds by chance grows with the nodes over 2**21.
     """
     count = max(2, -(-(distance + 1) // (radius + 1)))
     widths = [64 // count + (i < 64 % count) for i in range(count)]
-    lead = min(max(2, (blocks // count).bit_length()), min(widths) - 1)
+    lead = min(max(2, (blocks // (4 * count)).bit_length()), min(widths) - 1)
     places = [sum(widths[:i]) for i in range(count)]
     tops = []
     for i, (width, at) in enumerate(zip(widths, places)):
@@ -122,30 +125,52 @@ def wide_links(prints: DataFrame, distance: int, radius: int, blocks: int) -> Da
     def find(table: pa.Table) -> pa.Table:
         no, group = table["no"][0].as_py(), table["value"][0].as_py()
         rest = widths[no] - lead
-        fps = table["fp"].to_numpy()
-        value = fps.view(np.uint64) >> np.uint64(places[no]) & np.uint64((1 << widths[no]) - 1)
+        fps, node = table["fp"].to_numpy().view(np.uint64), table["node"].to_numpy()
+        part = np.unique(table["part"].to_numpy(), return_inverse=True)[1]
+        value = fps >> np.uint64(places[no]) & np.uint64((1 << widths[no]) - 1)
         low = (value & np.uint64((1 << rest) - 1)).astype(np.int64)
         off = np.bitwise_count(value >> np.uint64(rest) ^ np.uint64(group))
         own = np.flatnonzero(off == 0)
-        own = own[np.argsort(low[own], kind="stable")]
+        parts = int(part.max()) + 1
+        own = own[np.lexsort((node[own], low[own]) if star else (part[own], low[own]))]
         start = np.concatenate(([0], np.cumsum(np.bincount(low[own], minlength=1 << rest))))
+        keys = low[own] * parts + part[own]
+        best = node.copy()
         found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def pairs(mine: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+            size = end - begin
+            hit = np.flatnonzero(size)
+            size, probe = size[hit], np.repeat(mine[hit], size[hit])
+            other = own[np.arange(len(probe)) + np.repeat(begin[hit] - np.cumsum(size) + size, size)]
+            near = (node[probe] < node[other]) & (np.bitwise_count(fps[probe] ^ fps[other]) <= distance)
+            if near.any():
+                found.append((node[probe[near]], node[other[near]]))
+
         for n in range(radius + 1):
             mine = np.flatnonzero(off == n)
             for mask in _masks(rest, radius - n) if len(mine) and len(own) else []:
                 at = low[mine] ^ mask
-                size = start[at + 1] - start[at]
-                hit = np.flatnonzero(size)
-                size, probe = size[hit], np.repeat(mine[hit], size[hit])
-                a, b = fps[probe], fps[own[np.arange(len(probe)) + np.repeat(start[at[hit]] - np.cumsum(size) + size, size)]]
-                near = (a < b) & (np.bitwise_count((a ^ b).view(np.uint64)) <= distance)
-                if near.any():
-                    found.append((a[near], b[near]))
-        a, b = (np.concatenate(x) for x in zip(*found)) if found else (fps[:0], fps[:0])
+                live = start[at + 1] > start[at]
+                m, at = mine[live], at[live]
+                if star:
+                    first = own[start[at]]
+                    near = np.bitwise_count(fps[m] ^ fps[first]) <= distance
+                    m, first = m[near], first[near]
+                    best[m] = np.minimum(best[m], node[first])
+                else:
+                    mark = at * parts + part[m]
+                    pairs(m, start[at], np.searchsorted(keys, mark, "left"))
+                    pairs(m, np.searchsorted(keys, mark, "right"), start[at + 1])
+        if star:
+            some = best < node
+            found = [(best[some], node[some])]
+        a, b = (np.concatenate(x) for x in zip(*found)) if found else (node[:0], node[:0])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    spread = prints.select("fp").distinct().select("fp", F.inline(F.concat(*tops)))
-    return spread.groupBy("no", "value").applyInArrow(common.tidy(find), "a long, b long").distinct()
+    spread = nodes.select("node", "fp", "part", F.inline(F.concat(*tops)))
+    got = spread.groupBy("no", "value").applyInArrow(common.tidy(find), "a long, b long")
+    return got.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if star else got.distinct()
 
 
 def _nodes(width: int):
@@ -199,34 +224,44 @@ def _alike(similarity: float):
     return run
 
 
+#: Nodes whose texts are fetched by a broadcast of their keys; more are fetched by a shuffle.
+BROADCAST = 1 << 19
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, met: DataFrame, width: int, similarity: float, side: int) -> DataFrame:
+    """The pairs of ``met(a, b)`` whose sets of shingles are similar. Sets travel once a cell of blocks of nodes, not once a pair."""
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
+    pairs = common.cut(met.withColumn("cell", (cell("a") * side + cell("b")).cast("int")))
+    asked = pairs.select(F.col("cell").alias("at"), F.col("a").alias("node")).unionByName(pairs.select(F.col("cell").alias("at"), F.col("b").alias("node"))).distinct()
+    wanted = common.cut(nodes.join(asked.select("node").distinct(), "node", "left_semi").select("node", "raw"))
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
+    texts = docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw")).join(few, "raw").groupBy("raw", "node").agg(F.min("text").alias("text"))
+    sets = asked.join(texts.select("node", "text").mapInArrow(common.tidy(_shingles(width)), "node long, shingles binary"), "node")
+    return pairs.groupBy("cell").cogroup(sets.groupBy("at")).applyInArrow(common.tidy(_alike(similarity)), "a long, b long")
+
+
 def similar_copies(docs: DataFrame, width: int = 5, distance: int = 11, radius: int = 3, similarity: float = 0.8) -> DataFrame:
     """(doc_id, fp, component_id, raw, root) as ``near_duplicates``, of links whose similarity is verified.
 
     Texts whose fingerprints differ in ``distance`` bits or fewer are linked if the Jaccard similarity of their sets of
-    distinct shingles is ``similarity`` or more; also texts of one fingerprint are. Texts of equal words are one node,
-    as are all without words. ``raw`` is the text's xxhash64, and rows of one ``root`` are one component, also where
-    component_id is null because no doc_id in it is known, or where rows of one doc_id have different texts. Sets of
-    shingles travel once a cell of blocks of nodes, not once a pair.
+    distinct shingles is ``similarity`` or more. Texts of equal words are one node, as are all without words. Every
+    node is first verified against one other, the same for all of a dense group; what is linked then is one part, and
+    all pairs between different parts follow, so that the components are those of all links. ``raw`` is the text's
+    xxhash64, and rows of one ``root`` are one component, also where component_id is null because no doc_id in it is
+    known, or where rows of one doc_id have different texts. Very long texts are read whole; repeated rows are kept; an
+    empty table gives an empty result.
     """
     blocks = common.parts(docs)
     side = max(2, int(blocks**0.5))
     raw = F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw")
     of = common.cut(docs.select("doc_id", "text", raw).mapInArrow(common.tidy(_nodes(width)), "doc_id long, raw long, fp long, node long"))
     nodes = common.cut(of.groupBy("node").agg(F.min("fp").alias("fp"), F.min("raw").alias("raw"), F.min("doc_id").alias("doc_id")))
-    same = nodes.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    near = wide_links(nodes, distance, radius, blocks).unionByName(same)
-    left = nodes.select(F.col("fp").alias("a"), F.col("node").alias("x"))
-    right = nodes.select(F.col("fp").alias("b"), F.col("node").alias("y"))
-    # of two fingerprints every pair of nodes, of one fingerprint each pair once
-    met = near.join(left, "a").join(right, "b").filter("a <> b OR x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
-    pairs = common.cut(met.withColumn("cell", (cell("a") * side + cell("b")).cast("int")))
-    asked = pairs.select(F.col("cell").alias("at"), F.col("a").alias("node")).unionByName(pairs.select(F.col("cell").alias("at"), F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(asked.select("node").distinct(), "node", "left_semi").select("node", "raw")
-    texts = docs.select("text", raw).join(wanted, "raw").groupBy("raw", "node").agg(F.min("text").alias("text"))
-    sets = asked.join(texts.select("node", "text").mapInArrow(common.tidy(_shingles(width)), "node long, shingles binary"), "node")
-    links_ = pairs.groupBy("cell").cogroup(sets.groupBy("at")).applyInArrow(common.tidy(_alike(similarity)), "a long, b long")
-    reach = components(links_).withColumnRenamed("component_id", "root")
+    first = wide_links(nodes.withColumn("part", F.col("node")), distance, radius, blocks, star=True)
+    stars = common.cut(_verified(docs, nodes, first, width, similarity, side))
+    part = components(stars).withColumnRenamed("component_id", "part")
+    parted = nodes.join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    rest = _verified(docs, nodes, wide_links(parted, distance, radius, blocks), width, similarity, side)
+    reach = components(stars.unionByName(rest)).withColumnRenamed("component_id", "root")
     ids = nodes.select("node", "doc_id").join(reach, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return of.join(ids.join(least, "root").select("node", "component_id", "root"), "node").select("doc_id", "fp", "component_id", "raw", "root")

@@ -334,9 +334,29 @@ def test_wide_links(spark, distance, radius):
             for f in r.choice(64, n, replace=False):
                 x ^= 1 << int(f)
             fps.append(x - (1 << 64) if x >> 63 else x)
-    got = [tuple(x) for x in simhash.wide_links(spark.createDataFrame([(f,) for f in fps], "fp long"), distance, radius, 8).collect()]
-    u = sorted(set(fps))
-    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in u for b in u if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= distance}
+    fps += fps[:9]
+    part = [i % 7 for i in range(len(fps))]
+    frame = spark.createDataFrame(list(zip(range(len(fps)), fps, part)), "node long, fp long, part long")
+    got = [tuple(x) for x in simhash.wide_links(frame, distance, radius, 8).collect()]
+    near = {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if ((fps[a] ^ fps[b]) & ((1 << 64) - 1)).bit_count() <= distance}
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in near if part[a] != part[b]}
+    star = [tuple(x) for x in simhash.wide_links(frame, distance, radius, 8, star=True).collect()]
+    assert set(star) <= near and len({b for _, b in star}) == len(star)
+
+
+def test_dense_group_makes_few_pairs(spark):
+    """Near copies of one text: pairs follow the copies, not their square, and nothing of the group is lost."""
+    r = np.random.default_rng(2)
+    base = [f"w{x}" for x in r.integers(0, 9999, 400)]
+    texts = []
+    for i in range(300):
+        w = list(base)
+        w[int(r.integers(0, 400))] = f"new{i}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.component_id for x in simhash.similar_copies(docs).collect()} == {0}
+    nodes = simhash.fingerprints(docs, 5).select(F.col("doc_id").alias("node"), "fp", F.lit(0).cast("long").alias("part"))
+    assert simhash.wide_links(nodes, 11, 3, 8).count() == 0 and simhash.wide_links(nodes, 11, 3, 8, star=True).count() < 300
 
 
 def test_components(spark):
