@@ -103,19 +103,20 @@ def _masks(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for n in range(min(width, radius) + 1) for bits in combinations(range(width), n)]
 
 
-def wide_links(nodes: DataFrame, distance: int, radius: int, blocks: int, star: bool = False) -> DataFrame:
+def wide_links(nodes: DataFrame, distance: int, radius: int, size: int, star: int | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of ``nodes(node, fp, part)`` whose fingerprints differ in ``distance`` bits or fewer.
 
     As ``links``, with balls of ``radius`` bits in the fewest segments of which one must differ in so few: distance 11
     and radius 3 take three. A node travels to the groups whose leading bits lie within the radius of its own; a group
     looks up the rest of the ball in its own nodes, so that no ball is shuffled. Only nodes of different ``part`` are
-    paired, and others are not even looked at: a dense group of one part costs no pairs. With ``star`` every node is
-    paired with one other alone, the smallest of all that stand first in a bucket it looks up. Groups follow
-    ``blocks``; what a lookup finds by chance grows with the nodes over 2**21.
+    paired, and others are not even looked at: a dense group of one part costs no pairs. A pair is named by the first
+    segment that finds it. With ``star`` (a number that sets the order) every node is paired with one other alone, the
+    first of all that stand first in a bucket it looks up. Groups follow ``size``, the number of nodes; what a lookup
+    finds by chance grows with the nodes over 2**21.
     """
     count = max(2, -(-(distance + 1) // (radius + 1)))
     widths = [64 // count + (i < 64 % count) for i in range(count)]
-    lead = min(max(2, (blocks // (4 * count)).bit_length()), min(widths) - 1)
+    lead = min(max(2, (size >> 16).bit_length()), min(widths) - 1)
     places = [sum(widths[:i]) for i in range(count)]
     tops = []
     for i, (width, at) in enumerate(zip(widths, places)):
@@ -132,10 +133,11 @@ def wide_links(nodes: DataFrame, distance: int, radius: int, blocks: int, star:
         off = np.bitwise_count(value >> np.uint64(rest) ^ np.uint64(group))
         own = np.flatnonzero(off == 0)
         parts = int(part.max()) + 1
-        own = own[np.lexsort((node[own], low[own]) if star else (part[own], low[own]))]
+        turn = common.mix(node.view(np.uint64) ^ np.uint64((star or 0) * 0x9E3779B97F4A7C15 % (1 << 64)))
+        own = own[np.lexsort((turn[own] if star is not None else part[own], low[own]))]
         start = np.concatenate(([0], np.cumsum(np.bincount(low[own], minlength=1 << rest))))
         keys = low[own] * parts + part[own]
-        best = node.copy()
+        best, rank = np.full(len(node), -1), turn.copy()
         found: list[tuple[np.ndarray, np.ndarray]] = []
 
         def pairs(mine: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
@@ -143,7 +145,10 @@ def wide_links(nodes: DataFrame, distance: int, radius: int, blocks: int, star:
             hit = np.flatnonzero(size)
             size, probe = size[hit], np.repeat(mine[hit], size[hit])
             other = own[np.arange(len(probe)) + np.repeat(begin[hit] - np.cumsum(size) + size, size)]
-            near = (node[probe] < node[other]) & (np.bitwise_count(fps[probe] ^ fps[other]) <= distance)
+            off = fps[probe] ^ fps[other]
+            near = (node[probe] < node[other]) & (np.bitwise_count(off) <= distance)
+            for k in range(no):  # an earlier segment has found it
+                near &= np.bitwise_count(off >> np.uint64(places[k]) & np.uint64((1 << widths[k]) - 1)) > radius
             if near.any():
                 found.append((node[probe[near]], node[other[near]]))
 
@@ -153,24 +158,26 @@ def wide_links(nodes: DataFrame, distance: int, radius: int, blocks: int, star:
                 at = low[mine] ^ mask
                 live = start[at + 1] > start[at]
                 m, at = mine[live], at[live]
-                if star:
+                if star is not None:
                     first = own[start[at]]
-                    near = np.bitwise_count(fps[m] ^ fps[first]) <= distance
-                    m, first = m[near], first[near]
-                    best[m] = np.minimum(best[m], node[first])
+                    near = (np.bitwise_count(fps[m] ^ fps[first]) <= distance) & (part[m] != part[first]) & (turn[first] < rank[m])
+                    best[m[near]], rank[m[near]] = first[near], turn[first[near]]
                 else:
                     mark = at * parts + part[m]
                     pairs(m, start[at], np.searchsorted(keys, mark, "left"))
                     pairs(m, np.searchsorted(keys, mark, "right"), start[at + 1])
-        if star:
-            some = best < node
-            found = [(best[some], node[some])]
+        if star is not None:
+            some = np.flatnonzero(best >= 0)
+            a, b = node[best[some]], node[some]
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "turn": pa.array(rank[some].view(np.int64))})
         a, b = (np.concatenate(x) for x in zip(*found)) if found else (node[:0], node[:0])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    spread = nodes.select("node", "fp", "part", F.inline(F.concat(*tops)))
-    got = spread.groupBy("no", "value").applyInArrow(common.tidy(find), "a long, b long")
-    return got.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if star else got.distinct()
+    groups = nodes.select("node", "fp", "part", F.inline(F.concat(*tops))).groupBy("no", "value")
+    if star is None:
+        return groups.applyInArrow(common.tidy(find), "a long, b long")
+    one = groups.applyInArrow(common.tidy(find), "a long, b long, turn long").groupBy("b").agg(F.min_by("a", "turn").alias("a"))
+    return one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _nodes(width: int):
@@ -226,6 +233,8 @@ def _alike(similarity: float):
 
 #: Nodes whose texts are fetched by a broadcast of their keys; more are fetched by a shuffle.
 BROADCAST = 1 << 19
+#: Rounds in which every node is verified against one other, before all pairs of different parts are.
+TURNS = 3
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, met: DataFrame, width: int, similarity: float, side: int) -> DataFrame:
@@ -244,9 +253,9 @@ def similar_copies(docs: DataFrame, width: int = 5, distance: int = 11, radius:
     """(doc_id, fp, component_id, raw, root) as ``near_duplicates``, of links whose similarity is verified.
 
     Texts whose fingerprints differ in ``distance`` bits or fewer are linked if the Jaccard similarity of their sets of
-    distinct shingles is ``similarity`` or more. Texts of equal words are one node, as are all without words. Every
-    node is first verified against one other, the same for all of a dense group; what is linked then is one part, and
-    all pairs between different parts follow, so that the components are those of all links. ``raw`` is the text's
+    distinct shingles is ``similarity`` or more. Texts of equal words are one node, as are all without words. In TURNS
+    rounds every node is verified against one other, the same for all of a dense group; what is linked then is one
+    part, and all pairs between different parts follow, so that the components are those of all links. ``raw`` is the text's
     xxhash64, and rows of one ``root`` are one component, also where component_id is null because no doc_id in it is
     known, or where rows of one doc_id have different texts. Very long texts are read whole; repeated rows are kept; an
     empty table gives an empty result.
@@ -256,11 +265,14 @@ def similar_copies(docs: DataFrame, width: int = 5, distance: int = 11, radius:
     raw = F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw")
     of = common.cut(docs.select("doc_id", "text", raw).mapInArrow(common.tidy(_nodes(width)), "doc_id long, raw long, fp long, node long"))
     nodes = common.cut(of.groupBy("node").agg(F.min("fp").alias("fp"), F.min("raw").alias("raw"), F.min("doc_id").alias("doc_id")))
-    first = wide_links(nodes.withColumn("part", F.col("node")), distance, radius, blocks, star=True)
-    stars = common.cut(_verified(docs, nodes, first, width, similarity, side))
-    part = components(stars).withColumnRenamed("component_id", "part")
-    parted = nodes.join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    rest = _verified(docs, nodes, wide_links(parted, distance, radius, blocks), width, similarity, side)
+    size = nodes.count()
+    parted, stars = nodes.withColumn("part", F.col("node")), None
+    for turn in range(TURNS):
+        good = common.cut(_verified(docs, nodes, wide_links(parted, distance, radius, size, turn), width, similarity, side))
+        stars = good if stars is None else stars.unionByName(good)
+        part = components(stars).withColumnRenamed("component_id", "part")
+        parted = common.cut(nodes.join(part, "node", "left").withColumn("part", F.coalesce("part", "node")))
+    rest = _verified(docs, nodes, wide_links(parted, distance, radius, size), width, similarity, side)
     reach = components(stars.unionByName(rest)).withColumnRenamed("component_id", "root")
     ids = nodes.select("node", "doc_id").join(reach, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
