@@ -48,3 +48,22 @@ def chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
         "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("c").cast("string")).alias("chunk_id"),
         (F.col("c") * step).cast("long").alias("start"), F.size(part).cast("long").alias("n_words"), F.array_join(part, " ").alias("text"),
     )
+
+
+def token_estimate(value: Column) -> Column:
+    """About how many tokens a text takes: half its characters, rounded up."""
+    return F.ceil(F.length(F.coalesce(value, F.lit(""))) / 2).cast("long")
+
+
+def prefix(value: Column, most: int) -> Column:
+    """The longest verbatim prefix of at most ``most`` words; ``\\s`` parts words."""
+    return F.regexp_extract(F.coalesce(value, F.lit("")), rf"^\s*(?:\S+\s+){{0,{most - 1}}}\S*", 0)
+
+
+def policy(value: Column, most: int, how: str) -> Column:
+    """A text over ``most`` words is kept, cut to a prefix, or refused, as ``how`` says: keep, truncate, fail."""
+    if how not in ("keep", "truncate", "fail"):
+        raise ValueError(f"unknown policy {how!r}")
+    over = F.regexp_count(F.coalesce(value, F.lit("")), F.lit(r"\S+")) > most
+    other = {"keep": value, "truncate": prefix(value, most), "fail": F.raise_error(F.lit(f"a text of more than {most} words"))}[how]
+    return F.when(over, other).otherwise(value)

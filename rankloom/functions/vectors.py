@@ -48,3 +48,8 @@ def sign_bits(v: Column) -> Column:
         return total
 
     return F.transform(at, byte)
+
+
+def quantise_uint8(v: Column, low: float, high: float) -> Column:
+    """As ``quantise_int8``, moved up to an unsigned byte."""
+    return F.transform(quantise_int8(v, low, high), lambda x: x + 128)

@@ -157,3 +157,17 @@ def superseded(log: DataFrame, keys: list[str], within_store: bool = False) -> D
         return F.when(F.when(old["tombstone"] | new["tombstone"], marked).otherwise(plain), new).otherwise(old)
 
     return rows.select(*keys, F.reduce(F.slice("lines", 2, F.size("lines")), F.get("lines", F.lit(0)), stands).alias("line"))
+
+
+def window_coverage_split(log: DataFrame) -> DataFrame:
+    """(query_id, windows, invalid, share, by_phase, by_judge): invalid windows of each query, in all and by kind as ``name=n``.
+
+    Lines marked as tombstones count for nothing.
+    """
+    rows = log.filter(~F.coalesce(F.col("tombstone"), F.lit(False))) if "tombstone" in log.columns else log
+    out = rows.groupBy("query_id").agg(F.count("*").alias("windows"), F.count_if(~F.col("valid")).alias("invalid"))
+    for kind in ("phase", "judge"):
+        per = rows.filter(~F.col("valid")).groupBy("query_id", kind).agg(F.count("*").alias("n"))
+        line = F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", kind, F.col("n").cast("string")))), ",")
+        out = out.join(per.groupBy("query_id").agg(line.alias(f"by_{kind}")), "query_id", "left").withColumn(f"by_{kind}", F.coalesce(f"by_{kind}", F.lit("")))
+    return out.withColumn("share", F.col("invalid") / F.col("windows"))

@@ -135,3 +135,31 @@ def paired_accuracy(run: DataFrame, labels: DataFrame, groups: DataFrame) -> Dat
 def coverage(answers: DataFrame, threshold: float) -> DataFrame:
     """(system, dataset, coverage): share of answers whose probability ``p`` reaches the threshold."""
     return answers.groupBy("system", "dataset").agg(F.avg((F.col("p") >= threshold).cast("double")).alias("coverage"))
+
+
+#: Metrics of ``classic`` by name; others are added by ``register``.
+METRICS = {name: (lambda run, labels, k, name=name: classic(run, labels, k).select(*KEYS, F.col(name).alias("value"))) for name in ("map", "recall", "precision", "success", "mrr", "recall_cap")}
+METRICS["ndcg"] = lambda run, labels, k: ndcg(run, labels, [k]).select(*KEYS, F.col("ndcg").alias("value"))
+METRICS["hole"] = lambda run, labels, k: holes(run, labels, k).select(*KEYS, F.col("hole").alias("value"))
+
+
+def register(name: str, metric) -> None:
+    """Adds a metric: a function of (run, labels, k) that gives (*KEYS, value). A name that is taken is a ValueError."""
+    if name in METRICS:
+        raise ValueError(f"there is a metric {name!r}")
+    METRICS[name] = metric
+
+
+def by_name(run: DataFrame, labels: DataFrame, names: list[str], k: int) -> DataFrame:
+    """(*KEYS, metric, value) of the named metrics; those of ``classic`` come from one pass."""
+    if unknown := [n for n in names if n not in METRICS]:
+        raise ValueError(f"no metric {unknown}")
+    shared = [n for n in names if n in ("map", "recall", "precision", "success", "mrr", "recall_cap")]
+    parts = [METRICS[n](run, labels, k).withColumn("metric", F.lit(n)).select(*KEYS, "metric", "value") for n in names if n not in shared]
+    if shared:
+        cells = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in shared])
+        parts.append(classic(run, labels, k).select(*KEYS, F.inline(cells)))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out

@@ -7,7 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.functions import gains
+from rankloom.operators import metrics
 from rankloom.operators.metrics import QUERY
+from rankloom.operators.ranking import KEYS
 
 
 @dataclass(frozen=True)
@@ -46,3 +49,25 @@ def restricted(run: DataFrame, pools: DataFrame, excluded: DataFrame, protocol:
     pool = pools.groupBy(*QUERY, "doc_id").agg(F.min("pos").alias("pool_pos"))
     rows = rows.join(pool, [*QUERY, "doc_id"], "inner" if protocol.restrict_to_candidates else "left")
     return rows.withColumn("pos", F.coalesce("pool_pos", F.col("pos") + F.lit(1_000_000_000))).drop("pool_pos")
+
+
+def scored(run: DataFrame, labels: DataFrame, pools: DataFrame, excluded: DataFrame, protocol: Protocol, k: int) -> DataFrame:
+    """(*KEYS, ndcg) under a protocol: its candidates, its gain of a grade, its ties, its rounding.
+
+    A query without a positive label is undefined: null, and left out by the means. Rankings that share no query with
+    the labels are a ValueError.
+    """
+    if not run.join(labels, list(QUERY), "left_semi").head(1):
+        raise ValueError("the rankings and the labels have no query in common")
+    rows = restricted(run, pools, excluded, protocol)
+    judged = without_excluded(labels, excluded, protocol).withColumn("gain", gains.qrel_gain(F.col("grade"), protocol.qrel_gain))
+    out = metrics.ndcg(rows, judged, [k], protocol.ties)
+    value = F.when(F.col("idcg") > 0, F.col("ndcg"))
+    return out.select(*KEYS, (F.round(value, protocol.round_digits) if protocol.round_digits is not None else value).alias("ndcg"))
+
+
+def report(values: DataFrame, value: str) -> DataFrame:
+    """(system, dataset, value, num_queries): each data set's mean, and with a null dataset the mean of those."""
+    inner = values.groupBy("system", "dataset").agg(F.avg(value).alias(value), F.count(value).alias("num_queries"))
+    outer = inner.groupBy("system").agg(F.avg(value).alias(value), F.sum("num_queries").alias("num_queries"))
+    return inner.unionByName(outer.withColumn("dataset", F.lit(None).cast("string")))

@@ -52,3 +52,49 @@ def report(run: DataFrame, labels: DataFrame, pools: DataFrame, excluded: DataFr
         .unionByName(_code(ranked.join(pools, doc, "left_anti"), "OUTSIDE_POOL"))
         .unionByName(_code(ranked.join(excluded, doc, "left_semi"), "EXCLUDED_RANKED"))
     )
+
+
+def folded(rows: DataFrame, keys: list[str], order: list[str], conflict: str = "error") -> DataFrame:
+    """One row a key, with ``copies``: rows that equal it in all columns, and ``lost``: others of its key.
+
+    Equal rows fold. Different rows of one key are a ValueError, or with ``conflict`` "last" the last by ``order`` stays.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    per = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    value = F.struct(*order, *[c for c in rest if c not in order], "copies")
+    out = per.groupBy(*keys).agg(F.max(value).alias("v"), F.sum("copies").alias("all"))
+    out = out.select(*keys, *[F.col(f"v.{c}").alias(c) for c in rest], F.col("v.copies").alias("copies"), (F.col("all") - F.col("v.copies")).alias("lost"))
+    if conflict == "error":
+        bad = out.filter("lost > 0").head(1)
+        if bad:
+            raise ValueError(f"different rows of one key: {({k: bad[0][k] for k in keys})}")
+    return out
+
+
+def unknown_ids(labels: DataFrame, pools: DataFrame) -> DataFrame:
+    """(dataset, query_id, doc_id, side) of pairs that only one of labels and pools names."""
+    doc = [*QUERY, "doc_id"]
+    a = labels.select(*doc).join(pools.select(*doc), doc, "left_anti").withColumn("side", F.lit("labels"))
+    return a.unionByName(pools.select(*doc).join(labels.select(*doc), doc, "left_anti").withColumn("side", F.lit("pools")))
+
+
+def criteria_gaps(verdicts: DataFrame, criteria: list[str]) -> DataFrame:
+    """(record_id, doc_id, missing, unknown) of ``verdicts(record_id, doc_id, criteria map)`` that answer other criteria."""
+    want = F.array(*[F.lit(c) for c in criteria])
+    have = F.coalesce(F.map_keys("criteria"), F.array().cast("array<string>"))
+    rows = verdicts.select("record_id", "doc_id", F.array_except(want, have).alias("missing"), F.array_sort(F.array_except(have, want)).alias("unknown"))
+    return rows.filter((F.size("missing") > 0) | (F.size("unknown") > 0))
+
+
+def kept_cases(cases: DataFrame, flag: str) -> DataFrame:
+    """Cases whose exclusion flag is not set; a null flag keeps, and so does a missing column."""
+    return cases.filter(~F.coalesce(F.col(flag), F.lit(False))) if flag in cases.columns else cases
+
+
+def grades(rows: DataFrame, column: str = "score") -> DataFrame:
+    """Rows with a finite ``grade``; anything else in the column is a ValueError."""
+    out = rows.withColumn("grade", F.col(column).try_cast("double"))
+    bad = out.filter(F.col("grade").isNull() | F.isnan("grade") | (F.abs("grade") == float("inf"))).head(1)
+    if bad:
+        raise ValueError(f"grade is no finite number: {bad[0].asDict()}")
+    return out

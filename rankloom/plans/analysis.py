@@ -175,9 +175,8 @@ def reliability_bins(spark, d):
 
 def reliability_grouping_sets(spark, d):
     rows = _verdicts(spark, d).withColumn("e", F.pow(F.col("p") - F.col("c3"), 2))
-    rows.createOrReplaceTempView("verdicts_")
-    return spark.sql("""SELECT judge, phase, count(*) AS n, round(avg(e), 6) AS brier FROM verdicts_
-        GROUP BY GROUPING SETS ((), (judge), (phase), (judge, phase))""")
+    sets = [[], [F.col("judge")], [F.col("phase")], [F.col("judge"), F.col("phase")]]
+    return rows.groupingSets(sets, "judge", "phase").agg(F.count("*").alias("n"), F.round(F.avg("e"), 6).alias("brier"))
 
 
 def eap_scores(spark, d):

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators.ranking import KEYS, metric_order
-from rankloom.operators.validate import check_rankings
+from rankloom.operators.validate import check_rankings, grades
 
 #: Other names of the columns: fixed values.
 ALIASES = {
@@ -83,7 +83,8 @@ def read_beir(spark: SparkSession, folder: str, split: str = "test", suffix: str
     corpus = spark.read.schema(kinds).json(f"{folder}/corpus.jsonl{suffix}").select(ident.alias("doc_id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
     queries = spark.read.schema(kinds).json(f"{folder}/queries.jsonl{suffix}").select(ident.alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
     qrels = spark.read.schema("query_id string, doc_id string, score string").csv(f"{folder}/qrels/{split}.tsv{suffix}", sep="\t")
-    qrels = qrels.filter("try_cast(score AS double) IS NOT NULL").select("query_id", "doc_id", F.col("score").try_cast("double").alias("grade"))
+    header = (F.col("query_id") == "query-id") & (F.col("doc_id") == "corpus-id")
+    qrels = grades(qrels.filter(~header)).select("query_id", "doc_id", "grade")
     return {"corpus": corpus, "queries": queries, "qrels": qrels}
 
 
@@ -110,3 +111,66 @@ def flatten_rows(rows: DataFrame) -> dict[str, DataFrame]:
 def record_id(columns: list[str]):
     """A row's identity: the digest of its named columns."""
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+
+
+#: Documents a query keeps in a predictions file: fixed value.
+MOST = 1000
+
+
+def write_rankings(run: DataFrame, path: str, kind: str | None = None) -> None:
+    """Rankings by the path's suffix, or by ``kind``: parquet, csv, tsv, jsonl (one row a query, a map of scores), trec."""
+    kind = kind or path.rstrip("/").rpartition(".")[2].lower()
+    rows = run.select(*KEYS, "doc_id", "score")
+    if kind in ("trec", "run", "txt"):
+        write_trec(run, path)
+    elif kind == "parquet":
+        rows.write.parquet(path)
+    elif kind in ("csv", "tsv"):
+        rows.write.csv(path, sep="\t" if kind == "tsv" else ",", header=True)
+    elif kind in ("jsonl", "json"):
+        rows.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("doc_id", "score"))).alias("scores")).write.json(path)
+    else:
+        raise ValueError(f"no writer for {kind!r}")
+
+
+def predictions(run: DataFrame, labels: DataFrame, split: str = "test") -> DataFrame:
+    """(dataset, split, query_id, scores): labelled queries alone, each with its first MOST documents, ties by doc_id descending.
+
+    A labelled query that the run does not rank is a ValueError; ranked queries without labels are left out.
+    """
+    asked = labels.select("dataset", "query_id").distinct()
+    lost = asked.join(run, ["dataset", "query_id"], "left_anti").head(1)
+    if lost:
+        raise ValueError(f"not ranked: {lost[0].asDict()}")
+    place = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.col("score").desc(), F.col("doc_id").desc()))
+    rows = run.join(asked, ["dataset", "query_id"], "left_semi").withColumn("place", place).filter(F.col("place") <= MOST)
+    scores = F.map_from_entries(F.collect_list(F.struct("doc_id", "score")))
+    return rows.groupBy("dataset", "query_id").agg(scores.alias("scores")).select("dataset", F.lit(split).alias("split"), "query_id", "scores")
+
+
+def write_predictions(rows: DataFrame, path: str) -> None:
+    """Predictions as JSON lines by data set and split; a folder that is there keeps its other splits."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "split").json(path)
+
+
+def write_rows(tables: dict[str, DataFrame], path: str) -> None:
+    """corpus, queries and qrels as JSON lines, one nested row a query, as ``flatten_rows`` reads them."""
+    docs = tables["qrels"].join(tables["corpus"].select("doc_id", "text"), "doc_id")
+    rows = docs.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text", "grade"))).alias("d"))
+    rows = rows.select("query_id", F.col("d.doc_id").alias("doc_ids"), F.col("d.text").alias("docs"), F.map_from_arrays("d.doc_id", "d.grade").alias("qrels"))
+    rows.join(tables["queries"].select("query_id", F.col("text").alias("query")), "query_id").write.json(path)
+
+
+def read_rows(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Nested rows of ``write_rows`` as tables."""
+    return flatten_rows(spark.read.schema("query_id string, query string, doc_ids array<string>, docs array<string>, qrels map<string,double>").json(path))
+
+
+def write_records(rows: DataFrame, path: str, kind: str) -> None:
+    """Result records appended as jsonl or parquet, or computed and dropped (null)."""
+    if kind not in ("jsonl", "parquet", "null"):
+        raise ValueError(f"no sink {kind!r}")
+    if kind == "null":
+        rows.write.format("noop").mode("overwrite").save()
+    else:
+        rows.write.mode("append").format("json" if kind == "jsonl" else kind).save(path)
