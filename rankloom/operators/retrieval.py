@@ -58,25 +58,28 @@ def dense_top(docs: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> D
                 )
 
     # a stated set of queries against all documents, block by block
-    blocks = _packed(docs, DOCS, "d").crossJoin(_packed(queries.coalesce(1), QUERIES, "q"))
+    blocks = _packed(docs, DOCS, "d").crossJoin(_packed(queries, QUERIES, "q"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     rows = blocks.mapInArrow(run, "query_id long, doc_id long, score double")
     return rows.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
 
 
-def terms(text):
-    """Lower-cased runs of two or more letters, digits and underscores."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9_]{2,}"), F.lit(0))
+def terms(text, stop: tuple[str, ...] = ()):
+    """Lower-cased runs of two or more letters and digits of any script, and underscores, without the stop words."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    return F.filter(found, lambda t: ~t.isin(*stop)) if stop else found
 
 
-def bm25_top(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, digits: int = 6) -> DataFrame:
+def bm25_top(
+    docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, digits: int = 6, stop: tuple[str, ...] = (), fill: bool = False
+) -> DataFrame:
     """(query_id, doc_id, score, rank) of ``queries(query_id, text)`` over ``docs(doc_id, text)``.
 
     The inverted index holds only terms that a query has. A term counts once in a query. Documents without any of the
-    query's terms score 0 and are not listed.
+    query's terms score 0; with ``fill`` they follow by doc_id where a query has fewer than ``k`` others.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    split = docs.select("doc_id", terms(F.col("text")).alias("ts")).select("doc_id", "ts", F.size("ts").alias("n"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text"), stop))).alias("term"))
+    split = docs.select("doc_id", terms(F.col("text"), stop).alias("ts")).select("doc_id", "ts", F.size("ts").alias("n"))
     stats = split.agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).first()
     count, mean = stats["docs"], float(stats["mean"] or 0.0)
     wanted = asked.select("term").distinct()
@@ -87,4 +90,13 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: fl
     postings = tf.join(df, "term").select("term", "doc_id", (idf * weight).alias("w"))
     scores = asked.join(postings, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), digits).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    return scores.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
+    top = scores.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
+    if not fill:
+        return top
+    # of the first 2 k documents at least k are none of a query's fewer than k hits
+    first = [r[0] for r in docs.select("doc_id").orderBy("doc_id").limit(2 * k).collect()]
+    hits = top.groupBy("query_id").agg(F.count("*").alias("hits"))
+    short = queries.select("query_id").distinct().join(hits, "query_id", "left").filter(F.coalesce("hits", F.lit(0)) < k)
+    zero = short.select("query_id", F.explode(F.array(*[F.lit(x) for x in first])).alias("doc_id")).join(top.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    both = top.drop("rank").unionByName(zero.withColumn("score", F.lit(0.0)))
+    return both.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)

@@ -125,7 +125,7 @@ def chunk_overlap(spark, d):
 
 
 def window_render(spark, d):
-    rows = b.table(spark, d, "conversations").filter("text IS NOT NULL").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("docs"))
+    rows = b.table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit(""))).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("docs"))
     return rows.select("conv_id", F.md5(text.window_text(F.col("docs"))).alias("window_md5"))
 
 
@@ -291,8 +291,8 @@ r AS (SELECT query_id, doc_id, round(sum(m), 6) AS score FROM s GROUP BY ALL)
 SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10""",
     "quantize_int8": "SELECT vec_id, array_to_string(list_transform(embedding, lambda x: trunc(least(greatest((x::DOUBLE + 0.4::DOUBLE) * (255.0::DOUBLE / 0.8::DOUBLE) - 128, -128), 127))::INT), ',') AS codes FROM embeddings",
     "quantize_binary": "SELECT vec_id, array_to_string(list_transform(range(0, len(embedding), 8), lambda i: list_sum(list_transform(range(8), lambda j: CASE WHEN embedding[i + j + 1] > 0 THEN (1 << (7 - j))::INT ELSE 0 END))::INT), ',') AS bits FROM embeddings",
-    "bm25_topk": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{2,}') AS ts FROM documents),
-a AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{2,}')) AS term FROM benchmark),
+    "bm25_topk": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') AS ts FROM documents),
+a AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}')) AS term FROM benchmark),
 g AS (SELECT count(*) AS docs, avg(len(ts)) AS mean FROM d),
 tf AS (SELECT term, doc_id, n, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM a) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
@@ -302,7 +302,7 @@ SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITIO
     "chunk_overlap": r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 c AS (SELECT doc_id, w, unnest(range(greatest(ceil((len(w) - 16) / 48)::INT, 1))) AS c FROM w WHERE len(w) > 0)
 SELECT doc_id, doc_id || '#' || c AS chunk_id, (c * 48)::BIGINT AS start, len(w[c * 48 + 1 : c * 48 + 64])::BIGINT AS n_words, md5(array_to_string(w[c * 48 + 1 : c * 48 + 64], ' ')) AS text_md5 FROM c""",
-    "window_render": r"""WITH t AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i FROM conversations WHERE text IS NOT NULL)
+    "window_render": r"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(text, '')) AS i FROM conversations)
 SELECT conv_id, md5(string_agg('<doc id="doc_' || i || '">' || chr(10) || replace(replace(replace(trim(text, ' '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || chr(10) || '</doc>', chr(10) ORDER BY i)) AS window_md5 FROM t GROUP BY ALL""",
     "max_pool_chunks": b.sql("run", f"SELECT {_SYSTEM}, 'p' || (substr(doc_id, 2)::INT % 20) AS document, max(score) AS score, min(pos) AS pos FROM run GROUP BY ALL"),
     "rubric_or_pool": b.sql("placements", "SELECT record_id, 'p' || (substr(doc_id, 2)::INT % 10) AS document, max(c1) AS c1, max(c2) AS c2, max(c3) AS c3, max(c4) AS c4, max(c5) AS c5 FROM placements GROUP BY ALL"),
@@ -342,5 +342,10 @@ c AS (SELECT unnest(['EXCLUDED_RELEVANT', 'UNJUDGED_CANDIDATES', 'QUERIES_WITHOU
 SELECT c.code, count(id) AS n, coalesce(array_to_string(list_sort(list_distinct(list(id) FILTER (id IS NOT NULL)))[1:5], ','), '') AS examples FROM c LEFT JOIN a USING (code) GROUP BY ALL"""),
     "unknown_queries": b.sql("run grid qrels", """, l AS (SELECT DISTINCT dataset, query_id FROM run), r AS (SELECT DISTINCT dataset, query_id FROM qrels WHERE grade > 0)
 SELECT dataset, query_id, 'left' AS side FROM l ANTI JOIN r USING (dataset, query_id) UNION ALL SELECT dataset, query_id, 'right' FROM r ANTI JOIN l USING (dataset, query_id)"""),
+    "score_delta": _ndcg_sql("dataset, query_id, round(m - v, 6) AS selection, round(p - m, 6) AS ordering", "run grid qrels", ties="doc_id_desc", run="""(
+  SELECT * FROM run WHERE system IN ('view', 'purchase') UNION ALL
+  SELECT 'mixed', c.dataset, c.query_id, c.doc_id, coalesce(-p.place::DOUBLE, c.score - 1e6::DOUBLE), c.pos FROM (SELECT * FROM run WHERE system = 'purchase') c
+  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY dataset, query_id ORDER BY score DESC, doc_id) AS place FROM run WHERE system = 'view') p USING (dataset, query_id, doc_id))""")
+    + "(SELECT dataset, query_id, max(ndcg) FILTER (system = 'view') AS v, max(ndcg) FILTER (system = 'purchase') AS p, max(ndcg) FILTER (system = 'mixed') AS m FROM n GROUP BY ALL) WHERE v IS NOT NULL AND p IS NOT NULL",
     "duplicate_pairs": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
 }
