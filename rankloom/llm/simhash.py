@@ -104,7 +104,7 @@ def _masks(width: int, radius: int) -> list[int]:
 
 
 def wide_links(nodes: DataFrame, distance: int, radius: int, size: int, star: int | None = None) -> DataFrame:
-    """Pairs (a, b), a < b, of ``nodes(node, fp, part)`` whose fingerprints differ in ``distance`` bits or fewer.
+    """Pairs (a, b), a < b but for stars, of ``nodes(node, fp, part)`` whose fingerprints differ in ``distance`` bits or fewer.
 
     As ``links``, with balls of ``radius`` bits in the fewest segments of which one must differ in so few: distance 11
     and radius 3 take three. A node travels to the groups whose leading bits lie within the radius of its own; a group
@@ -176,8 +176,7 @@ def wide_links(nodes: DataFrame, distance: int, radius: int, size: int, star: in
     groups = nodes.select("node", "fp", "part", F.inline(F.concat(*tops))).groupBy("no", "value")
     if star is None:
         return groups.applyInArrow(common.tidy(find), "a long, b long")
-    one = groups.applyInArrow(common.tidy(find), "a long, b long, turn long").groupBy("b").agg(F.min_by("a", "turn").alias("a"))
-    return one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return groups.applyInArrow(common.tidy(find), "a long, b long, turn long").groupBy("b").agg(F.min_by("a", "turn").alias("a")).select("a", "b")
 
 
 def _nodes(width: int):
@@ -249,6 +248,22 @@ def _verified(docs: DataFrame, nodes: DataFrame, met: DataFrame, width: int, sim
     return pairs.groupBy("cell").cogroup(sets.groupBy("at")).applyInArrow(common.tidy(_alike(similarity)), "a long, b long")
 
 
+def _joined(parted: DataFrame, links_: DataFrame) -> DataFrame:
+    """``parted(node, fp, part)`` with linked parts under one name where a few steps can give it.
+
+    Every part points to one that it is linked with and whose hash is smaller, and takes the name four pointers on.
+    Parts that stay apart are only paired later; ``components`` has the last word.
+    """
+    of = parted.select("node", "part")
+    ends = links_.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").filter("x <> y").select("x", "y").distinct()
+    down = F.xxhash64("x") < F.xxhash64("y")
+    to = ends.select(F.when(down, F.col("y")).otherwise(F.col("x")).alias("part"), F.when(down, F.col("x")).otherwise(F.col("y")).alias("to"))
+    step = common.cut(to.groupBy("part").agg(F.min_by("to", F.xxhash64("to")).alias("to")))
+    for _ in range(2):
+        step = step.join(step.toDF("to", "far"), "to", "left").select("part", F.coalesce("far", "to").alias("to"))
+    return common.cut(parted.join(step, "part", "left").select("node", "fp", F.coalesce("to", "part").alias("part")))
+
+
 def similar_copies(docs: DataFrame, width: int = 5, distance: int = 11, radius: int = 3, similarity: float = 0.8) -> DataFrame:
     """(doc_id, fp, component_id, raw, root) as ``near_duplicates``, of links whose similarity is verified.
 
@@ -266,12 +281,11 @@ def similar_copies(docs: DataFrame, width: int = 5, distance: int = 11, radius:
     of = common.cut(docs.select("doc_id", "text", raw).mapInArrow(common.tidy(_nodes(width)), "doc_id long, raw long, fp long, node long"))
     nodes = common.cut(of.groupBy("node").agg(F.min("fp").alias("fp"), F.min("raw").alias("raw"), F.min("doc_id").alias("doc_id")))
     size = nodes.count()
-    parted, stars = nodes.withColumn("part", F.col("node")), None
+    parted, stars = nodes.select("node", "fp", F.col("node").alias("part")), None
     for turn in range(TURNS):
         good = common.cut(_verified(docs, nodes, wide_links(parted, distance, radius, size, turn), width, similarity, side))
         stars = good if stars is None else stars.unionByName(good)
-        part = components(stars).withColumnRenamed("component_id", "part")
-        parted = common.cut(nodes.join(part, "node", "left").withColumn("part", F.coalesce("part", "node")))
+        parted = _joined(parted, good)
     rest = _verified(docs, nodes, wide_links(parted, distance, radius, size), width, similarity, side)
     reach = components(stars.unionByName(rest)).withColumnRenamed("component_id", "root")
     ids = nodes.select("node", "doc_id").join(reach, "node", "left").withColumn("root", F.coalesce("root", "node"))
