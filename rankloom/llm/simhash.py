@@ -287,7 +287,9 @@ def similar_copies(docs: DataFrame, width: int = 5, distance: int = 11, radius:
         stars = good if stars is None else stars.unionByName(good)
         parted = _joined(parted, good)
     rest = _verified(docs, nodes, wide_links(parted, distance, radius, size), width, similarity, side)
-    reach = components(stars.unionByName(rest)).withColumnRenamed("component_id", "root")
-    ids = nodes.select("node", "doc_id").join(reach, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of_part = parted.select("node", "part")
+    ends = stars.unionByName(rest).join(of_part.toDF("a", "x"), "a").join(of_part.toDF("b", "y"), "b").filter("x <> y")
+    reach = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()).select(F.col("node").alias("part"), F.col("component_id").alias("root"))
+    ids = nodes.select("node", "doc_id").join(of_part, "node").join(reach, "part", "left").withColumn("root", F.coalesce("root", "part"))
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return of.join(ids.join(least, "root").select("node", "component_id", "root"), "node").select("doc_id", "fp", "component_id", "raw", "root")
