@@ -252,16 +252,17 @@ def _joined(parted: DataFrame, links_: DataFrame) -> DataFrame:
     """``parted(node, fp, part)`` with linked parts under one name where a few steps can give it.
 
     Every part points to one that it is linked with and whose hash is smaller, and takes the name four pointers on.
-    Parts that stay apart are only paired later; ``components`` has the last word.
+    Parts that stay apart are only paired later; ``components`` has the last word. Rounds go through written tables, as
+    a checkpoint remembers how its rows were dealt, and the joins of every round would multiply what it remembers.
     """
     of = parted.select("node", "part")
     ends = links_.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").filter("x <> y").select("x", "y").distinct()
     down = F.xxhash64("x") < F.xxhash64("y")
     to = ends.select(F.when(down, F.col("y")).otherwise(F.col("x")).alias("part"), F.when(down, F.col("x")).otherwise(F.col("y")).alias("to"))
-    step = common.cut(to.groupBy("part").agg(F.min_by("to", F.xxhash64("to")).alias("to")))
+    step = common.written(to.groupBy("part").agg(F.min_by("to", F.xxhash64("to")).alias("to")))
     for _ in range(2):
         step = step.join(step.toDF("to", "far"), "to", "left").select("part", F.coalesce("far", "to").alias("to"))
-    return common.cut(parted.join(step, "part", "left").select("node", "fp", F.coalesce("to", "part").alias("part")))
+    return common.written(parted.join(step, "part", "left").select("node", "fp", F.coalesce("to", "part").alias("part")))
 
 
 def similar_copies(docs: DataFrame, width: int = 5, distance: int = 11, radius: int = 3, similarity: float = 0.8) -> DataFrame:
