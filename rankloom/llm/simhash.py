@@ -103,6 +103,11 @@ def _masks(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for n in range(min(width, radius) + 1) for bits in combinations(range(width), n)]
 
 
+def _order(star: int) -> int:
+    """What a node is XORed with to give its place in the order of this round: nodes are hashes, so orders differ at random."""
+    return (star + 1) * 0x9E3779B97F4A7C15 % (1 << 64) - (1 << 63)
+
+
 def wide_links(nodes: DataFrame, distance: int, radius: int, size: int, star: int | None = None) -> DataFrame:
     """Pairs (a, b), a < b but for stars, of ``nodes(node, fp, part)`` whose fingerprints differ in ``distance`` bits or fewer.
 
@@ -133,7 +138,7 @@ def wide_links(nodes: DataFrame, distance: int, radius: int, size: int, star: in
         off = np.bitwise_count(value >> np.uint64(rest) ^ np.uint64(group))
         own = np.flatnonzero(off == 0)
         parts = int(part.max()) + 1
-        turn = common.mix(node.view(np.uint64) ^ np.uint64((star or 0) * 0x9E3779B97F4A7C15 % (1 << 64)))
+        turn = node ^ np.int64(_order(star or 0))
         own = own[np.lexsort((turn[own] if star is not None else part[own], low[own]))]
         start = np.concatenate(([0], np.cumsum(np.bincount(low[own], minlength=1 << rest))))
         keys = low[own] * parts + part[own]
@@ -169,7 +174,7 @@ def wide_links(nodes: DataFrame, distance: int, radius: int, size: int, star: in
         if star is not None:
             some = np.flatnonzero(best >= 0)
             a, b = node[best[some]], node[some]
-            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "turn": pa.array(rank[some].view(np.int64))})
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "turn": pa.array(rank[some])})
         a, b = (np.concatenate(x) for x in zip(*found)) if found else (node[:0], node[:0])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -248,18 +253,22 @@ def _verified(docs: DataFrame, nodes: DataFrame, met: DataFrame, width: int, sim
     return pairs.groupBy("cell").cogroup(sets.groupBy("at")).applyInArrow(common.tidy(_alike(similarity)), "a long, b long")
 
 
-def _joined(parted: DataFrame, links_: DataFrame) -> DataFrame:
+def _joined(parted: DataFrame, links_: DataFrame, star: int) -> DataFrame:
     """``parted(node, fp, part)`` with linked parts under one name where a few steps can give it.
 
-    Every part points to one that it is linked with and whose hash is smaller, and takes the name four pointers on.
-    Parts that stay apart are only paired later; ``components`` has the last word. Rounds go through written tables, as
+    Every part points to the one of those linked with it whose first node in the round's order comes first, if before its
+    own, and takes the name four pointers on: all that a star's centre is linked with take the centre's name. Parts that stay apart are only paired later; ``components`` has the last word. Rounds go through written tables, as
     a checkpoint remembers how its rows were dealt, and the joins of every round would multiply what it remembers.
     """
     of = parted.select("node", "part")
     ends = links_.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").filter("x <> y").select("x", "y").distinct()
-    down = F.xxhash64("x") < F.xxhash64("y")
-    to = ends.select(F.when(down, F.col("y")).otherwise(F.col("x")).alias("part"), F.when(down, F.col("x")).otherwise(F.col("y")).alias("to"))
-    step = common.written(to.groupBy("part").agg(F.min_by("to", F.xxhash64("to")).alias("to")))
+    turns = parted.groupBy("part").agg(F.min(F.col("node").bitwiseXOR(F.lit(_order(star)))).alias("turn"))
+    ends = ends.join(turns.toDF("x", "x_turn"), "x").join(turns.toDF("y", "y_turn"), "y")
+    down = F.col("x_turn") < F.col("y_turn")
+    to = ends.select(
+        F.when(down, F.col("y")).otherwise(F.col("x")).alias("part"), F.when(down, F.col("x")).otherwise(F.col("y")).alias("to"), F.least("x_turn", "y_turn").alias("turn")
+    )
+    step = common.written(to.groupBy("part").agg(F.min_by("to", "turn").alias("to")))
     for _ in range(2):
         step = step.join(step.toDF("to", "far"), "to", "left").select("part", F.coalesce("far", "to").alias("to"))
     return common.written(parted.join(step, "part", "left").select("node", "fp", F.coalesce("to", "part").alias("part")))
@@ -286,7 +295,7 @@ def similar_copies(docs: DataFrame, width: int = 5, distance: int = 11, radius:
     for turn in range(TURNS):
         good = common.cut(_verified(docs, nodes, wide_links(parted, distance, radius, size, turn), width, similarity, side))
         stars = good if stars is None else stars.unionByName(good)
-        parted = _joined(parted, good)
+        parted = _joined(parted, good, turn)
     rest = _verified(docs, nodes, wide_links(parted, distance, radius, size), width, similarity, side)
     of_part = parted.select("node", "part")
     ends = stars.unionByName(rest).join(of_part.toDF("a", "x"), "a").join(of_part.toDF("b", "y"), "b").filter("x <> y")
