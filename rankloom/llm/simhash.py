@@ -238,7 +238,7 @@ def _alike(similarity: float):
 #: Nodes whose texts are fetched by a broadcast of their keys; more are fetched by a shuffle.
 BROADCAST = 1 << 19
 #: Rounds in which every node is verified against one other, before all pairs of different parts are.
-TURNS = 6
+TURNS = 3
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, met: DataFrame, width: int, similarity: float, side: int) -> DataFrame:
