@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import audio, embeddings, fm_dedup, mixing, pieces, pitman_yor, quality, simhash, suffix_dedup, urls
+from rankloom.llm import audio, bpe, embeddings, fm_dedup, mixing, pieces, pitman_yor, quality, runs, simhash, suffix_dedup, urls, variants
 from rankloom.llm.common import read
 
 
@@ -62,7 +62,34 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_audio, op2_suffix_dedup, op3_mixing, op4_simhash, op5_urls, op6_quality, op7_fm_dedup, op8_embeddings, op9_pieces, op10_pitman_yor)}
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(read(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = runs.collapse(read(spark, sf_dir, "documents"), repeat=True)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n")))
+    rows = rows.select("doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), longest.alias("r"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return rows.select(
+        "doc_id", "n_runs", (-F.col("r.start")).alias("start"), F.col("r.length"), (-F.col("r.period")).alias("period"),
+        F.expr("1000 * r.length div -r.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256", "n_words",
+    )
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(spark, read(spark, sf_dir, "documents"), packed=True)
+    rows = bpe.decode(spark, ids, carry=("ids",), packed=True)
+    return rows.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_audio, op2_suffix_dedup, op3_mixing, op4_simhash, op5_urls, op6_quality, op7_fm_dedup, op8_embeddings, op9_pieces, op10_pitman_yor,
+        op11_variants, op12_runs, op13_bpe,
+    )
+}
 
 ORACLE_SQL = {
     "op3_mixing": r"""
