@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.functions import gains
+from rankloom.operators import abilities
+
 
 def _logistic(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
@@ -55,63 +58,29 @@ def bradley_terry(comparisons: DataFrame, l2: float = 1e-4) -> DataFrame:
     return summed.groupBy("query_id").applyInPandas(fit, "query_id string, doc_id string, theta double, se double")
 
 
-def rubric_items(patterns: DataFrame, criteria: int, low: float = -18.0, high: float = 10.0, points: int = 561, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
-    """Discriminations (sum: the criteria) and difficulties (mean 0) by marginal maximum likelihood.
-
-    ``patterns(n, s1...)`` counts a document's windows and passes. Documents collapse into distinct patterns, which
-    is all that reaches the driver; EM over a grid of abilities with a standard normal prior then fits the items.
-    """
-    s = [f"s{i + 1}" for i in range(criteria)]
-    table = patterns.groupBy("n", *s).agg(F.count("*").alias("count")).toPandas().sort_values(["n", *s])
-    n, passes, count = table["n"].to_numpy(float), table[s].to_numpy(float), table["count"].to_numpy(float)
-    grid = np.linspace(low, high, points)
-    prior = -grid * grid / 2
-    gamma, beta = np.ones(criteria), np.zeros(criteria)
-    for _ in range(rounds):
-        x = gamma[:, None] * (grid[None, :] - beta[:, None])
-        yes, no = -np.logaddexp(0, -x), -np.logaddexp(0, x)
-        log = passes @ yes + (n[:, None] - passes) @ no + prior
-        w = np.exp(log - log.max(1, keepdims=True))
-        w *= (count / w.sum(1))[:, None]
-        tried, passed = n @ w, passes.T @ w
-        last = np.concatenate([gamma, beta])
-        for k in range(criteria):
-            a, b = gamma[k], -gamma[k] * beta[k]
-            for _ in range(20):
-                p = _logistic(a * grid + b)
-                e, v = passed[k] - tried * p, tried * p * (1 - p)
-                hess = np.array([[(v * grid * grid).sum(), (v * grid).sum()], [(v * grid).sum(), v.sum()]]) + 1e-9 * np.eye(2)
-                step = np.linalg.solve(hess, [(e * grid).sum(), e.sum()])
-                a, b = float(np.clip(a + step[0], 0.05, 20)), b + step[1]
-                if np.abs(step).max() < 1e-10:
-                    break
-            gamma[k], beta[k] = a, -b / a
-        if np.abs(np.concatenate([gamma, beta]) - last).max() < 1e-5:
-            break
-    scale = criteria / gamma.sum()
-    return gamma * scale, (beta - beta.mean()) / scale
+def rubric_items(patterns: DataFrame, criteria: int) -> tuple[np.ndarray, np.ndarray]:
+    """Discriminations (sum: the criteria) and difficulties (mean 0) by marginal maximum likelihood, see ``abilities.rubric_2pl``."""
+    fit = abilities.rubric_2pl(patterns, criteria)
+    return np.array(fit.gamma), np.array(fit.beta)
 
 
 def insert_document(opponents: DataFrame, sd: float = 10.0) -> DataFrame:
     """(query_id, doc_id, theta, information, opponents) of new documents against frozen abilities.
 
     ``opponents(query_id, doc_id, other_theta, weight, label)``: label is the share of the comparison that the new
-    document won. Newton's method in one dimension, within -20 and 20, all documents of a batch at once; rows are
-    summed by opponent ability before a document's are put together.
+    document won. A normal prior of ``sd`` holds the ability; it is found by Newton's steps inside a bracket of -20 to
+    20, as an aggregate over the opponents' abilities, whose rows are summed first. ``abilities.insert`` adds the
+    predicates that tell whether the opponents identify the document.
     """
-    rows = opponents.groupBy("query_id", "doc_id", "other_theta").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("label")).alias("wy"))
+    rows = opponents.groupBy("query_id", "doc_id", "other_theta").agg(F.sum("weight").cast("double").alias("w"), F.sum(F.col("weight") * F.col("label")).cast("double").alias("wy"))
+    rows = rows.groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("other_theta", "w", "wy"))).alias("faced"))
+    rows = rows.withColumn("theta", abilities._settled(F.lit(1 / sd**2)))
 
-    def fit(f: pd.DataFrame) -> pd.DataFrame:
-        t, w, wy = f["other_theta"].to_numpy(), f["w"].to_numpy(), f["wy"].to_numpy()
-        low, high = -20.0, 20.0
-        for _ in range(200):
-            x = (low + high) / 2
-            slope = (wy - w * _logistic(x - t)).sum() - x / sd**2
-            low, high = (x, high) if slope > 0 else (low, x)
-        p = _logistic(x - t)
-        return pd.DataFrame({"query_id": [f["query_id"].iloc[0]], "doc_id": [f["doc_id"].iloc[0]], "theta": [x], "information": [float((w * p * (1 - p)).sum())], "opponents": [len(f)]})
-
-    return rows.groupBy("query_id", "doc_id").applyInPandas(fit, "query_id string, doc_id string, theta double, information double, opponents long")
+    def info(total, o):
+        p = gains.sigmoid(F.col("theta") - o["other_theta"])
+        return total + o["w"] * p * (1 - p)
+
+    return rows.select("query_id", "doc_id", "theta", F.aggregate("faced", F.lit(0.0), info).alias("information"), F.size("faced").cast("long").alias("opponents"))
 
 
 def rasch_scores(rows: DataFrame, beta: list[float], ridge: float = 0.05, steps: int = 30) -> DataFrame:

@@ -1,10 +1,10 @@
 import pytest
 
-from rankloom.plans import analysis, pooling, reporting, scoring
+from rankloom.plans import analysis, fits, pooling, reporting, scoring
 from tests.oracle import check
 
-QUERIES = {**scoring.QUERIES, **analysis.QUERIES, **reporting.QUERIES, **pooling.QUERIES}
-SQL = {**scoring.ORACLE_SQL, **analysis.ORACLE_SQL, **reporting.ORACLE_SQL, **pooling.ORACLE_SQL}
+QUERIES = {**scoring.QUERIES, **analysis.QUERIES, **fits.QUERIES, **reporting.QUERIES, **pooling.QUERIES}
+SQL = {**scoring.ORACLE_SQL, **analysis.ORACLE_SQL, **fits.ORACLE_SQL, **reporting.ORACLE_SQL, **pooling.ORACLE_SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
