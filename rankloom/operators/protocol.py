@@ -48,11 +48,11 @@ def restricted(run: DataFrame, pools: DataFrame, excluded: DataFrame, protocol:
     rows = without_excluded(run, excluded, protocol)
     pool = pools.groupBy(*QUERY, "doc_id").agg(F.min("pos").alias("pool_pos"))
     rows = rows.join(pool, [*QUERY, "doc_id"], "inner" if protocol.restrict_to_candidates else "left")
-    return rows.withColumn("pos", F.coalesce("pool_pos", F.col("pos") + F.lit(1_000_000_000))).drop("pool_pos")
+    return rows.withColumn("pos", F.coalesce("pool_pos", F.col("pos") + F.lit(1 << 62))).drop("pool_pos")
 
 
 def scored(run: DataFrame, labels: DataFrame, pools: DataFrame, excluded: DataFrame, protocol: Protocol, k: int) -> DataFrame:
-    """(*KEYS, ndcg) under a protocol: its candidates, its gain of a grade, its ties, its rounding.
+    """(*KEYS, ndcg) under a protocol: its candidates, its gain of a grade, its ties, its rounding (half to even).
 
     A query without a positive label is undefined: null, and left out by the means. Rankings that share no query with
     the labels are a ValueError.
@@ -63,7 +63,7 @@ def scored(run: DataFrame, labels: DataFrame, pools: DataFrame, excluded: DataFr
     judged = without_excluded(labels, excluded, protocol).withColumn("gain", gains.qrel_gain(F.col("grade"), protocol.qrel_gain))
     out = metrics.ndcg(rows, judged, [k], protocol.ties)
     value = F.when(F.col("idcg") > 0, F.col("ndcg"))
-    return out.select(*KEYS, (F.round(value, protocol.round_digits) if protocol.round_digits is not None else value).alias("ndcg"))
+    return out.select(*KEYS, (F.bround(value, protocol.round_digits) if protocol.round_digits is not None else value).alias("ndcg"))
 
 
 def report(values: DataFrame, value: str) -> DataFrame:

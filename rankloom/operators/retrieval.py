@@ -8,11 +8,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 #: Documents and queries that one block holds.
 DOCS, QUERIES = 2048, 256
 
 
+def _usable(items: DataFrame) -> DataFrame:
+    """(id, vector) of items that have a vector: null and empty ones, and those with a null or non-finite component, are none.
+
+    An item of several vectors keeps those that are usable, and is left out if none is.
+    """
+    key, name = items.columns
+    kind = items.schema[name].dataType.elementType
+
+    def whole(v):
+        return F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
+
+    if isinstance(kind, ArrayType):
+        return items.select(key, F.filter(name, whole).alias(name)).filter(F.size(name) > 0).filter(F.col(key).isNotNull())
+    return items.filter(whole(F.col(name)) & F.col(key).isNotNull())
+
+
 def _packed(rows: DataFrame, size: int, prefix: str) -> DataFrame:
     """(ids, matrix, starts) rows of up to ``size`` items; an item is one vector or an array of them."""
 
@@ -36,7 +53,9 @@ def dense_top(docs: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> D
     ``docs(id, vector)`` and ``queries(id, vector)``; a vector may be an array of vectors, and then a document scores
     the sum over the query's of the largest product with one of the document's. A document is not its own result.
     Scores are rounded before they are ranked; ties go to the smaller id. Blocks of documents meet blocks of queries;
-    each pair of blocks hands on only its best ``k`` a query.
+    each pair of blocks hands on only its best ``k`` a query. Items without a usable vector (null, empty, or with a
+    component that is null or not finite) or without an id find nothing and are not found, as are vectors of an item of
+    several; no documents or no queries give no rows. Vectors of different sizes are an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +77,7 @@ def dense_top(docs: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> D
                 )
 
     # a stated set of queries against all documents, block by block
-    blocks = _packed(docs, DOCS, "d").crossJoin(_packed(queries, QUERIES, "q"))
+    blocks = _packed(_usable(docs), DOCS, "d").crossJoin(_packed(_usable(queries), QUERIES, "q"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     rows = blocks.mapInArrow(run, "query_id long, doc_id long, score double")
     return rows.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)

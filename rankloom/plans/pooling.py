@@ -116,8 +116,8 @@ def stratified_groups(spark, d):
 
 
 def ndcg_evaluated(spark, d):
-    """nDCG's mean over the queries that were evaluated, those without a positive label left out."""
-    rows = metrics.ndcg(b.run(spark, d, True), b.labels(spark, d), [10]).filter("idcg > 0")
+    """nDCG's mean over the queries both labelled and ranked; one without a positive label counts 0."""
+    rows = metrics.ndcg(b.run(spark, d, True), b.labels(spark, d), [10])
     return rows.groupBy("system", "dataset").agg(F.round(F.avg("ndcg"), 6).alias("ndcg"), F.count("*").alias("queries"))
 
 
@@ -214,7 +214,7 @@ _LOW, _HIGH = f"({min(b.BETA)}::DOUBLE)", f"({max(b.BETA)}::DOUBLE)"
 _PROTOCOL = _ndcg_sql("@", "run_tied grid qrels pools excluded", gain="pow(2, grade) - 1",
     run="(SELECT run.* FROM run JOIN pools USING (dataset, query_id, doc_id) ANTI JOIN excluded USING (dataset, query_id, doc_id) WHERE doc_id <> query_id)",
     qrels="(SELECT * FROM qrels ANTI JOIN excluded USING (dataset, query_id, doc_id) WHERE doc_id <> query_id)").rsplit("SELECT @ FROM", 1)[0].rstrip() + f""",
-s AS (SELECT {_SYSTEM}, CASE WHEN idcg > 0 THEN round(ndcg, 5) END AS ndcg FROM n)
+s AS (SELECT {_SYSTEM}, CASE WHEN idcg > 0 THEN round_even(ndcg, 5) END AS ndcg FROM n)
 """
 _THETAS = ", v AS (SELECT * FROM placements WHERE valid), t AS (SELECT query_id, doc_id, round(avg(score), 6) AS theta FROM v GROUP BY ALL)"
 _SIZES = "z AS (SELECT dataset, query_id, count(*) AS units, least(10, count(*)) AS w FROM pools GROUP BY ALL)"
@@ -254,7 +254,7 @@ SELECT dataset, count(*) AS queries, sum(calls)::BIGINT AS calls, sum(calls) * 2
 o AS (SELECT *, row_number() OVER w AS place, lead(doc_id) OVER w AS below, lead(theta) OVER w AS low FROM t WINDOW w AS (PARTITION BY query_id ORDER BY theta DESC, doc_id))
 SELECT o.query_id, doc_id, below, place, round(1 / (1 + exp(low - theta)) * (1 - 1 / (1 + exp(low - theta))) / log2(place + 1) / (1 + coalesce(n, 0)), 6) AS value
 FROM o LEFT JOIN p ON o.query_id = p.query_id AND a = least(doc_id, below) AND b = greatest(doc_id, below) WHERE place < 20 AND below IS NOT NULL"""),
-    "ndcg_evaluated": _ndcg_sql("system, dataset, round(avg(ndcg), 6) AS ndcg, count(*) AS queries") + "n WHERE idcg > 0 GROUP BY ALL",
+    "ndcg_evaluated": _ndcg_sql("system, dataset, round(avg(ndcg), 6) AS ndcg, count(*) AS queries") + "n GROUP BY ALL",
     "protocol_scored": _PROTOCOL + f"SELECT {_SYSTEM}, round(ndcg, 6) AS ndcg FROM s",
     "protocol_report": _PROTOCOL + """, per AS (SELECT system, dataset, avg(ndcg) AS v, count(ndcg) AS n FROM s GROUP BY ALL)
 SELECT system, dataset, round(v, 6) AS ndcg, n AS num_queries FROM per UNION ALL SELECT system, NULL, round(avg(v), 6), sum(n)::BIGINT FROM per GROUP BY system""",

@@ -106,19 +106,16 @@ def coverage90(spark, d):
     return metrics.coverage(answers, 0.9).select("system", "dataset", _r("coverage"))
 
 
+def _protocol(spark, d, name: str):
+    return protocol.scored(b.run(spark, d, True), b.labels(spark, d), b.pools(spark, d), b.excluded(spark, d), protocol.PRESETS[name], 10)
+
+
 def protocol_pool_ndcg(spark, d):
-    p = protocol.PRESETS["nanobeir"]
-    run = protocol.restricted(b.run(spark, d, True), b.pools(spark, d), b.excluded(spark, d), p)
-    labels = protocol.without_excluded(b.labels(spark, d), b.excluded(spark, d), p)
-    return metrics.ndcg(run, labels, [10], p.ties).select(*ranking.KEYS, _r("ndcg"))
+    return _protocol(spark, d, "nanobeir")
 
 
 def protocol_excluded_ndcg(spark, d):
-    p = protocol.PRESETS["bright"]
-    run = protocol.restricted(b.run(spark, d, True), b.pools(spark, d), b.excluded(spark, d), p)
-    labels = protocol.without_excluded(b.labels(spark, d), b.excluded(spark, d), p)
-    rows = metrics.ndcg(run, labels, [10], "input_order").join(metrics.ideal(labels, [10]).select("dataset", "query_id", "positives"), ["dataset", "query_id"])
-    return rows.select(*ranking.KEYS, F.when(F.col("positives") > 0, F.round("ndcg", 6)).alias("ndcg"))
+    return _protocol(spark, d, "bright")
 
 
 def two_level_mean(spark, d):
@@ -168,6 +165,7 @@ n AS (SELECT {_SYSTEM}, k, dcg, idcg, positives, CASE WHEN idcg > 0 THEN dcg / i
 
 
 _N = f"{_SYSTEM}, round(ndcg, 6) AS ndcg"
+_ROUNDED = f"{_SYSTEM}, CASE WHEN positives > 0 THEN round_even(ndcg, 5) END AS ndcg"
 
 
 def _gain_sql(theta: str = "theta") -> str:
@@ -213,8 +211,8 @@ v AS (SELECT s.system, p.dataset, group_id, bool_and(coalesce(x.score, '-infinit
   LEFT JOIN run y ON y.system = s.system AND y.dataset = p.dataset AND y.query_id = p.query_id AND y.doc_id = other GROUP BY ALL)
 SELECT system, dataset, round(avg(ok::INT), 6) AS accuracy, count(*) AS pairs FROM v GROUP BY ALL"""),
     "coverage90": b.sql("run", "SELECT system, dataset, round(avg((score / 100 >= 0.9::DOUBLE)::INT), 6) AS coverage FROM run GROUP BY ALL"),
-    "protocol_pool_ndcg": _ndcg_sql(_N, "run_tied grid qrels pools excluded", run="(SELECT run.* FROM run JOIN pools USING (dataset, query_id, doc_id) ANTI JOIN excluded USING (dataset, query_id, doc_id))", qrels="(SELECT * FROM qrels ANTI JOIN excluded USING (dataset, query_id, doc_id))") + "n",
-    "protocol_excluded_ndcg": _ndcg_sql(f"{_SYSTEM}, CASE WHEN positives > 0 THEN round(ndcg, 6) END AS ndcg", "run_tied grid qrels pools excluded", ties="input_order", run="(SELECT run.* EXCLUDE (pos), coalesce(pools.pos, run.pos + 1000000000) AS pos FROM run LEFT JOIN pools USING (dataset, query_id, doc_id) ANTI JOIN excluded USING (dataset, query_id, doc_id))", qrels="(SELECT * FROM qrels ANTI JOIN excluded USING (dataset, query_id, doc_id))") + "n",
+    "protocol_pool_ndcg": _ndcg_sql(_ROUNDED, "run_tied grid qrels pools excluded", run="(SELECT run.* FROM run JOIN pools USING (dataset, query_id, doc_id) ANTI JOIN excluded USING (dataset, query_id, doc_id))", qrels="(SELECT * FROM qrels ANTI JOIN excluded USING (dataset, query_id, doc_id))") + "n",
+    "protocol_excluded_ndcg": _ndcg_sql(_ROUNDED, "run_tied grid qrels pools excluded", run="(SELECT run.* EXCLUDE (pos), coalesce(pools.pos, run.pos + 1000000000) AS pos FROM run LEFT JOIN pools USING (dataset, query_id, doc_id) ANTI JOIN excluded USING (dataset, query_id, doc_id))", qrels="(SELECT * FROM qrels ANTI JOIN excluded USING (dataset, query_id, doc_id))") + "n",
     "two_level_mean": _ndcg_sql("system, round(avg(v), 6) AS ndcg, sum(c)::BIGINT AS queries, count(*) AS datasets") + "(SELECT system, dataset, avg(ndcg) AS v, count(*) AS c FROM n GROUP BY ALL) GROUP BY ALL",
     "leaderboard_pivot": _ndcg_sql("system, " + ", ".join(f"round(max(v) FILTER (dataset = '{x}'), 6) AS {x}" for x in DATASETS) + ", round(avg(v), 6) AS mean") + "(SELECT system, dataset, avg(ndcg) AS v FROM n GROUP BY ALL) GROUP BY ALL",
     "rrf_fusion": b.sql("run", f""", k AS (SELECT *, row_number() OVER (PARTITION BY {_SYSTEM} ORDER BY score DESC, doc_id) AS rk, list_position({SYSTEMS}, system) AS o FROM run),
