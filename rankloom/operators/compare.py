@@ -129,6 +129,37 @@ def _discordant_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(discordant(of, x, y, w, batch.num_rows))], names=["unit", "d"])
 
 
+def _tau_of_lists(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Tau-b of groups that are each one task's small array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, lists = batch.num_rows, batch.column(0)
+            of = np.repeat(np.arange(k), lists.value_lengths().to_numpy())
+            x, y, w = (lists.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "w"))
+
+            def alike(*by: np.ndarray) -> np.ndarray:
+                """Weight of each group's pairs that agree in ``by``."""
+                order = np.lexsort((*by, of))
+                new = np.ones(len(order), bool)
+                new[1:] = np.any([c[order[1:]] != c[order[:-1]] for c in (*by, of)], axis=0)
+                at = np.flatnonzero(new)
+                n = np.add.reduceat(w[order], at) if len(at) else w[:0]
+                out = np.zeros(k, np.int64)
+                np.add.at(out, of[order[at]], n * (n - 1) // 2)
+                return out
+
+            all_, tied_x, tied_y, both = alike(), alike(x), alike(y), alike(x, y)
+            s = all_ - 2 * discordant(of, x, y, w, k) - tied_x - tied_y + both
+            spread = np.sqrt((all_ - tied_x).astype(float) * (all_ - tied_y))
+            tau = pa.array(np.where(spread > 0, s / np.where(spread > 0, spread, 1), 0.0), mask=spread == 0)
+            yield pa.RecordBatch.from_arrays([batch.column(1), tau], names=["unit", "tau"])
+
+    lists = cells.groupBy(F.struct(*keys).alias("unit")).agg(F.collect_list(F.struct("x", "y", "w")).alias("items"))
+    found = lists.select("items", "unit").mapInArrow(run, f"unit {lists.schema['unit'].dataType.simpleString()}, tau double")
+    return found.select(*[F.col(f"unit.{c}").alias(c) for c in keys], "tau")
+
+
 def kendall_tau_b(rows: DataFrame, keys: list[str], item: str, x: str, y: str, block: int = BLOCK) -> DataFrame:
     """Tau-b over the pairs of items within ``keys``; null where either side is constant. No pair is ever made.
 
@@ -136,11 +167,15 @@ def kendall_tau_b(rows: DataFrame, keys: list[str], item: str, x: str, y: str, b
     than ``block`` distinct pairs of values is cut at quantiles of x and of y, the quantile values themselves being
     blocks of their own, so that a value that very many rows share is in none with others. Its inversions are those inside
     blocks of x, plus those inside blocks of y, less those inside both (counted twice), plus those between blocks, which
-    are inversions of the blocks' own table of counts. Each is one task's small array. Rows with a null on either side
+    are inversions of the blocks' own table of counts. Each is one task's small array, as are all groups where none is larger. Rows with a null on either side
     are left out; no rows give no rows. Groups of up to 3 * 10**9 items.
     """
     cells = rows.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
-    cells = cut(cells.groupBy(*keys, "x", "y").agg(F.count("*").alias("w")))
+    cells = cells.groupBy(*keys, "x", "y").agg(F.count("*").alias("w"))
+    largest = cells.groupBy(*keys).agg(F.count("*").alias("cells")).agg(F.max("cells")).first()[0]
+    if (largest or 0) <= block:
+        return _tau_of_lists(cells, keys)
+    cells = cut(cells)
     two = lambda w: F.shiftright(w * (w - 1), 1)
     sizes = cells.groupBy(*keys).agg(F.count("*").alias("cells"), F.sum("w").alias("n"), F.sum(two(F.col("w"))).alias("both"))
     for c in ("x", "y"):

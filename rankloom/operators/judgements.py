@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,24 +103,32 @@ def patterns(placements: DataFrame, criteria: list[str]) -> DataFrame:
 def eap(rows: DataFrame, gamma: list[float], beta: list[float], mean: float = 0.0, sd: float = 1.0, low: float = -18.0, high: float = 10.0, points: int = 561) -> DataFrame:
     """Patterns with ``theta`` and ``se``: mean and deviation of the ability given the passes, under a normal prior.
 
-    The grid of abilities is summed once for each distinct pattern, and joined back to the documents.
+    Each batch's distinct patterns are integrated over the grid where they are: nothing is exploded, shuffled or joined.
     """
     s = [f"s{i + 1}" for i in range(len(gamma))]
-    step = (high - low) / (points - 1)
-    kinds = rows.select("n", *s).distinct()
-    grid = kinds.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(low) + i * F.lit(step))))
-    log = -F.pow((F.col("t") - mean) / sd, 2) / 2
-    for g, v, name in zip(gamma, beta, s):
-        x = F.lit(g) * (F.col("t") - F.lit(v))
-        # log of the logistic function and of its complement
-        log = log - F.col(name) * (F.greatest(-x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))) - (F.col("n") - F.col(name)) * (F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x))))
-    per = grid.withColumn("log", log)
-    top = per.groupBy("n", *s).agg(F.max("log").alias("top"))
-    w = F.exp(F.col("log") - F.col("top"))
-    sums = per.join(top, ["n", *s]).groupBy("n", *s).agg(F.sum(w).alias("w"), F.sum(w * F.col("t")).alias("wt"), F.sum(w * F.col("t") * F.col("t")).alias("wtt"))
-    theta = F.col("wt") / F.col("w")
-    fits = sums.select("n", *s, theta.alias("theta"), F.sqrt(F.greatest(F.col("wtt") / F.col("w") - theta * theta, F.lit(0.0))).alias("se"))
-    return rows.join(fits, ["n", *s])
+    grid = np.linspace(low, high, points)
+    logit = np.array(gamma)[:, None] * (grid - np.array(beta)[:, None])
+    yes, no = -np.logaddexp(0, -logit), -np.logaddexp(0, logit)
+    prior = -(((grid - mean) / sd) ** 2) / 2
+    columns = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = np.stack([batch.column(columns.index(c)).to_numpy().astype(float) for c in ("n", *s)], axis=1)
+            kinds, of = np.unique(table, axis=0, return_inverse=True)
+            theta, se = np.empty(len(kinds)), np.empty(len(kinds))
+            for a in range(0, len(kinds), 1024):
+                n, passed = kinds[a : a + 1024, :1], kinds[a : a + 1024, 1:]
+                log = passed @ yes + (n - passed) @ no + prior
+                w = np.exp(log - log.max(1, keepdims=True))
+                w /= w.sum(1, keepdims=True)
+                theta[a : a + 1024] = w @ grid
+                se[a : a + 1024] = np.sqrt(np.maximum(w @ (grid * grid) - theta[a : a + 1024] ** 2, 0))
+            of = of.reshape(-1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(theta[of]), pa.array(se[of])], names=[*columns, "theta", "se"])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
+    return rows.mapInArrow(run, f"{kinds}, theta double, se double")
 
 
 def boundary_values(thetas: DataFrame, keys: list[str]) -> DataFrame:

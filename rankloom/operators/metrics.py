@@ -94,9 +94,8 @@ def two_level_mean(per_query: DataFrame, value: str) -> DataFrame:
 def leaderboard(per_query: DataFrame, datasets: list[str], value: str) -> DataFrame:
     """One row a system: its mean in each dataset, and their mean, the best first."""
     inner = per_query.groupBy("system", "dataset").agg(F.avg(value).alias(value))
-    wide = inner.groupBy("system").pivot("dataset", datasets).agg(F.first(value))
-    mean = inner.groupBy("system").agg(F.avg(value).alias("mean"))
-    return wide.join(mean, "system").orderBy(F.col("mean").desc(), "system")
+    wide = inner.groupBy("system").agg(*[F.max(F.when(F.col("dataset") == d, F.col(value))).alias(d) for d in datasets], F.avg(value).alias("mean"))
+    return wide.orderBy(F.col("mean").desc(), "system")
 
 
 def holes(run: DataFrame, labels: DataFrame, k: int) -> DataFrame:

@@ -6,10 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from rankloom.operators.lineage import cut
+
+#: So many different terms of all queries at most are sent to every task; more are met by a shuffle.
+BROADCAST_TERMS = 1 << 18
 #: Documents and queries that one block holds.
 DOCS, QUERIES = 2048, 256
 
@@ -89,20 +93,31 @@ def terms(text, stop: tuple[str, ...] = ()):
     return F.filter(found, lambda t: ~t.isin(*stop)) if stop else found
 
 
+def _spread(docs: DataFrame) -> DataFrame:
+    """``docs`` over all cores where their files have fewer splits than there are cores: texts cost more to split than to move."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def bm25_top(
     docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, digits: int = 6, stop: tuple[str, ...] = (), fill: bool = False
 ) -> DataFrame:
     """(query_id, doc_id, score, rank) of ``queries(query_id, text)`` over ``docs(doc_id, text)``.
 
-    The inverted index holds only terms that a query has. A term counts once in a query. Documents without any of the
+    The inverted index holds only terms that a query has: where those are few they are sent to all tasks, which leave
+    the other words out before anything is shuffled. Texts are read and split once, for lengths and index together. A term counts once in a query. Documents without any of the
     query's terms score 0; with ``fill`` they follow by doc_id where a query has fewer than ``k`` others.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text"), stop))).alias("term"))
-    split = docs.select("doc_id", terms(F.col("text"), stop).alias("ts")).select("doc_id", "ts", F.size("ts").alias("n"))
-    stats = split.agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).first()
-    count, mean = stats["docs"], float(stats["mean"] or 0.0)
-    wanted = asked.select("term").distinct()
+    wanted = cut(asked.select("term").distinct())
+    if wanted.count() <= BROADCAST_TERMS:
+        wanted = F.broadcast(wanted)
+    sums = Observation()
+    split = _spread(docs.select("doc_id", "text")).select("doc_id", terms(F.col("text"), stop).alias("ts")).select("doc_id", "ts", F.size("ts").alias("n"))
+    split = split.observe(sums, F.count(F.lit(1)).alias("docs"), F.sum("n").alias("words"))
     tf = split.select("doc_id", "n", F.explode("ts").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "doc_id", "n").agg(F.count("*").alias("tf"))
+    tf = cut(tf)
+    count, mean = sums.get["docs"], (sums.get["words"] or 0) / max(sums.get["docs"], 1)
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(count)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.lit(mean)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators.ranking import KEYS
@@ -32,26 +32,34 @@ def same_queries(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, QUERY, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, QUERY, "left_anti").withColumn("side", F.lit("right")))
 
 
-def _code(rows: DataFrame, code: str) -> DataFrame:
-    """(code, n, examples): how many, and the first five."""
-    name = F.concat_ws("/", "dataset", "query_id", "doc_id") if "doc_id" in rows.columns else F.concat_ws("/", "dataset", "query_id")
-    named = rows.select(name.alias("id"))
-    first = named.distinct().orderBy("id").limit(5).agg(F.array_sort(F.collect_list("id")).alias("examples"))
-    return named.agg(F.count("*").alias("n")).join(first).select(F.lit(code).alias("code"), "n", "examples")
+def report(run: DataFrame, labels: DataFrame, pools: DataFrame, excluded: DataFrame, named: int = 5) -> DataFrame:
+    """(code, n, examples) of everything that a data set's tables contradict each other in; codes without cases stay.
 
-
-def report(run: DataFrame, labels: DataFrame, pools: DataFrame, excluded: DataFrame) -> DataFrame:
-    """(code, n, examples) of everything that a data set's tables contradict each other in; codes without cases stay."""
+    Every document of a query says once, by flags, in which tables it stands, and every query likewise: the codes are
+    conditions on those flags, and all are counted in one pass, with the first ``named`` by name as examples.
+    """
     doc = [*QUERY, "doc_id"]
-    ranked = run.select(*doc).distinct()
-    return (
-        _code(labels.filter("grade > 0").join(excluded, doc, "left_semi").select(*doc), "EXCLUDED_RELEVANT")
-        .unionByName(_code(pools.join(labels, doc, "left_anti").select(*doc), "UNJUDGED_CANDIDATES"))
-        .unionByName(_code(labels.select(*QUERY).distinct().join(pools.select(*QUERY), QUERY, "left_anti"), "QUERIES_WITHOUT_POOL"))
-        .unionByName(_code(ranked.select(*QUERY).distinct().join(labels.select(*QUERY), QUERY, "left_anti"), "UNKNOWN_QUERIES"))
-        .unionByName(_code(ranked.join(pools, doc, "left_anti"), "OUTSIDE_POOL"))
-        .unionByName(_code(ranked.join(excluded, doc, "left_semi"), "EXCLUDED_RANKED"))
-    )
+    flag = lambda rows, name: rows.select(*doc, *[(F.lit(True) if n == name else F.lit(None).cast("boolean")).alias(n) for n in ("ranked", "labelled", "positive", "pooled", "excluded")])
+    positive = labels.select(*doc, F.lit(None).cast("boolean").alias("ranked"), F.lit(True).alias("labelled"), (F.col("grade") > 0).alias("positive"), F.lit(None).cast("boolean").alias("pooled"), F.lit(None).cast("boolean").alias("excluded"))
+    rows = flag(run, "ranked").unionByName(positive).unionByName(flag(pools, "pooled")).unionByName(flag(excluded, "excluded"))
+    flags = ("ranked", "labelled", "positive", "pooled", "excluded")
+    docs = rows.groupBy(*doc).agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in flags], F.count_if((F.col("labelled") & F.col("positive"))).alias("positives"), F.count("pooled").alias("pools"))
+    name = F.concat_ws("/", *doc)
+    cases = {
+        "EXCLUDED_RELEVANT": ("positives", F.col("positive") & F.col("excluded")), "UNJUDGED_CANDIDATES": ("pools", F.col("pooled") & ~F.col("labelled")),
+        "OUTSIDE_POOL": (None, F.col("ranked") & ~F.col("pooled")), "EXCLUDED_RANKED": (None, F.col("ranked") & F.col("excluded")),
+    }
+    queries = docs.groupBy(*QUERY).agg(*[F.bool_or(c).alias(c) for c in ("ranked", "labelled", "pooled")])
+    of_query = {"QUERIES_WITHOUT_POOL": F.col("labelled") & ~F.col("pooled"), "UNKNOWN_QUERIES": F.col("ranked") & ~F.col("labelled")}
+    found = docs.select(name.alias("id"), F.explode(F.filter(F.array(*[F.when(ok, F.struct(F.lit(code).alias("code"), (F.col(n) if n else F.lit(1)).cast("long").alias("n"))) for code, (n, ok) in cases.items()]), lambda x: x.isNotNull())).alias("c"))
+    found = found.unionByName(queries.select(F.concat_ws("/", *QUERY).alias("id"), F.explode(F.filter(F.array(*[F.when(ok, F.struct(F.lit(code).alias("code"), F.lit(1).cast("long").alias("n"))) for code, ok in of_query.items()]), lambda x: x.isNotNull())).alias("c")))
+    counts = found.select("id", "c.code", "c.n")
+    first = Window.partitionBy("code", "slot").orderBy("id")
+    # the first names of each slot, then of the code: no code is gathered, only sorted in parts
+    some = counts.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("at", F.row_number().over(first))
+    sums = some.groupBy("code").agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.collect_set(F.when(F.col("at") <= named, F.col("id")))), 1, named).alias("examples"))
+    every = run.sparkSession.createDataFrame([(c,) for c in (*cases, *of_query)], "code string")
+    return every.join(F.broadcast(sums), "code", "left").select("code", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
 
 
 def folded(rows: DataFrame, keys: list[str], order: list[str], conflict: str = "error") -> DataFrame:
