@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import gains, text, vectors
-from rankloom.operators import judgements, metrics, pools, protocol, ranking, schedule, validate
+from rankloom.operators import budget, judgements, metrics, pools, protocol, ranking, schedule, validate
 from rankloom.plans import bindings as b
 from rankloom.plans.scoring import _SYSTEM, _gain_sql, _ndcg_sql
 
@@ -72,6 +72,25 @@ def text_policy(spark, d):
     return rows.select("doc_id", text.token_estimate(F.col("text")).alias("tokens"), text.token_estimate(F.col("cut")).alias("kept_tokens"), F.md5("cut").alias("cut_md5"))
 
 
+#: The tokenizer that budgets count with, and the frame that a judge's request puts around a document.
+TOKENIZER, FRAME = "/opt/tokenizers/byte_bpe_50k.json", budget.Template("<doc>\n", "\n</doc>", escape=True)
+
+
+def token_cut(spark, d):
+    """Every document as a request of 512 tokens can hold it."""
+    return budget.fit(b.table(spark, d, "documents"), TOKENIZER, 512, template=FRAME)
+
+
+def token_chunks(spark, d):
+    """Documents over the budget in parts of 400 tokens that share 50."""
+    return budget.fit(b.table(spark, d, "documents"), TOKENIZER, 512, "chunk", FRAME, size=400, overlap=50)
+
+
+def budget_census(spark, d):
+    """What the budget takes from the corpus."""
+    return budget.census(token_cut(spark, d))
+
+
 def usage_totals(spark, d):
     rows = b.table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("requests"), F.sum(text.token_estimate(F.col("text"))).alias("tokens"))
     return rows
@@ -204,7 +223,7 @@ def predictions(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     pool_depth, selected_systems, rankings_concat, observation_order, overlay_thetas, population_prior, gain_variants, window_information, quantize_uint8,
-    text_policy, usage_totals, window_coverage_split, comparison_components, rubric_sizes, cost_estimate, boundary_observed, adaptive_windows, stratified_groups,
+    text_policy, token_cut, token_chunks, budget_census, usage_totals, window_coverage_split, comparison_components, rubric_sizes, cost_estimate, boundary_observed, adaptive_windows, stratified_groups,
     ndcg_evaluated, protocol_scored, protocol_report, metric_table, folded_lines, unknown_ids, criteria_gaps, kept_cases, hydrated_top, ranking_shape,
     observed_abilities, never_compared, judgement_ids, predictions,
 )}
