@@ -65,3 +65,47 @@ def listwise_scores(text: Column, slots: Column) -> Column:
         return pd.DataFrame([listwise(t, int(n)) for t, n in zip(text, slots)], columns=["category", "scores"])
 
     return read(text, slots)
+
+
+def rubric(text: str | None, slots: int, criteria: int) -> dict:
+    """{category, verdicts}: for documents 1 to ``slots`` their 0 or 1 on C1 to C``criteria``, in that order.
+
+    ``schema``: a key that names no document of the window or one twice, an entry without criteria, other criteria than
+    those asked (more or fewer), a verdict that is neither 0 nor 1 nor such a string. ``incomplete``: all right, but a
+    document is left out. Else as ``decode`` says. Nothing is kept of an answer that is not ``ok``.
+    """
+    if slots < 1 or criteria < 1:
+        raise ValueError("a window shows a document at least, and asks a criterion at least")
+    category, found = decode(text)
+    labels = [f"C{k}" for k in range(1, criteria + 1)]
+    verdicts: dict[int, list[int]] = {}
+    for key, value in (found or {}).items():
+        m = _KEY.match(str(key).strip())
+        place = int(m[1]) if m else 0
+        answered = value.get("criteria") if isinstance(value, dict) else None
+        if not 1 <= place <= slots or place in verdicts or not isinstance(answered, dict) or set(answered) != set(labels):
+            return {"category": "schema", "verdicts": None}
+        row = [answered[c] for c in labels]
+        if not all(type(v) is int and v in (0, 1) or isinstance(v, str) and v in ("0", "1") for v in row):
+            return {"category": "schema", "verdicts": None}
+        verdicts[place] = [int(v) for v in row]
+    if category == "ok" and len(verdicts) < slots:
+        category = "incomplete"
+    return {"category": category, "verdicts": verdicts if category == "ok" else None}
+
+
+def rubric_verdicts(text: Column, slots: Column, criteria: int) -> Column:
+    """Column form of ``rubric``: a struct of category and a map from a document's number to its verdict vector."""
+
+    @F.pandas_udf("category string, verdicts map<int, array<int>>")
+    def read(text: pd.Series, slots: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([rubric(t, int(n), criteria) for t, n in zip(text, slots)], columns=["category", "verdicts"])
+
+    return read(text, slots)
+
+
+def verdict_vector(criteria: Column, labels: list[str]) -> Column:
+    """The 0 or 1 of each label, in order, out of a map by label; a label missing, unknown or neither 0 nor 1 is an error."""
+    odd = (F.size(criteria) != len(labels)) | F.exists(F.array(*[F.lit(x) for x in labels]), lambda x: ~F.coalesce(F.element_at(criteria, x).isin(0, 1), F.lit(False)))
+    vector = F.array(*[F.element_at(criteria, F.lit(x)).cast("int") for x in labels])
+    return F.when(odd, F.raise_error(F.concat(F.lit("verdicts do not cover the criteria: "), F.to_json(criteria)))).otherwise(vector)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import answers
 from rankloom.operators import judgements, metrics, ranking, reports
 from rankloom.plans import bindings as b
+from rankloom.plans.analysis import CRITERIA
 from rankloom.plans.scoring import _SYSTEM, _ndcg_sql
 
 
@@ -62,7 +63,23 @@ def answer_decode(spark, d):
     return read.select("record_id", "category", F.explode_outer("scores").alias("position", "score")).select("record_id", "category", F.col("position").cast("long").alias("position"), "score")
 
 
-QUERIES = {f.__name__: f for f in (explain_top, result_records, pool_summary, label_histogram, opponents, supersede_fold, supersede_in_store, answer_decode)}
+def rubric_decode(spark, d):
+    """Windows' verdicts written as a judge would answer, some cut off and some without a criterion, and read again."""
+    rows = b.placements(spark, d).groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("position", *CRITERIA))).alias("p"))
+    short = (F.col("record_id") % 13 == 0) & (F.col("record_id") % 11 != 0)
+
+    def verdicts(x):
+        each = [F.concat(F.lit(f'"C{i + 1}": '), x[c].cast("string")) for i, c in enumerate(CRITERIA)]
+        return F.when(short, F.concat_ws(", ", *each[:-1])).otherwise(F.concat_ws(", ", *each))
+
+    body = F.array_join(F.transform("p", lambda x: F.concat(F.lit('"doc_'), x["position"].cast("string"), F.lit('": {"criteria": {'), verdicts(x), F.lit("}}"))), ", ")
+    answer = F.concat(F.lit("{"), body, F.when(F.col("record_id") % 11 == 0, F.lit("")).otherwise(F.lit("}")))
+    read = rows.select("record_id", answers.rubric_verdicts(answer, F.size("p"), len(CRITERIA)).alias("a")).select("record_id", "a.category", "a.verdicts")
+    rows = read.select("record_id", "category", F.explode_outer("verdicts").alias("position", "v"))
+    return rows.select("record_id", "category", F.col("position").cast("long").alias("position"), F.array_join("v", "").alias("verdicts"))
+
+
+QUERIES = {f.__name__: f for f in (rubric_decode, explain_top, result_records, pool_summary, label_histogram, opponents, supersede_fold, supersede_in_store, answer_decode)}
 
 _FOLD = """, m AS (SELECT key, record_id, valid, record_id % 13 = 0 AS tombstone, recorded_at FROM log),
 f AS (SELECT key, list_reduce(list({{'record_id': record_id, 'valid': valid, 'tombstone': tombstone, 'at': recorded_at}} ORDER BY record_id),
@@ -82,6 +99,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY dataset, query_id, bin ORDER BY
 SELECT dataset, query_id, bin, doc_id, round(v, 6) AS value FROM r WHERE k = 1"""),
     "supersede_fold": b.sql("placements log", _FOLD.format(rule="b.at >= a.at")),
     "supersede_in_store": b.sql("placements log", _FOLD.format(rule="true")),
+    "rubric_decode": b.sql("placements", """SELECT record_id, 'ok' AS category, position, concat(c1, c2, c3, c4, c5) AS verdicts FROM placements WHERE record_id % 11 <> 0 AND record_id % 13 <> 0
+UNION ALL SELECT DISTINCT record_id, CASE WHEN record_id % 11 = 0 THEN 'json' ELSE 'schema' END, NULL, NULL FROM placements WHERE record_id % 11 = 0 OR record_id % 13 = 0"""),
     "answer_decode": b.sql("placements", """SELECT record_id, 'ok' AS category, position, score FROM placements WHERE record_id % 11 <> 0
 UNION ALL SELECT DISTINCT record_id, 'json', NULL, NULL FROM placements WHERE record_id % 11 = 0"""),
 }

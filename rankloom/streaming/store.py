@@ -132,3 +132,32 @@ def standing(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(stage, record_id, pos, valid, tombstone, recorded_at): the state as the last finished batch left it."""
     rows = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "line").load()
     return rows.select("key.stage", "key.record_id", *[f"value.{c.split()[0]}" for c in STATE.split(", ")])
+
+
+def reparse(spark: SparkSession, source: str, target: str, read_answer, version: str) -> int:
+    """Reads every standing line's answer again into a new store; returns how many lines it holds.
+
+    ``read_answer`` takes the lines and adds ``category``: ``ok`` makes a line valid, anything else not, and is its
+    reason then. Records keep their window, judge and times, and get ids of their own: the old id with ``version``, so
+    that two parsers' records never meet. Tombstones stay behind. A target that holds lines, or is the source, is
+    refused, as is a version that the source's ids end in already.
+    """
+    if source.rstrip("/") == target.rstrip("/"):
+        raise ValueError("a store cannot be read into itself")
+    kept = live(records(spark, source))
+    try:
+        there = not read(spark, target).isEmpty()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        there = False
+    if there:
+        raise ValueError(f"{target} already holds a store")
+    mark = f"@{version}"
+    if not kept.filter(F.col("record_id").endswith(mark)).isEmpty():
+        raise ValueError(f"{source} was read by version {version} already")
+    good = F.col("category") == "ok"
+    lines = read_answer(kept).withColumns({"valid": F.coalesce(good, F.lit(False)), "reason": F.when(~good, F.col("category"))})
+    lines = lines.withColumn("record_id", F.concat(F.regexp_replace("record_id", r"@[^@]*$", ""), F.lit(mark)))
+    append(lines, target)
+    return read(spark, target).count()

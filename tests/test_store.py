@@ -91,3 +91,19 @@ def test_lines_out_of_order_and_unsound_lines_are_refused(spark, tmp_path):
     with pytest.raises(Exception, match="a line lacks"):
         write(spark, [(row[0], None, *row[2:])], folder)
     assert store.live(store.records(spark, folder).filter(F.lit(False))).count() == 0
+
+
+def test_reparse_reads_stored_answers_again(spark, tmp_path):
+    from rankloom.functions import answers
+
+    source, target = str(tmp_path / "a"), str(tmp_path / "b")
+    good = '{"doc_1": {"criteria": {"C1": 1, "C2": 0}}}'
+    rows = [("rubric", i, f"r{i}", False, i == 3, T, "q", "random", "j", "old parser", a) for i, a in enumerate([good, "no", '{"doc_1": {"criteria": {"C1": 1}}}', good, None], 1)]
+    write(spark, rows, source)
+    parse = lambda d: d.withColumn("category", answers.rubric_verdicts(F.col("answer"), F.lit(1), 2)["category"])
+    assert store.reparse(spark, source, target, parse, "v2") == 4
+    got = {r.record_id: (r.valid, r.reason, r.pos, r.answer) for r in store.records(spark, target).collect()}
+    assert got == {"r1@v2": (True, None, 1, good), "r2@v2": (False, "empty", 2, "no"), "r4@v2": (True, None, 4, good), "r5@v2": (False, "empty", 5, None)}
+    for bad, why in (((source, source), "into itself"), ((source, target), "already holds"), ((target, str(tmp_path / "c")), "already")):
+        with pytest.raises(ValueError, match=why):
+            store.reparse(spark, *bad, parse, "v2")
