@@ -13,7 +13,7 @@ def op1_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = audio.features(audio.encode(read(spark, sf_dir, "documents")))
     return rows.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), "feature", "n_frames", F.size("spans").cast("long").alias("n_segments"),
+        F.sha2("media", 256).alias("media_sha256"), "feature", "n_frames", F.size("spans").cast("long").alias("n_segments"), "tensors",
     )
 
 
