@@ -107,17 +107,30 @@ def rasch_scores(rows: DataFrame, beta: list[float], ridge: float = 0.05, steps:
 
 
 def balanced_groups(pools: DataFrame, window: int, windows: int, seed: str = "0") -> DataFrame:
-    """(dataset, query_id, window_no, doc_id): random windows of each pool, the least-shown documents first."""
-    import random
-
-    def draw(f: pd.DataFrame) -> pd.DataFrame:
-        dataset, query = f["dataset"].iloc[0], f["query_id"].iloc[0]
-        docs = f.sort_values("pos")["doc_id"].tolist()
-        r, shown, out = random.Random(f"{seed}/{dataset}/{query}"), dict.fromkeys(docs, 0), []
-        for w in range(windows):
-            for d in sorted(docs, key=lambda d: (shown[d], r.random()))[:window]:
-                shown[d] += 1
-                out.append((dataset, query, w, d))
-        return pd.DataFrame(out, columns=["dataset", "query_id", "window_no", "doc_id"])
-
-    return pools.groupBy("dataset", "query_id").applyInPandas(draw, "dataset string, query_id string, window_no int, doc_id string")
+    """(dataset, query_id, window_no, doc_id, place): random windows of each pool that show its documents equally often.
+
+    The pool is dealt out round by round, each round in an order of its own (by a hash of seed, query, document and
+    round), and cut into windows. A window that begins in one round and ends in the next takes documents there that it
+    does not hold yet; those that it does follow in the rest of that round. So no window shows a document twice, and any
+    two documents are shown within one of each other. Places within a window are a hash's too. A pool smaller than the
+    window is shown whole. Documents listed twice count once, null ones do not; a query's pool is one row's list.
+    """
+    sizes = pools.filter("doc_id IS NOT NULL").groupBy("dataset", "query_id").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"))
+    rows = sizes.withColumn("n", F.size("docs")).withColumn("w", F.least("n", F.lit(window)))
+
+    def dealt(docs, *key):
+        order = F.array_sort(F.transform(docs, lambda d: F.struct(F.xxhash64(F.lit(seed), "dataset", "query_id", d, *key).alias("h"), d.alias("d"))))
+        return F.transform(order, lambda x: x["d"])
+
+    def deal(out, turn):
+        begun = F.size(out) % F.col("w")
+        held = F.slice(out, F.size(out) - begun + 1, begun)
+        order = dealt(F.col("docs"), turn)
+        first = F.slice(F.filter(order, lambda d: ~F.array_contains(held, d)), F.lit(1), F.when(begun > 0, F.col("w") - begun).otherwise(0))
+        return F.concat(out, first, F.filter(order, lambda d: ~F.array_contains(first, d)))
+
+    turns = F.sequence(F.lit(1), F.ceil(F.lit(windows) * F.col("w") / F.col("n")).cast("int"))
+    rows = rows.withColumn("out", F.aggregate(turns, F.array().cast("array<string>"), deal))
+    rows = rows.select("dataset", "query_id", "w", "out", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))).alias("window_no"))
+    shown = dealt(F.slice("out", F.col("window_no") * F.col("w") + 1, F.col("w")), F.col("window_no"), F.lit("place"))
+    return rows.select("dataset", "query_id", "window_no", F.posexplode(shown).alias("place", "doc_id"))

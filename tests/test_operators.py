@@ -112,9 +112,23 @@ def test_insertion_and_rasch(spark):
 
 
 def test_balanced_groups_show_all_alike(spark):
-    pool = spark.createDataFrame([("d", "q", f"x{i}", i) for i in range(12)], "dataset string, query_id string, doc_id string, pos long")
-    rows = estimators.balanced_groups(pool, 4, 6).groupBy("doc_id").count().collect()
-    assert {r["count"] for r in rows} == {2}
+    pools = [("d", f"q{n}", f"x{i}", i) for n in (3, 10, 12, 13, 31) for i in range(n)] + [("d", "q3", "x0", 9), ("d", "q3", None, 9)]
+    frame = spark.createDataFrame(pools, "dataset string, query_id string, doc_id string, pos long")
+    for window, windows in ((4, 6), (10, 7), (1, 5)):
+        rows = estimators.balanced_groups(frame, window, windows).collect()
+        again = estimators.balanced_groups(frame.repartition(3), window, windows).collect()
+        assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+        for n in (3, 10, 12, 13, 31):
+            mine = [r for r in rows if r.query_id == f"q{n}"]
+            groups = {}
+            for r in mine:
+                groups.setdefault(r.window_no, []).append(r.doc_id)
+            assert sorted(groups) == list(range(windows)) and all(len(g) == len(set(g)) == min(n, window) for g in groups.values())
+            shown = [sum(r.doc_id == f"x{i}" for r in mine) for i in range(n)]
+            assert max(shown) - min(shown) <= 1
+            assert sorted(r.place for r in mine if r.window_no == 0) == list(range(min(n, window)))
+    other = estimators.balanced_groups(frame, 4, 6, "1").collect()
+    assert sorted(map(tuple, other)) != sorted(map(tuple, estimators.balanced_groups(frame, 4, 6).collect()))
 
 
 def test_comparisons(spark):

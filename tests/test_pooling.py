@@ -17,23 +17,16 @@ def run_of(spark, rows):
     return spark.createDataFrame(rows, RUN)
 
 
-def brute_best(values, window, count, overlap):
-    values, out = list(values), []
-    for _ in range(count):
-        sums = [sum(values[s : s + window - 1]) for s in range(len(values) - window + 2)]
-        start = max(range(len(sums)), key=lambda s: (sums[s], -s))
-        if sums[start] <= 0:
-            break
-        out.append(start)
-        for p in range(start, start + window - 1):
-            values[p] *= overlap
-    return out
-
-
 @pytest.mark.parametrize("n,window,count", [(9, 4, 5), (30, 10, 7), (5, 5, 3), (12, 2, 20)])
 def test_best_windows(n, window, count):
+    """Each pick is worth as much as any start could be, by what all earlier picks left of every pair; the earliest of such."""
     values = np.random.default_rng(n).integers(0, 100, n) / 8
-    assert schedule.best_windows(values, window, count, 0.25) == brute_best(values, window, count, 0.25)
+    picks = schedule.best_windows(values, window, count, 0.25)
+    reach = np.array([[s <= p < s + window - 1 for p in range(n)] for s in range(n - window + 2)], float)  # pairs that a start shows
+    for i, pick in enumerate(picks):
+        worth = reach @ (values * 0.25 ** reach[picks[:i]].sum(0))
+        assert worth[pick] > 0 and worth[pick] == worth.max() and (worth[:pick] < worth[pick]).all()
+    assert len(picks) == count or not (reach @ (values * 0.25 ** reach[picks].sum(0)) > 0).any()
     assert schedule.best_windows(values, n + 2, count, 0.25) == [0]
 
 
@@ -58,7 +51,7 @@ def test_windows_of_every_query(spark):
     assert set(got) == set(by)
     for q, rows in by.items():
         docs = [*[r.doc_id for r in rows], rows[-1].below]
-        starts = brute_best([r.value for r in rows], 5, 6, 0.3) if len(rows) >= 5 else schedule.best_windows(np.array([r.value for r in rows]), 5, 6, 0.3)
+        starts = schedule.best_windows(np.array([r.value for r in rows]), 5, 6, 0.3)
         assert [[w[k] for k in sorted(w)] for _, w in sorted(got[q].items())] == [docs[s : s + 5] for s in starts]
     groups = schedule.stratified_groups(thetas, 10, 12)
     again = {tuple(r) for r in schedule.stratified_groups(thetas.repartition(5), 10, 12).collect()}
