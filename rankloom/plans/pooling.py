@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import gains, text, vectors
-from rankloom.operators import budget, judgements, metrics, pools, protocol, ranking, schedule, validate
+from rankloom.operators import budget, evaluation, judgements, metrics, pools, protocol, ranking, schedule, validate
 from rankloom.plans import bindings as b
-from rankloom.plans.scoring import _SYSTEM, _gain_sql, _ndcg_sql
+from rankloom.plans.scoring import _SYSTEM, _VALUES, _classic_sql, _gain_sql, _ndcg_sql
 
 CRITERIA = [f"c{i}" for i in range(1, 6)]
 
@@ -159,6 +159,23 @@ def metric_table(spark, d):
     return rows.groupBy("system", "metric").agg(F.round(F.avg("value"), 6).alias("value"), F.count("value").alias("queries"))
 
 
+def _named(spark, d):
+    run, labels = b.run(spark, d, True), b.labels(spark, d)
+    gain = metrics.ndcg(run, labels, [10]).select(*ranking.KEYS, F.lit("ndcg").alias("metric"), F.col("ndcg").alias("value"))
+    return gain.unionByName(metrics.by_name(run, labels, ["map", "recall"], 10).select(*ranking.KEYS, "metric", "value")).withColumn("k", F.lit(10))
+
+
+def evaluation_summary(spark, d):
+    """Means of three metrics by data set and over all, with intervals."""
+    return evaluation.summary(_named(spark, d), 400)
+
+
+def comparison_table(spark, d):
+    """Every two systems by nDCG, with the queries where recall prefers the other."""
+    rows = _named(spark, d)
+    return evaluation.comparison(rows.filter("metric = 'ndcg'"), draws=400, flips=rows.filter("metric = 'recall'"))
+
+
 def folded_lines(spark, d):
     rows = b.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     return validate.folded(rows, ["l_orderkey", "l_linenumber"], ["l_partkey"], "last").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "copies", "lost")
@@ -224,7 +241,7 @@ def predictions(spark, d):
 QUERIES = {f.__name__: f for f in (
     pool_depth, selected_systems, rankings_concat, observation_order, overlay_thetas, population_prior, gain_variants, window_information, quantize_uint8,
     text_policy, token_cut, token_chunks, budget_census, usage_totals, window_coverage_split, comparison_components, rubric_sizes, cost_estimate, boundary_observed, adaptive_windows, stratified_groups,
-    ndcg_evaluated, protocol_scored, protocol_report, metric_table, folded_lines, unknown_ids, criteria_gaps, kept_cases, hydrated_top, ranking_shape,
+    ndcg_evaluated, protocol_scored, protocol_report, metric_table, evaluation_summary, comparison_table, folded_lines, unknown_ids, criteria_gaps, kept_cases, hydrated_top, ranking_shape,
     observed_abilities, never_compared, judgement_ids, predictions,
 )}
 
@@ -277,6 +294,9 @@ FROM o LEFT JOIN p ON o.query_id = p.query_id AND a = least(doc_id, below) AND b
     "protocol_scored": _PROTOCOL + f"SELECT {_SYSTEM}, round(ndcg, 6) AS ndcg FROM s",
     "protocol_report": _PROTOCOL + """, per AS (SELECT system, dataset, avg(ndcg) AS v, count(ndcg) AS n FROM s GROUP BY ALL)
 SELECT system, dataset, round(v, 6) AS ndcg, n AS num_queries FROM per UNION ALL SELECT system, NULL, round(avg(v), 6), sum(n)::BIGINT FROM per GROUP BY system""",
+    "metric_table": _classic_sql("0").replace("round(0, 6) AS {}", "@").rsplit("SELECT", 1)[0] + f""", v AS (
+  SELECT {_SYSTEM}, unnest([{{'metric': 'map', 'value': {_VALUES['map']}}}, {{'metric': 'mrr', 'value': {_VALUES['mrr']}}}, {{'metric': 'recall', 'value': {_VALUES['recall']}}}, {{'metric': 'success', 'value': {_VALUES['success']}}}]) AS m FROM s)
+SELECT system, m.metric AS metric, round(avg(m.value), 6) AS value, count(m.value) AS queries FROM v GROUP BY ALL""",
     "folded_lines": """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, count(*) AS copies FROM lineitem GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_quantity DESC) AS k, sum(copies) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM c)
 SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, copies, (n - copies)::BIGINT AS lost FROM o WHERE k = 1""",
