@@ -119,6 +119,12 @@ def bm25_topk(spark, d):
     return retrieval.bm25_top(docs, b.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
 
 
+def bm25_pruned(spark, d):
+    """The same search with the common terms' postings looked up for candidates alone."""
+    docs = b.table(spark, d, "documents").select("doc_id", "text")
+    return retrieval.bm25_top(docs, b.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10, prune=True)
+
+
 def chunk_overlap(spark, d):
     rows = text.chunks(b.table(spark, d, "documents"), 64, 16)
     return rows.select("doc_id", "chunk_id", "start", "n_words", F.md5("text").alias("text_md5"))
@@ -226,7 +232,7 @@ def score_delta(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     pair_ttest, pair_p_values, sensitivity_share, bootstrap_ci, sign_flips, kendall_tau_b, spearman_rank, mann_whitney_auc, clustered_rate, majority_vote,
-    dense_topk, l2_normalise_topk, mrl_sweep, maxsim_topk, quantize_int8, quantize_binary, bm25_topk, chunk_overlap, window_render, max_pool_chunks,
+    dense_topk, l2_normalise_topk, mrl_sweep, maxsim_topk, quantize_int8, quantize_binary, bm25_topk, bm25_pruned, chunk_overlap, window_render, max_pool_chunks,
     rubric_or_pool, count_gain, window_comparisons, window_coverage, coverage_flags, latest_judgement, judge_overlap, reliability_bins,
     reliability_grouping_sets, eap_scores, boundary_values, opponent_bins, schedule_sizes, validation_report, unknown_queries, duplicate_pairs, score_delta,
 )}
@@ -349,3 +355,4 @@ SELECT dataset, query_id, 'left' AS side FROM l ANTI JOIN r USING (dataset, quer
     + "(SELECT dataset, query_id, max(ndcg) FILTER (system = 'view') AS v, max(ndcg) FILTER (system = 'purchase') AS p, max(ndcg) FILTER (system = 'mixed') AS m FROM n GROUP BY ALL) WHERE v IS NOT NULL AND p IS NOT NULL",
     "duplicate_pairs": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
 }
+ORACLE_SQL["bm25_pruned"] = ORACLE_SQL["bm25_topk"]

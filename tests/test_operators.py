@@ -184,3 +184,24 @@ def test_ndcg_mean_keeps_queries_without_a_positive_label(spark):
     run = spark.createDataFrame([("s", "d", "q1", "a", 1.0, 0), ("s", "d", "q2", "a", 1.0, 0)], "system string, dataset string, query_id string, doc_id string, score double, pos long")
     labels = spark.createDataFrame([("d", "q1", "a", 1.0, 1.0, 0), ("d", "q2", "a", 0.0, 0.0, 0)], "dataset string, query_id string, doc_id string, grade double, gain double, pos long")
     assert sorted(r.ndcg for r in metrics.ndcg(run, labels, [10]).collect()) == [0.0, 1.0]
+
+
+def test_pruned_search_finds_the_same_from_fewer_rows(spark):
+    import random
+
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(words[min(int(r.expovariate(0.12)), 59)] for _ in range(n))
+    docs = spark.createDataFrame([(i, text(r.randint(0, 40))) for i in range(600)] + [(700, None), (701, "")], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, text(r.randint(1, 25))) for i in range(30)] + [(50, "nothing of it"), (51, None)], "query_id long, text string")
+    for k in (1, 3, 10, 700):
+        plain = retrieval.bm25_top(docs, queries, k).collect()
+        pruned = retrieval.bm25_top(docs, queries, k, prune=True).collect()
+        assert sorted(map(tuple, plain)) == sorted(map(tuple, pruned))
+    asked = queries.select("query_id", F.explode(F.array_distinct(retrieval.terms(F.col("text")))).alias("term"))
+    # weights as if each posting told by its word's rarity
+    tf = docs.select("doc_id", F.explode(F.array_distinct(retrieval.terms(F.col("text")))).alias("term"))
+    weights = tf.groupBy("term").agg((1 / F.count("*")).alias("w"))
+    postings = tf.join(weights, "term")
+    every, some = asked.join(postings, "term").count(), retrieval._pruned(asked, postings, 3, 6).count()
+    assert some < 0.8 * every
