@@ -82,15 +82,25 @@ def sign_flips(one: DataFrame, two: DataFrame) -> DataFrame:
 
 
 def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Rank of ``value`` within ``keys``, ties at their mean."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    same = Window.partitionBy(*keys, value)
-    return rows.withColumn(name, F.rank().over(order) + (F.count("*").over(same) - 1) / 2)
+    """Rank of ``value`` within ``keys``, ties at their mean; rows without a value are left out.
+
+    Distinct values are dealt out by ranges, each counts those before it in its range, and a range starts after the
+    sums of the ranges before it: a group of any size is sorted in parts, and a value that many rows share is one row.
+    """
+    cells = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c_"))
+    cells = cut(cells.repartitionByRange(*keys, value).withColumn("part_", F.spark_partition_id()))  # ranges are drawn once
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("c_").over(before.partitionBy("part_", *keys).orderBy(value)), F.lit(0))
+    sums = cells.groupBy(*keys, "part_").agg(F.sum("c_").alias("t_"))
+    starts = sums.select(*keys, "part_", F.coalesce(F.sum("t_").over(before.partitionBy(*keys).orderBy("part_")), F.lit(0)).alias("o_"))
+    ranks = cells.withColumn("b_", inside).join(starts, [*keys, "part_"]).select(*keys, value, (F.col("o_") + F.col("b_") + (F.col("c_") + 1) / 2).alias(name))
+    return rows.join(ranks, [*keys, value])
 
 
 def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Pearson correlation of average ranks; null where either is constant."""
-    ranked = average_ranks(average_ranks(rows, keys, x, "rx"), keys, y, "ry")
+    """Pearson correlation of average ranks; null where either is constant. Rows with a null on either side are left out."""
+    both = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ranked = average_ranks(average_ranks(both, keys, x, "rx"), keys, y, "ry")
     sums = ranked.groupBy(*keys).agg(F.covar_pop("rx", "ry").alias("c"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("ry").alias("sy"), F.count("*").alias("n"))
     return sums.select(*keys, "n", F.try_divide("c", F.col("sx") * F.col("sy")).alias("rho"))
 

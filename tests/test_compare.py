@@ -124,3 +124,30 @@ def test_whole_queries_of_p_values_and_sensitivity(spark):
     for d, (share, n) in shares.items():
         ps = [p for (x, *_), p in want.items() if x == d]
         assert n == len(ps) and share == pytest.approx(sum(p is not None and p < 0.05 for p in ps) / n)
+
+
+@pytest.mark.parametrize("shuffle", ["4", "13"])
+def test_ranks_over_ranges(spark, shuffle):
+    r = random.Random(4)
+    rows = [(g, i, float(r.choice((0, 0, 0, *range(n)))), r.random() if i % 9 else None, int(r.random() < 0.3)) for g, n in (("a", 5), ("b", 400), ("c", 1)) for i in range(500)]
+    frame = spark.createDataFrame(rows, "g string, i int, x double, y double, hit int")
+    spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+    try:
+        got = {(t.g, t.i): t.rank for t in compare.average_ranks(frame, ["g"], "x", "rank").collect()}
+        rho = {t.g: (t.n, t.rho) for t in compare.spearman(frame, ["g"], "x", "y").collect()}
+        areas = {t.g: t.auc for t in compare.auc(frame, ["g"], "x", "hit").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+    def ranks(v):
+        return np.array([(np.array(v) < x).sum() + ((np.array(v) == x).sum() + 1) / 2 for x in v])
+
+    for g in "abc":
+        mine = [t for t in rows if t[0] == g]
+        want = ranks([t[2] for t in mine])
+        assert [got[g, t[1]] for t in mine] == want.tolist()
+        both = [t for t in mine if t[3] is not None]
+        rx, ry = ranks([t[2] for t in both]), ranks([t[3] for t in both])
+        assert rho[g][0] == len(both) and rho[g][1] == (None if rx.std() == 0 else pytest.approx(np.corrcoef(rx, ry)[0, 1]))
+        pos, neg = [t[2] for t in mine if t[4]], [t[2] for t in mine if not t[4]]
+        assert areas[g] == pytest.approx(np.mean([(p > n) + (p == n) / 2 for p in pos for n in neg]))
