@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators.ranking import KEYS, metric_order
@@ -49,15 +49,89 @@ def write_trec(run: DataFrame, path: str) -> None:
     rows.select(F.concat_ws(" ", "query_id", F.lit("Q0"), "doc_id", "rank", "score", "system").alias("value")).write.text(path)
 
 
+def _refused(row: Column, what: str) -> Column:
+    return F.raise_error(F.concat(F.lit(f"{what}: "), F.substring(row, 1, 200)))
+
+
 def read_json(spark: SparkSession, path: str, dataset: str = "") -> DataFrame:
-    """JSON lines in any of three shapes: a map of scores; lists of documents and scores; or documents, best first."""
-    rows = spark.read.schema("system string, dataset string, query_id string, scores string, doc_ids array<string>").json(path)
-    rows = rows.withColumn("dataset", F.coalesce("dataset", F.lit(dataset)))
-    maps = rows.filter("doc_ids IS NULL").select(*KEYS, F.posexplode(F.map_entries(F.from_json("scores", "map<string,double>"))).alias("pos", "e"))
-    lists = rows.filter("doc_ids IS NOT NULL").withColumn("s", F.from_json("scores", "array<double>"))
-    order = F.transform("doc_ids", lambda d, i: F.struct(d.alias("key"), F.coalesce(F.get(F.col("s"), i), (F.size("doc_ids") - i).cast("double")).alias("value")))
-    lists = lists.select(*KEYS, F.posexplode(order).alias("pos", "e"))
-    return maps.unionByName(lists).select(*KEYS, F.col("e.key").alias("doc_id"), F.col("e.value").alias("score"), F.col("pos").cast("long").alias("pos"))
+    """JSON lines of rankings, in any of four shapes: one document's score; a map of scores; lists of documents and of scores; documents, best first.
+
+    A row names its query as query_id or id, and its list as doc_ids or ranking. Refused, with the line: what is no JSON
+    object, has no query, has neither scores nor documents, a document without its score, lists of different lengths.
+    ``pos`` is a document's place in its row; rows of one document each have none of their own and stand by score alone.
+    """
+    kinds = "system string, dataset string, query_id string, id string, doc_id string, score double, scores string, doc_ids array<string>, ranking array<string>, broken string"
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    rows = lines.select("value", F.from_json("value", kinds, {"columnNameOfCorruptRecord": "broken"}).alias("r")).select("value", "r.*")
+    rows = rows.withColumn("order", F.coalesce("doc_ids", "ranking")).withColumn("query_id", F.coalesce("query_id", "id"))
+    as_map, as_list = F.from_json("scores", "map<string,double>"), F.from_json("scores", "array<double>")
+    mapped, listed = F.col("scores").startswith("{"), F.col("scores").startswith("[")
+    of_map = F.transform(F.map_entries(as_map), lambda e: F.struct(e["key"].alias("d"), e["value"].alias("s")))
+    n = F.size("order")
+    of_order = F.transform("order", lambda d, i: F.struct(d.alias("d"), F.when(listed, F.get(as_list, i)).otherwise((n - i).cast("double")).alias("s")))
+    entries = (
+        F.when(F.col("broken").isNotNull(), _refused(F.col("value"), "not a JSON object"))
+        .when(F.col("query_id").isNull(), _refused(F.col("value"), "a row without a query_id"))
+        .when(F.col("doc_id").isNotNull() & F.col("score").isNull(), _refused(F.col("value"), "a document without its score"))
+        .when(F.col("doc_id").isNotNull(), F.array(F.struct(F.col("doc_id").alias("d"), F.col("score").alias("s"))))
+        .when(mapped, of_map)
+        .when(F.col("order").isNotNull() & listed & (F.size(as_list) != n), _refused(F.col("value"), "scores and documents differ in length"))
+        .when(F.col("order").isNotNull(), of_order)
+        .otherwise(_refused(F.col("value"), "a row without scores or documents"))
+    )
+    out = rows.select("system", F.coalesce("dataset", F.lit(dataset)).alias("dataset"), "query_id", F.posexplode(entries).alias("pos", "e"))
+    return out.select(*KEYS, F.col("e.d").alias("doc_id"), F.col("e.s").alias("score"), F.col("pos").cast("long").alias("pos"))
+
+
+def read_json_map(spark: SparkSession, path: str, system: str, dataset: str = "") -> DataFrame:
+    """One JSON object of all queries: of each a map of scores, or its documents, best first. The file is one row, so one machine's."""
+    whole = spark.read.text(path, wholetext=True)
+    rows = whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("query_id", "v"))
+    listed = F.from_json("v", "array<string>")
+    of_list = F.transform(listed, lambda d, i: F.struct(d.alias("key"), (F.size(listed) - i).cast("double").alias("value")))
+    entries = (
+        F.when(F.col("v").startswith("["), of_list).when(F.col("v").startswith("{"), F.map_entries(F.from_json("v", "map<string,double>")))
+        .otherwise(_refused(F.col("query_id"), "neither scores nor documents for query"))
+    )
+    out = rows.select(F.lit(system).alias("system"), F.lit(dataset).alias("dataset"), "query_id", F.posexplode(entries).alias("pos", "e"))
+    return out.select(*KEYS, F.col("e.key").alias("doc_id"), F.col("e.value").alias("score"), F.col("pos").cast("long").alias("pos"))
+
+
+def _strict(spark: SparkSession, path: str, fields: dict[str, str], needed: tuple[str, ...]) -> DataFrame:
+    """JSON lines whose keys are ``fields`` and no others, the needed ones there and not null; anything else is refused with its line."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    kinds = ", ".join(f"`{k}` {v}" for k, v in fields.items())
+    r = F.from_json("value", f"{kinds}, broken string", {"columnNameOfCorruptRecord": "broken"})
+    keys = F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>"))
+    rows = lines.select("value", r.alias("r"), keys.alias("keys"))
+    odd = F.array_except("keys", F.array(*[F.lit(k) for k in fields]))
+    lacks = F.filter(F.array(*[F.when(F.col(f"r.`{k}`").isNull(), F.lit(k)) for k in needed]), lambda x: x.isNotNull())
+    sound = (
+        F.when(F.col("r.broken").isNotNull() | (F.size("keys") == 0), _refused(F.col("value"), f"{path}: not a record"))
+        .when(F.size(odd) > 0, _refused(F.concat(F.array_join(odd, ", "), F.lit(" in "), F.col("value")), f"{path}: unknown keys"))
+        .when(F.size(lacks) > 0, _refused(F.concat(F.array_join(lacks, ", "), F.lit(" in "), F.col("value")), f"{path}: nothing for"))
+        .otherwise(F.lit(True))
+    )
+    return rows.filter(sound).select("r.*").drop("broken")
+
+
+def read_corpus(spark: SparkSession, folder: str, qrels: bool = True) -> dict[str, DataFrame]:
+    """corpus, queries and qrels of a folder of JSON lines, read strictly: a key that is none of a record's is refused, not dropped.
+
+    corpus.jsonl has doc_id and text; queries.jsonl query_id, query and perhaps an instruction; qrels.jsonl query_id and a
+    map of grades, which must be finite numbers. A document or query given twice is refused.
+    """
+    tables = {
+        "corpus": _strict(spark, f"{folder}/corpus.jsonl", {"doc_id": "string", "text": "string"}, ("doc_id", "text")),
+        "queries": _strict(spark, f"{folder}/queries.jsonl", {"query_id": "string", "query": "string", "instruction": "string"}, ("query_id", "query")).withColumnRenamed("query", "text"),
+    }
+    for name, key in (("corpus", "doc_id"), ("queries", "query_id")):
+        if twice := tables[name].groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").orderBy(key).limit(5).collect():
+            raise ValueError(f"{folder}: given more than once: {[r[0] for r in twice]}")
+    if qrels:
+        rows = _strict(spark, f"{folder}/qrels.jsonl", {"query_id": "string", "qrels": "map<string,string>"}, ("query_id", "qrels"))
+        tables["qrels"] = grades(rows.select("query_id", F.explode("qrels").alias("doc_id", "score"))).select("query_id", "doc_id", "grade")
+    return tables
 
 
 def read_rankings(spark: SparkSession, path: str, dataset: str = "", kind: str | None = None) -> DataFrame:
