@@ -179,7 +179,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
 
     Null and zero vectors, those with null or non-finite components, and those without vec_id link with nothing. Vectors of different
     lengths do not link. Rows that repeat a vec_id and vector count as vectors of their own; an empty table gives an
-    empty result.
+    empty result. Other columns than vec_id and embedding are not looked at and left out.
     """
     rows = vectors.select("vec_id", "embedding")
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))

@@ -87,7 +87,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
     Documents of one fingerprint fold into one row before any pairing, so groups of exact copies cost one row. Texts
     without words all have fingerprint 0 and link like any others. An empty table gives an empty result; rows that
     repeat a doc_id are kept, and share a component only if their fingerprints do. A null doc_id is never the smallest;
-    a component of nothing else is null.
+    a component of nothing else is null. A text of any length is one task's. Other columns than doc_id and text are not
+    looked at and left out.
     """
     of = common.cut(fingerprints(docs, width))
     prints = of.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))

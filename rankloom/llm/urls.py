@@ -111,7 +111,8 @@ def judge(spark: SparkSession, pages: DataFrame, rules: tuple[tuple[str, str, st
     keys of a page are all suffixes of its host at dots, each with the path's prefixes of the rules' lengths; the keys
     of all pages are the universe of a Bloom cascade over the rules. A key that the cascade holds is a rule, by its
     text, so the pages need no join. Null urls and urls without ``://`` have empty host and path and fit no rule; ties
-    cannot occur, as keys of one page differ; repeated rows are judged each.
+    cannot occur, as keys of one page differ; repeated rows are judged each. A url of any length is judged by its own
+    keys; no pages give no rows; other columns than page_id and url are not looked at and left out.
     """
     lengths = sorted({len(p) for _, p, _ in rules})
     verdicts = {h + p: v for h, p, v in rules}
