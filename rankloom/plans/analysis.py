@@ -50,7 +50,10 @@ def sign_flips(spark, d):
 
 def kendall_tau_b(spark, d):
     rows = b.run(spark, d, True).join(b.labels(spark, d), ["dataset", "query_id", "doc_id"])
-    return compare.kendall_tau_b(rows, list(ranking.KEYS), "doc_id", "score", "grade").select(*ranking.KEYS, _r("tau"))
+    # one labelled document makes no pair, and such a ranking is no row; a pair without values is one with a null tau
+    several = rows.groupBy(*ranking.KEYS).agg(F.count("*").alias("n")).filter("n > 1").select(*ranking.KEYS)
+    tau = compare.kendall_tau_b(rows, list(ranking.KEYS), "doc_id", "score", "grade")
+    return several.join(tau, list(ranking.KEYS), "left").select(*ranking.KEYS, _r("tau"))
 
 
 def spearman_rank(spark, d):
