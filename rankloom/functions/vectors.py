@@ -20,8 +20,9 @@ def norm(v: Column) -> Column:
 
 def normalised(v: Column) -> Column:
     """Unit length; a zero vector stays zero."""
-    n = F.greatest(norm(v), F.lit(1e-12))
-    return F.transform(v, lambda x: x.cast("double") / n)
+    # the length is bound to a name of its own: inside the components' lambda it would be worked out once a component
+    lengths = F.array(F.greatest(norm(v), F.lit(1e-12)))
+    return F.get(F.transform(lengths, lambda n: F.transform(v, lambda x: x.cast("double") / n)), F.lit(0))
 
 
 def cut(v: Column, k: int) -> Column:
