@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from rankloom.operators.lineage import cut
+from rankloom.operators.lineage import cut, spread
 
-#: So many different terms of all queries at most are sent to every task; more are met by a shuffle.
+#: So many terms of all queries at most are sent to every task; more are met by a shuffle.
 BROADCAST_TERMS = 1 << 18
 #: Documents and queries that one block holds.
 DOCS, QUERIES = 2048, 256
+#: Scores that a task holds before it leaves out those that others of it beat.
+HELD = 1 << 19
 
 
 def _usable(items: DataFrame) -> DataFrame:
@@ -64,24 +66,31 @@ def dense_top(docs: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                d, q = (np.frombuffer(r[f"{p}_ids"], np.int64) for p in "dq")
-                ds, qs = (np.frombuffer(r[f"{p}_starts"], np.int64) for p in "dq")
-                dm, qm = (np.frombuffer(r[f"{p}_matrix"], np.float64).reshape(s[-1], -1) for p, s in (("d", ds), ("q", qs)))
+            for i in range(batch.num_rows):
+                # views of the batch: no block is copied
+                view = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind)
+                d, q = (view(f"{p}_ids", np.int64) for p in "dq")
+                ds, qs = (view(f"{p}_starts", np.int64) for p in "dq")
+                dm, qm = (view(f"{p}_matrix", np.float64).reshape(s[-1], -1) for p, s in (("d", ds), ("q", qs)))
                 score = qm @ dm.T
                 if len(dm) > len(d) or len(qm) > len(q):
                     score = np.add.reduceat(np.maximum.reduceat(score, ds[:-1], axis=1), qs[:-1], axis=0)
                 score = np.round(score, digits)
-                score[q[:, None] == d[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(d, score.shape), -score), axis=1)[:, :k]
-                top = np.take_along_axis(score, order, 1)
+                score[(q[:, None] == d[None, :]) | np.isnan(score)] = -np.inf
+                # what reaches a query's k-th score here, ties included; only that is sorted
+                least = np.partition(score, len(d) - k, axis=1)[:, len(d) - k, None] if len(d) > k else -np.inf
+                row, at = np.nonzero((score >= least) & (score > -np.inf))
+                order = np.lexsort((d[at], -score[row, at], row))
+                row, at = row[order], at[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                row, at = row[place < k], at[place < k]
+                top = score[row, at]
                 keep = np.isfinite(top)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.broadcast_to(q[:, None], top.shape)[keep]), pa.array(d[order][keep]), pa.array(top[keep])], names=["query_id", "doc_id", "score"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(q[row][keep]), pa.array(d[at][keep]), pa.array(top[keep])], names=["query_id", "doc_id", "score"])
 
     # a stated set of queries against all documents, block by block
-    blocks = _packed(_usable(docs), DOCS, "d").crossJoin(_packed(_usable(queries), QUERIES, "q"))
+    dealt = lambda items: spread(_usable(items), items.columns[0])
+    blocks = cut(_packed(dealt(docs), DOCS, "d")).crossJoin(cut(_packed(dealt(queries), QUERIES, "q")))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     rows = blocks.mapInArrow(run, "query_id long, doc_id long, score double")
     return rows.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
@@ -93,13 +102,36 @@ def terms(text, stop: tuple[str, ...] = ()):
     return F.filter(found, lambda t: ~t.isin(*stop)) if stop else found
 
 
-def _spread(docs: DataFrame) -> DataFrame:
-    """``docs`` over all cores where their files have fewer splits than there are cores: texts cost more to split than to move."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+def _best(scores: DataFrame, k: int) -> DataFrame:
+    """The rows of ``scores(query_id, doc_id, score)`` that can be among a query's first ``k``: the best ``k`` of each part of the rows."""
+    order = [("query_id", "ascending"), ("score", "descending"), ("doc_id", "ascending")]
 
+    def first(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(order)
+        of = rows.column("query_id").combine_chunks().dictionary_encode().indices.to_numpy()
+        start = np.flatnonzero(np.diff(of, prepend=-1))
+        return rows.filter(pa.array(np.arange(len(of)) - np.repeat(start, np.diff(np.append(start, len(of)))) < k))
 
-def _pruned(asked: DataFrame, postings: DataFrame, k: int, digits: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < HELD:
+                continue
+            rows = first(pa.Table.from_batches(held))
+            held, n = rows.to_batches(), rows.num_rows
+            if n > HELD // 2:
+                yield from held
+                held, n = [], 0
+        if n:
+            yield from first(pa.Table.from_batches(held)).to_batches()
+
+    kinds = ", ".join(f"{c} {scores.schema[c].dataType.simpleString()}" for c in scores.columns)
+    return scores.mapInArrow(run, kinds)
+
+
+def _pruned(asked: DataFrame, postings: DataFrame, k: int, digits: int, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(query_id, doc_id, w) of all terms of the documents that can be among a query's first ``k``; exact for those.
 
     A query's threshold is the k-th score of some documents, a lower bound of its k-th score of all: of the 4 k that do best
@@ -110,19 +142,19 @@ def _pruned(asked: DataFrame, postings: DataFrame, k: int, digits: int) -> DataF
     held = asked.withColumnRenamed("query_id", "query")
     best = Window.partitionBy("term").orderBy(F.col("w").desc(), "doc_id")
     champions = postings.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k)
-    sums = held.join(champions, "term").groupBy("query", "doc_id").agg(F.sum("w").alias("low"))
+    sums = champions.join(small(held), "term").groupBy("query", "doc_id").agg(F.sum("w").alias("low"))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("low").desc(), "doc_id"))
     likely = sums.withColumn("n", place).filter(F.col("n") <= 4 * k).select("query", "doc_id")
-    whole = likely.join(held, "query").join(postings, ["term", "doc_id"]).groupBy("query", "doc_id").agg(F.sum("w").alias("low"))
+    whole = likely.join(small(held), "query").join(postings, ["term", "doc_id"]).groupBy("query", "doc_id").agg(F.sum("w").alias("low"))
     floor = whole.withColumn("n", place).filter(F.col("n") == k).select("query", "low")
     largest = champions.filter("n = 1").select("term", F.col("w").alias("most"))
     # scores are rounded before they are ranked: what could round up to the threshold stays
     upto = F.sum("most").over(Window.partitionBy("query").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0))
     terms_ = held.join(largest, "term").join(floor, "query", "left").withColumn("optional", F.coalesce(upto * (1 + 1e-9) + 2 * 10.0**-digits < F.col("low"), F.lit(False)))
     terms_ = cut(terms_.select("query", "term", "optional"))
-    first = terms_.filter("NOT optional").join(postings, "term").select("query", "doc_id", "w")
+    first = postings.join(small(terms_.filter("NOT optional")), "term").select("query", "doc_id", "w")
     candidates = first.select("query", "doc_id").distinct()
-    later = candidates.join(terms_.filter("optional").select("query", "term"), "query").join(postings, ["term", "doc_id"]).select("query", "doc_id", "w")
+    later = candidates.join(small(terms_.filter("optional").select("query", "term")), "query").join(postings, ["term", "doc_id"]).select("query", "doc_id", "w")
     return first.unionByName(later).withColumnRenamed("query", "query_id")
 
 
@@ -137,24 +169,25 @@ def bm25_top(
     the postings of a query's common terms are only looked up for documents that can still be among its first ``k``, see
     ``_pruned``: the same results from fewer rows where queries are long and documents many.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text"), stop))).alias("term"))
-    wanted = cut(asked.select("term").distinct())
-    if wanted.count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
+    asked = cut(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text"), stop))).alias("term")))
+    few = asked.count() <= BROADCAST_TERMS
+    small = F.broadcast if few else lambda rows: rows
+    wanted = small(asked.select("term").distinct())
     sums = Observation()
-    split = _spread(docs.select("doc_id", "text")).select("doc_id", terms(F.col("text"), stop).alias("ts")).select("doc_id", "ts", F.size("ts").alias("n"))
+    # dealt by document, a document's words are counted and its scores added up where they are
+    split = spread(docs.select("doc_id", "text"), "doc_id").select("doc_id", terms(F.col("text"), stop).alias("ts")).select("doc_id", "ts", F.size("ts").alias("n"))
     split = split.observe(sums, F.count(F.lit(1)).alias("docs"), F.sum("n").alias("words"))
     tf = split.select("doc_id", "n", F.explode("ts").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "doc_id", "n").agg(F.count("*").alias("tf"))
     tf = cut(tf)
     count, mean = sums.get["docs"], (sums.get["words"] or 0) / max(sums.get["docs"], 1)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    df = small(tf.groupBy("term").agg(F.count("*").alias("df")))
     idf = F.log(1 + (F.lit(float(count)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.lit(mean)))
     postings = tf.join(df, "term").select("term", "doc_id", (idf * weight).alias("w"))
-    met = _pruned(asked, cut(postings), k, digits) if prune else asked.join(postings, "term")
+    met = _pruned(asked, cut(postings), k, digits, small) if prune else postings.join(small(asked), "term")
     scores = met.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), digits).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    top = scores.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
+    top = _best(scores, k).withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
     if not fill:
         return top
     # of the first 2 k documents at least k are none of a query's fewer than k hits
