@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.operators.lineage import spread
+
 #: Texts that a worker encodes at a time.
 BATCH = 256
 
@@ -96,15 +98,22 @@ def fit(docs: DataFrame, tokenizer: str, most: int, how: str = "truncate", templ
                         at = begins[start] if start else 0
                         # tokens of one character share its end: a cut inside it takes none of it
                         cut = lambda k: text[at : min(ends[start + k - 1], begins[start + k]) if start + k < n else len(text)] if k else ""
-                        k = longest(room, most, lambda k: asked(cut(k)))
+                        counts: dict[int, int] = {}  # each candidate is encoded once, the one kept too
+
+                        def count(k: int) -> int:
+                            if k not in counts:
+                                counts[k] = asked(cut(k))
+                            return counts[k]
+
+                        k = longest(room, most, count)
                         kept = cut(k)
-                        out.append((key, no, kept, n, len(t.encode(kept, add_special_tokens=False).ids), asked(kept)))
+                        out.append((key, no, kept, n, len(t.encode(kept, add_special_tokens=False).ids), count(k)))
                 names = ["doc_id", "part", "text", "tokens", "kept_tokens", "request_tokens"]
                 kinds = [part.schema.field(0).type, pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, part int, text string, tokens long, kept_tokens long, request_tokens long")
+    return spread(docs.select("doc_id", "text"), "doc_id").mapInArrow(run, f"doc_id {kind}, part int, text string, tokens long, kept_tokens long, request_tokens long")
 
 
 def census(fitted: DataFrame) -> DataFrame:
