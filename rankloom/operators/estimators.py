@@ -123,11 +123,16 @@ def balanced_groups(pools: DataFrame, window: int, windows: int, seed: str = "0"
         return F.transform(order, lambda x: x["d"])
 
     def deal(out, turn):
+        # each list is bound to a name of its own: inside a lambda over documents it would be worked out once a document
+        named = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
         begun = F.size(out) % F.col("w")
-        held = F.slice(out, F.size(out) - begun + 1, begun)
-        order = dealt(F.col("docs"), turn)
-        first = F.slice(F.filter(order, lambda d: ~F.array_contains(held, d)), F.lit(1), F.when(begun > 0, F.col("w") - begun).otherwise(0))
-        return F.concat(out, first, F.filter(order, lambda d: ~F.array_contains(first, d)))
+        missing = F.when(begun > 0, F.col("w") - begun).otherwise(0)
+
+        def rest(order):
+            begin = lambda held: F.slice(F.filter(order, lambda d: ~F.array_contains(held, d)), F.lit(1), missing)
+            return named(named(F.slice(out, F.size(out) - begun + 1, begun), begin), lambda first: F.concat(out, first, F.filter(order, lambda d: ~F.array_contains(first, d))))
+
+        return named(dealt(F.col("docs"), turn), rest)
 
     turns = F.sequence(F.lit(1), F.ceil(F.lit(windows) * F.col("w") / F.col("n")).cast("int"))
     rows = rows.withColumn("out", F.aggregate(turns, F.array().cast("array<string>"), deal))
