@@ -239,7 +239,7 @@ def insert(pairs: DataFrame, frozen: DataFrame, existing: DataFrame, l2: float =
 
     ``pairs`` and ``existing`` are (query_id, winner, loser, weight, soft_label); ``frozen(query_id, doc_id, theta)``
     are the fitted abilities, which nothing here changes. A document without one that meets one with is new; pairs of
-    two new documents tell nothing. Its ability is the likeliest under the fit's own ridge: l2 times the weight of all
+    two new documents tell nothing. A row of ``pairs`` may stand for several (``comparisons``), see ``judgements.summed``. Its ability is the likeliest under the fit's own ridge: l2 times the weight of all
     its query's comparisons. ``failed`` names what does not hold: ``connected`` (the fitted documents, linked by
     ``existing``, and the new one are one component: its opponents must stand in every component there was, so the
     stored labels suffice and no graph is walked again), ``opponents`` (``min_opponents`` distinct ones), ``information``
@@ -251,8 +251,9 @@ def insert(pairs: DataFrame, frozen: DataFrame, existing: DataFrame, l2: float =
         F.struct(F.col("loser").alias("doc_id"), F.col("winner").alias("other"), (1 - F.col("soft_label")).alias("y")),
     )
     known = frozen.select("query_id", "doc_id", F.col("theta").cast("double").alias("other_theta"))
-    both = pairs.select("query_id", "weight", F.inline(sides)).join(known.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    met = both.groupBy("query_id", "doc_id", "other").agg(F.sum("weight").cast("double").alias("w"), F.sum(F.col("weight") * F.col("y")).cast("double").alias("wy"), F.count("*").alias("c"))
+    times = F.col("comparisons") if "comparisons" in pairs.columns else F.lit(1)
+    both = pairs.select("query_id", "weight", times.cast("long").alias("times"), F.inline(sides)).join(known.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    met = both.groupBy("query_id", "doc_id", "other").agg(F.sum("weight").cast("double").alias("w"), F.sum(F.col("weight") * F.col("y")).cast("double").alias("wy"), F.sum("times").alias("c"))
 
     edges = existing.select("query_id", F.col("winner").alias("a"), F.col("loser").alias("b"))
     labels = components(edges, ["query_id"])

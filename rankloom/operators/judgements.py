@@ -30,6 +30,12 @@ def comparisons(placements: DataFrame) -> DataFrame:
     )
 
 
+def summed(pairs: DataFrame) -> DataFrame:
+    """(query_id, winner, loser, weight, soft_label, comparisons): comparisons of one pair of documents as one, with its weight and mean label."""
+    sums = pairs.groupBy("query_id", "winner", "loser").agg(F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.col("soft_label")).alias("wy"), F.count("*").alias("comparisons"))
+    return sums.select("query_id", "winner", "loser", "weight", F.try_divide("wy", "weight").alias("soft_label"), "comparisons")
+
+
 def count_gain(placements: DataFrame, criteria: list[str]) -> DataFrame:
     """(query_id, doc_id, windows, gain): passed criteria of all valid windows over criteria times windows."""
     passed = sum((F.col(c) for c in criteria[1:]), F.col(criteria[0]))
