@@ -103,7 +103,9 @@ def calibrate(
     """
     if mode not in ("auto", "tournament", "rubric_only"):
         raise ValueError(f"unknown mode {mode!r}")
-    rubric = cut(rubric.select("record_id", "query_id", "doc_id", "judge", "valid", "phase", *criteria))
+    whole, own, theirs = rubric, ["record_id", "query_id", "doc_id", "judge", "valid", "phase", *criteria], ["record_id", "query_id", "doc_id", "position", "score", "valid", "phase"]
+    # one table in both roles is worked out once
+    rubric = cut(whole.select(*dict.fromkeys(own + theirs)) if tournament is whole else whole.select(*own))
     asked = rubric.filter("valid").select("query_id").distinct()
     if asked.isEmpty():
         raise ValueError("no valid rubric window to calibrate")
@@ -113,7 +115,7 @@ def calibrate(
     if tournament is None:
         has = none = 0
     else:
-        tournament = cut(tournament.select("record_id", "query_id", "doc_id", "position", "score", "valid", "phase"))
+        tournament = rubric.select(*theirs) if tournament is whole else cut(tournament.select(*theirs))
         row = asked.join(tournament.select("query_id", F.lit(1).alias("t")).distinct(), "query_id", "left").agg(F.count("t").alias("has"), F.count_if(F.col("t").isNull()).alias("none")).first()
         has, none = row["has"], row["none"]
     if mode == "tournament" and not has:
