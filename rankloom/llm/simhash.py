@@ -109,7 +109,31 @@ def _order(star: int) -> int:
     return (star + 1) * 0x9E3779B97F4A7C15 % (1 << 64) - (1 << 63)
 
 
-def wide_links(nodes: DataFrame, distance: int, radius: int, size: int, star: int | None = None) -> DataFrame:
+class _Union:
+    """Sets of places that grow together; a set is named by its smallest place."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            x, y = self.root[a], self.root[b]
+            new = x != y
+            if not new.any():
+                return
+            a, b, x, y = a[new], b[new], x[new], y[new]
+            np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
+            while (up := self.root[self.root]).tobytes() != self.root.tobytes():
+                self.root = up
+
+
+#: Candidates of one node in one group up to which each is a row; pairs of nodes that both have more are known by their cluster.
+MANY = 32
+#: Pairs looked at together.
+AT_ONCE = 1 << 20
+
+
+def wide_links(nodes: DataFrame, distance: int, radius: int, size: int, star: int | None = None, many: int | None = None) -> DataFrame:
     """Pairs (a, b), a < b but for stars, of ``nodes(node, fp, part)`` whose fingerprints differ in ``distance`` bits or fewer.
 
     As ``links``, with balls of ``radius`` bits in the fewest segments of which one must differ in so few: distance 11
@@ -117,8 +141,11 @@ def wide_links(nodes: DataFrame, distance: int, radius: int, size: int, star: in
     looks up the rest of the ball in its own nodes, so that no ball is shuffled. Only nodes of different ``part`` are
     paired, and others are not even looked at: a dense group of one part costs no pairs. A pair is named by the first
     segment that finds it. With ``star`` (a number that sets the order) every node is paired with one other alone, the
-    first of all that stand first in a bucket it looks up. Groups follow ``size``, the number of nodes; what a lookup
-    finds by chance grows with the nodes over 2**21.
+    first of all that stand first in a bucket it looks up. With ``many`` there is a column ``heavy`` too: a pair of which
+    one node has at most ``many`` candidates in the group is a row (heavy false); all other pairs of the group are inside
+    clusters, and each node but the first of a cluster is a row with that first (heavy true). So rows follow the nodes,
+    and so does memory. Groups follow ``size``, the number of nodes; what a lookup finds by chance grows with the nodes
+    over 2**21.
     """
     count = max(2, -(-(distance + 1) // (radius + 1)))
     widths = [64 // count + (i < 64 % count) for i in range(count)]
@@ -145,18 +172,36 @@ def wide_links(nodes: DataFrame, distance: int, radius: int, size: int, star: in
         keys = low[own] * parts + part[own]
         best, rank = np.full(len(node), -1), turn.copy()
         found: list[tuple[np.ndarray, np.ndarray]] = []
+        met, clusters = np.zeros(len(node), np.int64), _Union(len(node))
 
         def pairs(mine: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
             size = end - begin
             hit = np.flatnonzero(size)
-            size, probe = size[hit], np.repeat(mine[hit], size[hit])
-            other = own[np.arange(len(probe)) + np.repeat(begin[hit] - np.cumsum(size) + size, size)]
+            mine, begin, size = mine[hit], begin[hit], size[hit]
+            upto = np.cumsum(size)
+            first = 0
+            while first < len(mine):
+                last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + AT_ONCE, "right")))
+                some(mine[first:last], begin[first:last], size[first:last])
+                first = last
+
+        def some(mine: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+            probe = np.repeat(mine, size)
+            other = own[np.arange(len(probe)) + np.repeat(begin - np.cumsum(size) + size, size)]
             off = fps[probe] ^ fps[other]
             near = (node[probe] < node[other]) & (np.bitwise_count(off) <= distance)
             for k in range(no):  # an earlier segment has found it
                 near &= np.bitwise_count(off >> np.uint64(places[k]) & np.uint64((1 << widths[k]) - 1)) > radius
-            if near.any():
-                found.append((node[probe[near]], node[other[near]]))
+            if not near.any():
+                return
+            a, b = probe[near], other[near]
+            if many is not None:
+                np.add.at(met, a, 1)
+                np.add.at(met, b, 1)
+                heavy = (met[a] > many) & (met[b] > many)  # and stay so
+                clusters.add(a[heavy], b[heavy])
+                a, b = a[~heavy], b[~heavy]
+            found.append((a, b))
 
         for n in range(radius + 1):
             mine = np.flatnonzero(off == n)
@@ -176,12 +221,19 @@ def wide_links(nodes: DataFrame, distance: int, radius: int, size: int, star: in
             some = np.flatnonzero(best >= 0)
             a, b = node[best[some]], node[some]
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "turn": pa.array(rank[some])})
-        a, b = (np.concatenate(x) for x in zip(*found)) if found else (node[:0], node[:0])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if many is None:
+            return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
+        heavy = (met[a] > many) & (met[b] > many)
+        clusters.add(a[heavy], b[heavy])
+        inner = np.flatnonzero(clusters.root != np.arange(len(node)))
+        a, b = np.concatenate((a[~heavy], clusters.root[inner])), np.concatenate((b[~heavy], inner))
+        mark = np.arange(len(a)) >= len(a) - len(inner)
+        return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64()), "heavy": pa.array(mark)})
 
     groups = nodes.select("node", "fp", "part", F.inline(F.concat(*tops))).groupBy("no", "value")
     if star is None:
-        return groups.applyInArrow(common.tidy(find), "a long, b long")
+        return groups.applyInArrow(common.tidy(find), "a long, b long" + ", heavy boolean" * (many is not None))
     return groups.applyInArrow(common.tidy(find), "a long, b long, turn long").groupBy("b").agg(F.min_by("a", "turn").alias("a")).select("a", "b")
 
 
@@ -242,18 +294,78 @@ BROADCAST = 1 << 19
 TURNS = 3
 
 
+def _sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the nodes of ``asked(node)``."""
+    wanted = common.cut(nodes.join(asked.select("node").distinct(), "node", "left_semi").select("node", "raw"))
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
+    texts = docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw")).join(few, "raw").groupBy("raw", "node").agg(F.min("text").alias("text"))
+    return texts.select("node", "text").mapInArrow(common.tidy(_shingles(width)), "node long, shingles binary")
+
+
 def _verified(docs: DataFrame, nodes: DataFrame, met: DataFrame, width: int, similarity: float, side: int) -> DataFrame:
     """The pairs of ``met(a, b)`` whose sets of shingles are similar. Sets travel once a cell of blocks of nodes, not once a pair."""
     cell = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
     pairs = common.cut(met.withColumn("cell", (cell("a") * side + cell("b")).cast("int")))
     asked = pairs.select(F.col("cell").alias("at"), F.col("a").alias("node")).unionByName(pairs.select(F.col("cell").alias("at"), F.col("b").alias("node"))).distinct()
-    wanted = common.cut(nodes.join(asked.select("node").distinct(), "node", "left_semi").select("node", "raw"))
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
-    texts = docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw")).join(few, "raw").groupBy("raw", "node").agg(F.min("text").alias("text"))
-    sets = asked.join(texts.select("node", "text").mapInArrow(common.tidy(_shingles(width)), "node long, shingles binary"), "node")
+    sets = asked.join(_sets(docs, nodes, asked, width), "node")
     return pairs.groupBy("cell").cogroup(sets.groupBy("at")).applyInArrow(common.tidy(_alike(similarity)), "a long, b long")
 
 
+#: Members of a cluster's block: a sixteenth of the cluster within these bounds, so that blocks fit a task.
+BLOCK = (256, 8192)
+
+
+def _joins(distance: int, similarity: float):
+    """The links of a unit (one block of a cluster, or two blocks against each other) that join what was not joined."""
+
+    def run(unit: pa.Table) -> pa.Table:
+        unit = unit.sort_by("node")
+        i, j = unit["i"][0].as_py(), unit["j"][0].as_py()
+        node, fps, at = unit["node"].to_numpy(), unit["fp"].to_numpy().view(np.uint64), unit["at"].to_numpy()
+        root = np.unique(unit["part"].to_numpy(), return_inverse=True)[1]
+        sets = [np.frombuffer(s, np.uint64) for s in unit["shingles"].to_pylist()]
+        size = np.array([len(s) for s in sets])
+        names, of = np.unique(np.concatenate(sets), return_inverse=True)
+        sets = np.split(of, np.cumsum(size)[:-1])
+        mark, out = np.zeros(len(names), bool), []
+        for a in np.flatnonzero(at == i).tolist():
+            near = (root != root[a]) & (np.bitwise_count(fps ^ fps[a]) <= distance) & (np.minimum(size, size[a]) >= similarity * np.maximum(size, size[a]))
+            near &= (at == j) if i != j else (np.arange(len(node)) > a)
+            others = np.flatnonzero(near)
+            if not len(others):
+                continue
+            mark[sets[a]] = True
+            upto = np.concatenate(([0], np.cumsum(mark[np.concatenate([sets[b] for b in others])])))
+            mark[sets[a]] = False
+            end = np.cumsum(size[others])
+            both = upto[end] - upto[end - size[others]]
+            for b in others[both >= similarity * (size[a] + size[others] - both)].tolist():
+                if root[b] != root[a]:
+                    root[root == root[b]] = root[a]
+                    out.append((node[a], node[b]))
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _within(docs: DataFrame, nodes: DataFrame, parted: DataFrame, met: DataFrame, width: int, distance: int, similarity: float) -> DataFrame:
+    """Verified links (a, b) inside the clusters that ``met(a, b)`` ties together, as many as join what their links join.
+
+    All members of a cluster meet, block against block, each with its set of shingles; pairs are compared in the task
+    and never rows. A task's memory follows its two blocks; the comparisons of a cluster of nodes that the rounds did
+    not join grow with the square of its members, dealt over the units.
+    """
+    reach = components(met).select("node", F.col("component_id").alias("cluster"))
+    few, most = BLOCK
+    sizes = reach.groupBy("cluster").agg(F.count("*").alias("n"))
+    sizes = sizes.select("cluster", F.ceil(F.col("n") / F.least(F.greatest(F.col("n") / 16, F.lit(few)), F.lit(most))).cast("int").alias("blocks"))
+    members = common.cut(parted.join(reach.join(sizes, "cluster"), "node").withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    rows = members.join(_sets(docs, nodes, members, width), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = rows.select("node", "fp", "part", "cluster", "shingles", "at", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
+    return units.groupBy("cluster", "i", "j").applyInArrow(common.tidy(_joins(distance, similarity)), "a long, b long")
+
+
 def _joined(parted: DataFrame, links_: DataFrame, star: int) -> DataFrame:
     """``parted(node, fp, part)`` with linked parts under one name where a few steps can give it.
 
@@ -281,7 +393,8 @@ def similar_copies(docs: DataFrame, width: int = 5, distance: int = 11, radius:
     Texts whose fingerprints differ in ``distance`` bits or fewer are linked if the Jaccard similarity of their sets of
     distinct shingles is ``similarity`` or more. Texts of equal words are one node, as are all without words. In TURNS
     rounds every node is verified against one other, the same for all of a dense group; what is linked then is one
-    part, and all pairs between different parts follow, so that the components are those of all links. ``raw`` is the text's
+    part, and all pairs between different parts follow, so that the components are those of all links: as rows where a
+    node has at most MANY candidates in a group, inside the tasks of its cluster where both have more. ``raw`` is the text's
     xxhash64, and rows of one ``root`` are one component, also where component_id is null because no doc_id in it is
     known, or where rows of one doc_id have different texts. Very long texts are read whole; repeated rows are kept; an
     empty table gives an empty result.
@@ -297,7 +410,11 @@ def similar_copies(docs: DataFrame, width: int = 5, distance: int = 11, radius:
         good = common.cut(_verified(docs, nodes, wide_links(parted, distance, radius, size, turn), width, similarity, side))
         stars = good if stars is None else stars.unionByName(good)
         parted = _joined(parted, good, turn)
-    rest = _verified(docs, nodes, wide_links(parted, distance, radius, size), width, similarity, side)
+    met = common.cut(wide_links(parted, distance, radius, size, many=MANY))
+    rest = _verified(docs, nodes, met.filter("NOT heavy").select("a", "b"), width, similarity, side)
+    heavy = met.filter("heavy").select("a", "b")
+    if not heavy.isEmpty():
+        rest = rest.unionByName(_within(docs, nodes, parted, heavy, width, distance, similarity))
     of_part = parted.select("node", "part")
     ends = stars.unionByName(rest).join(of_part.toDF("a", "x"), "a").join(of_part.toDF("b", "y"), "b").filter("x <> y")
     reach = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()).select(F.col("node").alias("part"), F.col("component_id").alias("root"))

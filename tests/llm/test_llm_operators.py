@@ -359,6 +359,35 @@ def test_dense_group_makes_few_pairs(spark):
     assert simhash.wide_links(nodes, 11, 3, 8).count() == 0 and simhash.wide_links(nodes.withColumn("part", F.col("node")), 11, 3, 8, star=0).count() <= 300
 
 
+def test_half_similar_group(spark, monkeypatch):
+    """Near copies of which each is similar to some others only: rows follow the copies, and components are those of all links."""
+    r = np.random.default_rng(3)
+    texts = []
+    for base in range(2):
+        words = [f"w{x}" for x in r.integers(0, 9999, 200)]
+        for i in range(120):
+            w = list(words)
+            for at in r.choice(200, int(r.integers(1, 9)), replace=False):
+                w[at] = f"new{at}{i}"
+            texts.append(w)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    prints = [brute_print(" ".join(w), 5) for w in texts]
+    near = [(a, b) for b in range(len(texts)) for a in range(b) if (prints[a] ^ prints[b]).bit_count() <= 11]
+    links = [(a, b) for a, b in near if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    nodes = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(prints)], "node long, fp long, part long")
+    met = simhash.wide_links(nodes, 11, 3, 8, many=4).collect()
+    assert len(met) <= 12 * 5 * len(texts) and len(met) < len(near) / 2 and 0 < len(links) < len(near)
+    light, heavy = [{(x.a, x.b) for x in met if x.heavy == h} for h in (False, True)]
+    joined = reach(list(heavy), range(len(texts)))
+    assert light <= set(near) and all((a, b) in light or joined[a] == joined[b] for a, b in near)
+    monkeypatch.setattr(simhash, "MANY", 4)
+    monkeypatch.setattr(simhash, "TURNS", 1)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    for block in ((16, 64), (256, 8192)):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        assert {x.doc_id: x.component_id for x in simhash.similar_copies(docs).collect()} == reach(links, range(len(texts)))
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (9, 9), (7, 8), (8, 7), (3, 10), (None, 4)] + [(100 + i, 101 + i) for i in range(40)]
     got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
