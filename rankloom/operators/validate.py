@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.operators.ranking import KEYS
@@ -32,18 +36,38 @@ def same_queries(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, QUERY, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, QUERY, "left_anti").withColumn("side", F.lit("right")))
 
 
+def _first(named: int):
+    """(code, n, ids) of a partition's cases: the sum of each code and its first ids, so that no code is gathered or sorted."""
+
+    def cases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, int] = {}
+        ids: dict[str, list[str]] = {}
+        for batch in batches:
+            for code in pc.unique(batch.column("code")).to_pylist():
+                mine = batch.filter(pc.equal(batch.column("code"), code))
+                sums[code] = sums.get(code, 0) + pc.sum(mine.column("n")).as_py()
+                some = pc.unique(mine.column("id"))
+                ids[code] = sorted({*ids.get(code, ()), *some.take(pc.bottom_k_unstable(some, named)).to_pylist()})[:named]
+        kinds = (pa.string(), pa.int64(), pa.list_(pa.string()))
+        columns = [pa.array(x, k) for x, k in zip((list(sums), list(sums.values()), list(ids.values())), kinds)]
+        yield pa.RecordBatch.from_arrays(columns, names=["code", "n", "ids"])
+
+    return cases
+
+
 def report(run: DataFrame, labels: DataFrame, pools: DataFrame, excluded: DataFrame, named: int = 5) -> DataFrame:
     """(code, n, examples) of everything that a data set's tables contradict each other in; codes without cases stay.
 
     Every document of a query says once, by flags, in which tables it stands, and every query likewise: the codes are
-    conditions on those flags, and all are counted in one pass, with the first ``named`` by name as examples.
+    conditions on those flags, and all are counted in one pass, with the first ``named`` by name as examples. Rows are
+    dealt by query, over all shuffle partitions, before any are aggregated: few tasks that make many rows do not hold them all.
     """
     doc = [*QUERY, "doc_id"]
     flag = lambda rows, name: rows.select(*doc, *[(F.lit(True) if n == name else F.lit(None).cast("boolean")).alias(n) for n in ("ranked", "labelled", "positive", "pooled", "excluded")])
     positive = labels.select(*doc, F.lit(None).cast("boolean").alias("ranked"), F.lit(True).alias("labelled"), (F.col("grade") > 0).alias("positive"), F.lit(None).cast("boolean").alias("pooled"), F.lit(None).cast("boolean").alias("excluded"))
     rows = flag(run, "ranked").unionByName(positive).unionByName(flag(pools, "pooled")).unionByName(flag(excluded, "excluded"))
     flags = ("ranked", "labelled", "positive", "pooled", "excluded")
-    docs = rows.groupBy(*doc).agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in flags], F.count_if((F.col("labelled") & F.col("positive"))).alias("positives"), F.count("pooled").alias("pools"))
+    docs = rows.repartition(int(run.sparkSession.conf.get("spark.sql.shuffle.partitions")), *QUERY).groupBy(*doc).agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in flags], F.count_if((F.col("labelled") & F.col("positive"))).alias("positives"), F.count("pooled").alias("pools"))
     name = F.concat_ws("/", *doc)
     cases = {
         "EXCLUDED_RELEVANT": ("positives", F.col("positive") & F.col("excluded")), "UNJUDGED_CANDIDATES": ("pools", F.col("pooled") & ~F.col("labelled")),
@@ -53,11 +77,8 @@ def report(run: DataFrame, labels: DataFrame, pools: DataFrame, excluded: DataFr
     of_query = {"QUERIES_WITHOUT_POOL": F.col("labelled") & ~F.col("pooled"), "UNKNOWN_QUERIES": F.col("ranked") & ~F.col("labelled")}
     found = docs.select(name.alias("id"), F.explode(F.filter(F.array(*[F.when(ok, F.struct(F.lit(code).alias("code"), (F.col(n) if n else F.lit(1)).cast("long").alias("n"))) for code, (n, ok) in cases.items()]), lambda x: x.isNotNull())).alias("c"))
     found = found.unionByName(queries.select(F.concat_ws("/", *QUERY).alias("id"), F.explode(F.filter(F.array(*[F.when(ok, F.struct(F.lit(code).alias("code"), F.lit(1).cast("long").alias("n"))) for code, ok in of_query.items()]), lambda x: x.isNotNull())).alias("c")))
-    counts = found.select("id", "c.code", "c.n")
-    first = Window.partitionBy("code", "slot").orderBy("id")
-    # the first names of each slot, then of the code: no code is gathered, only sorted in parts
-    some = counts.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("at", F.row_number().over(first))
-    sums = some.groupBy("code").agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.collect_set(F.when(F.col("at") <= named, F.col("id")))), 1, named).alias("examples"))
+    some = found.select("id", "c.code", "c.n").mapInArrow(_first(named), "code string, n long, ids array<string>")
+    sums = some.groupBy("code").agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, named).alias("examples"))
     every = run.sparkSession.createDataFrame([(c,) for c in (*cases, *of_query)], "code string")
     return every.join(F.broadcast(sums), "code", "left").select("code", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
 
