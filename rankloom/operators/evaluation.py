@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.operators import compare
+from rankloom.operators.lineage import cut
 
 CELL = ["system", "metric", "k"]
 
@@ -49,7 +50,8 @@ def comparison(values: DataFrame, baseline: str | None = None, alpha: float = 0.
     the values of ``flips`` (another metric, laid out alike) prefer the other system; null without it. Refused: fewer
     than two systems, a baseline that is none of them, and two systems without a query in common.
     """
-    rows = values.filter("value IS NOT NULL").select("system", "dataset", "query_id", F.col("value").cast("double").alias("value"))
+    # read by five jobs, and few beside the rankings that they come from
+    rows = cut(values.filter("value IS NOT NULL").select("system", "dataset", "query_id", F.col("value").cast("double").alias("value")))
     systems = [r.system for r in rows.select("system").distinct().orderBy("system").limit(10_000).collect()]
     if len(systems) < 2 or baseline is not None and baseline not in systems:
         raise ValueError(f"a comparison needs two systems{'' if baseline is None else f' and {baseline!r} among them'}; there are {systems[:10]}")
@@ -73,7 +75,7 @@ def comparison(values: DataFrame, baseline: str | None = None, alpha: float = 0.
     if flips is None:
         out = out.withColumn("sign_flips", F.lit(None).cast("long"))
     else:
-        other = flips.filter("value IS NOT NULL").select("dataset", "query_id", "system", "value")
+        other = cut(flips.filter("value IS NOT NULL").select("dataset", "query_id", "system", "value"))
         x, y = other.select("dataset", "query_id", F.col("system").alias("a"), F.col("value").alias("oa")), other.select("dataset", "query_id", F.col("system").alias("b"), F.col("value").alias("ob"))
         turned = both.join(x, ["dataset", "query_id", "a"]).join(y, ["dataset", "query_id", "b"]).filter(F.col("delta") * (F.col("ob") - F.col("oa")) < 0)
         out = out.join(turned.groupBy("a", "b").agg(F.count("*").alias("sign_flips")), ["a", "b"], "left").withColumn("sign_flips", F.coalesce("sign_flips", F.lit(0).cast("long")))
