@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import cut
+from rankloom.llm.common import cut, few
 
 
 def _mark(edges: DataFrame):
@@ -17,15 +17,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round lets every node hand its smallest neighbour to its larger neighbours, then to its smaller ones; a
     component shrinks to a star in a logarithmic number of rounds. All work is grouping and joining on nodes, so a hot
-    node is pre-aggregated by the grouping and split by Spark's skew join. Null ends, loops and repeated links count
+    node is pre-aggregated by the grouping and split by Spark's skew join; tasks follow the number of links. Null ends, loops and repeated links count
     for nothing; no links give no rows.
     """
     edges = cut(
         links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     )
     mark = _mark(edges)
+    edges = few(edges, mark["n"])
     while mark["n"]:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = few(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), mark["n"])
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -35,6 +36,7 @@ def components(links: DataFrame) -> DataFrame:
             .unionByName(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         )
         mark, last = _mark(edges), mark
+        edges = few(edges, mark["n"])
         if mark == last:
             break
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component_id")).distinct()

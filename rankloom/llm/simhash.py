@@ -129,6 +129,8 @@ class _Union:
 
 #: Candidates of one node in one group up to which each is a row; pairs of nodes that both have more are known by their cluster.
 MANY = 32
+#: Rows of nodes under their groups that one task deals.
+WIDE = 1 << 20
 #: Pairs looked at together.
 AT_ONCE = 1 << 20
 
@@ -231,7 +233,9 @@ def wide_links(nodes: DataFrame, distance: int, radius: int, size: int, star: in
         mark = np.arange(len(a)) >= len(a) - len(inner)
         return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64()), "heavy": pa.array(mark)})
 
-    groups = nodes.select("node", "fp", "part", F.inline(F.concat(*tops))).groupBy("no", "value")
+    tasks = -(-size * count * len(_masks(lead, radius)) // WIDE)
+    # two at least: a single partition would serve for the groups too
+    groups = nodes.select("node", "fp", "part").repartition(max(2, tasks)).select("*", F.inline(F.concat(*tops))).groupBy("no", "value")
     if star is None:
         return groups.applyInArrow(common.tidy(find), "a long, b long" + ", heavy boolean" * (many is not None))
     return groups.applyInArrow(common.tidy(find), "a long, b long, turn long").groupBy("b").agg(F.min_by("a", "turn").alias("a")).select("a", "b")
@@ -297,8 +301,10 @@ TURNS = 3
 def _sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame, width: int) -> DataFrame:
     """(node, shingles) of the nodes of ``asked(node)``."""
     wanted = common.cut(nodes.join(asked.select("node").distinct(), "node", "left_semi").select("node", "raw"))
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
-    texts = docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw")).join(few, "raw").groupBy("raw", "node").agg(F.min("text").alias("text"))
+    n = wanted.count()
+    wanted = common.few(wanted, n)
+    keys = F.broadcast(wanted) if n <= BROADCAST else wanted
+    texts = docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw")).join(keys, "raw").groupBy("raw", "node").agg(F.min("text").alias("text"))
     return texts.select("node", "text").mapInArrow(common.tidy(_shingles(width)), "node long, shingles binary")
 
 
@@ -306,6 +312,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, met: DataFrame, width: int, sim
     """The pairs of ``met(a, b)`` whose sets of shingles are similar. Sets travel once a cell of blocks of nodes, not once a pair."""
     cell = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
     pairs = common.cut(met.withColumn("cell", (cell("a") * side + cell("b")).cast("int")))
+    pairs = common.few(pairs, pairs.count())
     asked = pairs.select(F.col("cell").alias("at"), F.col("a").alias("node")).unionByName(pairs.select(F.col("cell").alias("at"), F.col("b").alias("node"))).distinct()
     sets = asked.join(_sets(docs, nodes, asked, width), "node")
     return pairs.groupBy("cell").cogroup(sets.groupBy("at")).applyInArrow(common.tidy(_alike(similarity)), "a long, b long")
@@ -357,17 +364,18 @@ def _within(docs: DataFrame, nodes: DataFrame, parted: DataFrame, met: DataFrame
     not join grow with the square of its members, dealt over the units.
     """
     reach = components(met).select("node", F.col("component_id").alias("cluster"))
-    few, most = BLOCK
+    least, most = BLOCK
     sizes = reach.groupBy("cluster").agg(F.count("*").alias("n"))
-    sizes = sizes.select("cluster", F.ceil(F.col("n") / F.least(F.greatest(F.col("n") / 16, F.lit(few)), F.lit(most))).cast("int").alias("blocks"))
+    sizes = sizes.select("cluster", F.ceil(F.col("n") / F.least(F.greatest(F.col("n") / 16, F.lit(least)), F.lit(most))).cast("int").alias("blocks"))
     members = common.cut(parted.join(reach.join(sizes, "cluster"), "node").withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    members = common.few(members, members.count())
     rows = members.join(_sets(docs, nodes, members, width), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = rows.select("node", "fp", "part", "cluster", "shingles", "at", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
     return units.groupBy("cluster", "i", "j").applyInArrow(common.tidy(_joins(distance, similarity)), "a long, b long")
 
 
-def _joined(parted: DataFrame, links_: DataFrame, star: int) -> DataFrame:
-    """``parted(node, fp, part)`` with linked parts under one name where a few steps can give it.
+def _joined(parted: DataFrame, links_: DataFrame, star: int, size: int) -> DataFrame:
+    """``parted(node, fp, part)``, ``size`` rows, with linked parts under one name where a few steps can give it.
 
     Every part points to the one of those linked with it whose first node in the round's order comes first, if before its
     own, and takes the name four pointers on: all that a star's centre is linked with take the centre's name. Parts that stay apart are only paired later; ``components`` has the last word. Rounds go through written tables, as
@@ -381,10 +389,10 @@ def _joined(parted: DataFrame, links_: DataFrame, star: int) -> DataFrame:
     to = ends.select(
         F.when(down, F.col("y")).otherwise(F.col("x")).alias("part"), F.when(down, F.col("x")).otherwise(F.col("y")).alias("to"), F.least("x_turn", "y_turn").alias("turn")
     )
-    step = common.written(to.groupBy("part").agg(F.min_by("to", "turn").alias("to")))
+    step = common.few(common.written(to.groupBy("part").agg(F.min_by("to", "turn").alias("to"))), size)
     for _ in range(2):
         step = step.join(step.toDF("to", "far"), "to", "left").select("part", F.coalesce("far", "to").alias("to"))
-    return common.written(parted.join(step, "part", "left").select("node", "fp", F.coalesce("to", "part").alias("part")))
+    return common.few(common.written(parted.join(step, "part", "left").select("node", "fp", F.coalesce("to", "part").alias("part"))), size)
 
 
 def similar_copies(docs: DataFrame, width: int = 5, distance: int = 11, radius: int = 3, similarity: float = 0.8) -> DataFrame:
@@ -405,16 +413,20 @@ def similar_copies(docs: DataFrame, width: int = 5, distance: int = 11, radius:
     of = common.cut(docs.select("doc_id", "text", raw).mapInArrow(common.tidy(_nodes(width)), "doc_id long, raw long, fp long, node long"))
     nodes = common.cut(of.groupBy("node").agg(F.min("fp").alias("fp"), F.min("raw").alias("raw"), F.min("doc_id").alias("doc_id")))
     size = nodes.count()
+    nodes = common.few(nodes, size)
     parted, stars = nodes.select("node", "fp", F.col("node").alias("part")), None
     for turn in range(TURNS):
-        good = common.cut(_verified(docs, nodes, wide_links(parted, distance, radius, size, turn), width, similarity, side))
+        good = common.few(common.cut(_verified(docs, nodes, wide_links(parted, distance, radius, size, turn), width, similarity, side)), size)
         stars = good if stars is None else stars.unionByName(good)
-        parted = _joined(parted, good, turn)
+        parted = _joined(parted, good, turn, size)
     met = common.cut(wide_links(parted, distance, radius, size, many=MANY))
+    met = common.few(met, met.count())
     rest = _verified(docs, nodes, met.filter("NOT heavy").select("a", "b"), width, similarity, side)
     heavy = met.filter("heavy").select("a", "b")
     if not heavy.isEmpty():
         rest = rest.unionByName(_within(docs, nodes, parted, heavy, width, distance, similarity))
+    rest = common.cut(rest)
+    rest = common.few(rest, rest.count())
     of_part = parted.select("node", "part")
     ends = stars.unionByName(rest).join(of_part.toDF("a", "x"), "a").join(of_part.toDF("b", "y"), "b").filter("x <> y")
     reach = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()).select(F.col("node").alias("part"), F.col("component_id").alias("root"))

@@ -398,6 +398,21 @@ def test_components(spark):
 # ---- 5: url filters
 
 
+def test_few_links_make_few_tasks(spark):
+    """Partitions follow the links, not the session's number: every task leaves files of shuffles, checkpoints and logs."""
+    keep = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keep}
+    try:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+        found = components.components(spark.range(0, 300, 1, 4).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+        assert found.rdd.getNumPartitions() <= 4
+        assert found.count() == 301 and {x["component_id"] for x in found.collect()} == {0}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_urls(spark):
     urls_ = [None, "", "nothing", "http://www.EXAMPLE.com/en/x?y", "http://a.www.example.com/en/", "https://example.com/en/#f", "https://example.com/english", "http://net/es/", "http://x.net/fr/a", "http://xnet/fr/", "http://b.com", "http://b.com?x", "ftp://q.org/a", "://com/", "http://www.example.com/en/x?y"]
     pages = spark.createDataFrame([(i, u, "h", "c") for i, u in enumerate(urls_)] + [(3, urls_[3], None, None)], "page_id long, url string, host string, rule string")
