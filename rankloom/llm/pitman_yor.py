@@ -1,6 +1,7 @@
 """Language-model scoring by a hierarchical Pitman-Yor model of words and their spelling.
 
-A word restaurant seats all training tokens. Its parent spells words byte by byte, each byte in the restaurant of the
+A restaurant for each training word seats the tokens that follow it (texts begin after the end token). Their common parent
+is the word restaurant, whose customers are their tables. Its parent spells words byte by byte, each byte in the restaurant of the
 three bytes before it, whose parents are the restaurants of two, one and no bytes before it; the root's parent is
 uniform. Restaurants of one shorter context share their parent. A table of a restaurant is a customer of its parent.
 """
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from rankloom.llm import common
 
-#: Discount and strength of the word restaurant and of the spelling restaurants.
-WORD, SPELL = (0.6, 10.0), (0.5, 2.0)
+#: Discount and strength of the restaurants of a word before, of the word restaurant and of the spelling restaurants.
+NEXT, WORD, SPELL = (0.8, 2.0), (0.6, 10.0), (0.5, 2.0)
 #: Gibbs sweeps, and how many of the last count for the averages.
 SWEEPS, KEPT, SEED = 4, 2, 3
 #: Bytes of context, bits of a byte's class in a context, and symbols (bytes and the end of a word).
@@ -49,7 +50,7 @@ def _stirling(discount: float) -> np.ndarray:
     return s
 
 
-_TABLES = {d: _stirling(d) for d in (WORD[0], SPELL[0])}
+_TABLES = {d: _stirling(d) for d in (NEXT[0], WORD[0], SPELL[0])}
 
 
 def _uniform(keys: np.ndarray, salt: int) -> np.ndarray:
@@ -234,6 +235,38 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _gram(before: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """One key of a word and the word before it."""
+    return common.mix(before * np.uint64(0x9E3779B97F4A7C15) + h)
+
+
+def _in_order(h: np.ndarray, row: np.ndarray, size: int):
+    """All tokens of ``size`` texts with the end tokens in their places: (row, hash, hash of the token before)."""
+    rows = np.concatenate((row, np.arange(size)))
+    order = np.argsort(rows, kind="stable")  # the end comes last in its text
+    rows, all_ = rows[order], np.concatenate((h, np.full(size, _EMPTY, np.uint64)))[order]
+    before = np.roll(all_, 1)
+    before[np.flatnonzero(np.diff(rows, prepend=-1))] = _EMPTY
+    return rows, all_, before
+
+
+def _grams(table: pa.Table) -> pa.Table:
+    """(block, u, w, n): the distinct pairs of a token and the one before in a block, and their number in training texts."""
+    found: list[tuple] = []
+    for batch in table.select(["held_out", "text"]).to_batches():
+        train = ~np.array(batch.column(0).to_pylist(), bool)
+        for first, size, raw, offsets in common.slices(batch):
+            _, _, _, row, h = _tokens(raw, offsets)
+            rows, h, u = _in_order(h, row, size)
+            _, at, inverse = np.unique(_gram(u, h), return_index=True, return_inverse=True)
+            found.append((u[at], h[at], np.bincount(inverse, train[first + rows], len(at))))
+    u, w, n = (np.concatenate(x) for x in zip(*found))
+    _, at, inverse = np.unique(_gram(u, w), return_index=True, return_inverse=True)
+    block = np.full(len(at), table["block"][0].as_py(), np.int32)
+    n = np.bincount(inverse, n, len(at)).astype(np.int64)
+    return pa.table([pa.array(block), pa.array(u[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(n)], names=["block", "u", "h", "n"])
+
+
 def _asked(table: pa.Table) -> pa.Table:
     """(block, h): the distinct words of a block of documents."""
     seen = [np.array([_EMPTY], np.uint64)]
@@ -248,7 +281,7 @@ def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     Learns from all documents whose crc32(doc_id as text) mod 7 is not 2. ``score`` is the log10 probability of the
-    text's words and its end, each the predictive probability averaged over the kept sweeps; as for ``base_score``
+    text's words and its end, each the predictive probability after the word before it, averaged over the kept sweeps; as for ``base_score``
     (single words, one added to every count), all words that no training document has are one event, here of the
     chance of a new table times that of a spelling that is no known word. A null or empty text is its end token alone, a null doc_id counts for training; repeated rows
     count and are scored each; without training rows every word is unknown. An empty table gives an empty result. A text
@@ -256,8 +289,9 @@ def score(docs: DataFrame) -> DataFrame:
 
     Words are counted over the whole corpus; what a task sends is one row a distinct word and flush. The spelling's
     customers are summed by (context, symbol), at most 32**ORDER x SYMBOLS of them, and seated on the driver; the word
-    restaurant is seated where its words are. Documents are dealt into blocks by doc_id; a block asks for its
-    distinct words' probabilities, so hot words cost one row a block.
+    restaurant is seated where its words are. A pair of neighbouring words is a row, counted and seated by Spark's
+    joins and grouping; those met once have one table and stay out of the sweeps. Documents are dealt into blocks by
+    doc_id; a block asks for its distinct words and pairs, so hot ones cost one row a block.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -267,10 +301,28 @@ def score(docs: DataFrame) -> DataFrame:
     total = words.agg(F.sum("c"), F.count("*")).first()
     n, types = int(total[0] or 0), int(total[1])
 
+    def named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in _pieces(frames):
+            yield f.assign(h=_words(f)[2].view(np.int64))
+
+    words = common.cut(words.mapInPandas(named, "word string, c long, h long"))
+    blocks = common.parts(docs)
+    texts = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    met = texts.groupBy("block").applyInArrow(_grams, "block int, u long, h long, n long")
+    grams = common.cut(met.groupBy("u", "h").agg(F.sum("n").alias("c")).filter("c > 0"))
+    # a dish of one customer has one table in every sweep
+    once = grams.filter("c = 1").groupBy("h").agg(F.count("*").alias("t"))
+    contexts = common.cut(grams.groupBy("u").agg(F.sum("c").alias("all"), F.sum((F.col("c") == 1).cast("long")).alias("ones")))
+    seats = grams.filter("c > 1").withColumn("t", F.lit(1).cast("long"))
+
     spelling, opened = Spelling(), float(types)
-    models = []
+    discount, strength = WORD
+    chances, shares, dishes, unknown = [], [], [], []
     for s in range(SWEEPS):
         table = sc.broadcast(spelling.deepest)
+        eaten = seats.select("h", "t").unionByName(once).groupBy("h").agg(F.sum("t").alias("m"))
+        fed = common.cut(words.join(eaten, "h").select("word", "h", "m"))
+        seated = int(fed.agg(F.sum("m")).first()[0] or 0)
 
         def customers(frames: Iterator[pd.DataFrame], table=table, opened=opened, s=s) -> Iterator[pd.DataFrame]:
             sums: dict = {}
@@ -279,7 +331,7 @@ def score(docs: DataFrame) -> DataFrame:
                 raw, offsets, h = _words(f)
                 chance = _chance(table.value.dense(), raw, offsets)
                 spelt += chance.sum()
-                tables = seat(f["c"].to_numpy(), _opens(opened, chance), WORD[0], h, s)
+                tables = seat(f["m"].to_numpy(), _opens(opened, chance), WORD[0], h, s)
                 slot, symbol, word = _spelt(raw, offsets)
                 at, inverse = np.unique(slot * SYMBOLS + symbol, return_inverse=True)
                 sums.setdefault("k", []).append(at)
@@ -289,60 +341,93 @@ def score(docs: DataFrame) -> DataFrame:
                 at, inverse = np.unique(np.concatenate(sums["k"]), return_inverse=True)
                 yield pd.DataFrame({"at": at, "n": np.bincount(inverse, np.concatenate(sums["n"]), len(at)).astype(np.int64)})
 
-        seats = words.mapInPandas(customers, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas().sort_values("at")
-        at, count = seats["at"].to_numpy(np.int64), seats["n"].to_numpy(np.int64)
+        sent = fed.mapInPandas(customers, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas().sort_values("at")
+        at, count = sent["at"].to_numpy(np.int64), sent["n"].to_numpy(np.int64)
         novel = max(1 - count[at < 0].sum() / UNIT, 1e-9)  # chance that a spelling is no known word
         at, count = at[at >= 0], count[at >= 0]
-        models.append((table, opened, novel))
-        opened = float(count[at % SYMBOLS == END].sum())  # every table spells one word to its end
+        before, opened = opened, float(count[at % SYMBOLS == END].sum())  # every table spells one word to its end
         if len(at):
             spelling.sweep(at // SYMBOLS, at % SYMBOLS, count, s)
-    kept = models[-KEPT:]
-    after = [o for _, o, _ in models[1:]] + [opened]
-    # tables in all after each kept sweep, and the spelling that the sweep was seated under
-    used = [(t, o, a, len(models) - KEPT + i) for i, ((t, o, _), a) in enumerate(zip(kept, after[-KEPT:]))]
-    discount, strength = WORD
-    unknown = float(np.log10(np.mean([(strength + discount * a) * x for (_, _, x), a in zip(kept, after[-KEPT:])]) / (strength + n)))
 
-    def known(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in _pieces(frames):
-            raw, offsets, h = _words(f)
-            c, p = f["c"].to_numpy(), np.zeros(len(f))
-            for table, opened, now, s in used:
+        def known(frames: Iterator[pd.DataFrame], table=table, before=before, now=opened, seated=seated, s=s) -> Iterator[pd.DataFrame]:
+            for f in _pieces(frames):
+                raw, offsets, h = _words(f)
+                m = f["m"].to_numpy()
                 chance = _chance(table.value.dense(), raw, offsets)
-                tables = seat(c, _opens(opened, chance), discount, h, s)
-                p += (c - discount * tables + (strength + discount * now) * chance) / (strength + n)
-            yield pd.DataFrame({"h": h.view(np.int64), "c": c, "p": np.log10(p / len(used))})
+                tables = seat(m, _opens(before, chance), discount, h, s)
+                yield pd.DataFrame({"h": h.view(np.int64), "p": (m - discount * tables + (strength + discount * now) * chance) / (strength + seated)})
+
+        chance = common.cut(fed.mapInPandas(known, "h long, p double"))
+        held = seats.groupBy("u").agg(F.sum("t").alias("t"))
+        share = contexts.join(held, "u", "left").select("u", "all", (F.col("ones") + F.coalesce("t", F.lit(0))).alias("opened"))
+        if s >= SWEEPS - KEPT:
+            chances.append(chance.toDF("h", f"p{len(chances)}"))
+            shares.append(share.select(F.col("u").alias("h"), ((NEXT[1] + NEXT[0] * F.col("opened")) / (NEXT[1] + F.col("all"))).alias(f"b{len(shares)}")))
+            dishes.append(seats.select("u", "h", F.col("t").alias(f"t{len(dishes)}")))
+            unknown.append((strength + discount * opened) * novel / (strength + seated))
+        if s + 1 < SWEEPS:
+
+            def reseated(frames: Iterator[pd.DataFrame], s=s) -> Iterator[pd.DataFrame]:
+                for f in _pieces(frames):
+                    c, keys = f["c"].to_numpy(), _gram(f["u"].to_numpy().view(np.uint64), f["h"].to_numpy().view(np.uint64))
+                    tables = seat(c, (NEXT[1] + NEXT[0] * f["opened"].to_numpy()) * f["p"].to_numpy(), NEXT[0], keys, 100 + s)
+                    yield pd.DataFrame({"u": f["u"], "h": f["h"], "c": c, "t": tables})
+
+            seats = common.cut(seats.join(chance, "h").join(share, "u").select("u", "h", "c", "opened", "p").mapInPandas(reseated, "u long, h long, c long, t long"))
+
+    some = grams.join(contexts.select("u", "all"), "u")
+    for dish in dishes:
+        some = some.join(dish, ["u", "h"], "left")
+    extra = [((F.col("c") - NEXT[0] * F.coalesce(f"t{k}", F.lit(1))) / (NEXT[1] + F.col("all"))).alias(f"p{k}") for k in range(KEPT)]
+    table_of = words.select("h", "c")
+    for k in range(KEPT):
+        table_of = table_of.join(chances[k], "h").join(shares[k], "h", "left")
 
     def scored(docs: pa.Table, found: pa.Table) -> pa.Table:
-        h = found["h"].to_numpy().view(np.uint64)
+        pair = np.array(found["pair"])
+        after, h, c = (np.array(found[x].fill_null(0)) for x in ("u", "h", "c"))
+        p, b = (np.stack([np.array(found[f"{x}{k}"].fill_null(1.0)) for k in range(KEPT)]) for x in "pb")
+        grams = _gram(after[pair].view(np.uint64), h[pair].view(np.uint64))
+        order = np.argsort(grams)
+        grams, extra = grams[order], p[:, pair][:, order]
+        h, c, p, b = h[~pair].view(np.uint64), c[~pair], p[:, ~pair], b[:, ~pair]
         order = np.argsort(h)
-        h, c, p = h[order], found["c"].to_numpy()[order], found["p"].to_numpy()[order]
-        base = np.log10((c + 1) / (n + types + 1))
+        h, c, p, b = h[order], c[order], p[:, order], b[:, order]
+        none = np.log10(1 / (n + types + 1))
+
+        def find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if not len(keys):
+                return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+            spot = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            return spot, keys[spot] == asked
+
         columns: list[list] = [[], [], [], []]
         for batch in docs.to_batches():
             for _, size, raw, offsets in common.slices(batch):
                 _, _, _, row, mine = _tokens(raw, offsets)
-                # the end token is looked up as an empty word
-                everyone = np.concatenate((mine, np.full(size, _EMPTY, np.uint64)))
-                row_of = np.concatenate((row, np.arange(size)))
-                spot = np.minimum(np.searchsorted(h, everyone), max(len(h) - 1, 0))
-                hit = (h[spot] == everyone) if len(h) else np.zeros(len(everyone), bool)
-                b = np.where(hit, base[spot] if len(h) else 0, np.log10(1 / (n + types + 1)))
-                q = np.where(hit, p[spot] if len(h) else 0, unknown)
+                row_of, everyone, u = _in_order(mine, row, size)
+                spot, hit = find(h, everyone)
+                lone = np.full(len(everyone), none)
+                lone[hit] = np.log10((c[spot[hit]] + 1) / (n + types + 1))
+                q = np.repeat(np.array(unknown)[:, None], len(everyone), 1)
+                q[:, hit] = p[:, spot[hit]]
+                spot, has = find(h, u)
+                q[:, has] *= b[:, spot[has]]
+                spot, has = find(grams, _gram(u, everyone))
+                q[:, has] += extra[:, spot[has]]
                 columns[0] += np.bincount(row_of, minlength=size).tolist()
                 columns[1] += np.bincount(row_of, hit, size).astype(np.int64).tolist()
-                columns[2] += np.bincount(row_of, b, size).tolist()
-                columns[3] += np.bincount(row_of, q, size).tolist()
+                columns[2] += np.bincount(row_of, lone, size).tolist()
+                columns[3] += np.bincount(row_of, np.log10(q.mean(0)), size).tolist()
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         out = [pa.array(x, k) for x, k in zip(columns, kinds)]
         train = pa.array(np.full(docs.num_rows, n, np.int64))
         return pa.table([docs["doc_id"], docs["held_out"], out[0], out[1], train, out[2], out[3]], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    blocks = common.parts(docs)
-    texts = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     asked = texts.groupBy("block").applyInArrow(_asked, "block int, h long")
-    answers = asked.join(words.mapInPandas(known, "h long, c long, p double"), "h")
+    answers = asked.join(table_of, "h").withColumn("pair", F.lit(False))
+    pairs = met.select("block", "u", "h").join(some.select("u", "h", *extra), ["u", "h"]).withColumn("pair", F.lit(True))
+    answers = answers.unionByName(pairs, allowMissingColumns=True)
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

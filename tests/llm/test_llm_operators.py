@@ -566,6 +566,21 @@ def test_pitman_yor_beats_its_base(spark):
     assert total[1] > total[0]
 
 
+def test_pitman_yor_knows_the_order_of_words(spark):
+    """Held-out texts score higher than the same words in another order."""
+    r = random.Random(3)
+    chain = [f"w{k}" for k in range(40)]
+    texts = {i: " ".join(chain[(i + k) % 40] if r.random() < 0.9 else r.choice(chain) for k in range(30)) for i in range(400)}
+    held = [i for i in texts if zlib.crc32(str(i).encode()) % 7 == 2]
+    for i in held:  # the other order is held out too
+        j = next(k for k in range(1000 + 20 * i, 9999999) if zlib.crc32(str(k).encode()) % 7 == 2)
+        texts[j] = " ".join(r.sample(w := texts[i].split(), len(w)))
+    got = {x.doc_id: x for x in pitman_yor.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    mixed = [x.score for i, x in got.items() if i >= 1000]
+    assert len(mixed) == len(held) and all(got[i].held_out for i in held)
+    assert sum(got[i].score for i in held) / len(held) > sum(mixed) / len(mixed) + 5
+
+
 def test_seating_follows_its_distribution():
     keys = np.arange(40000, dtype=np.uint64)
     d, new = pitman_yor.SPELL[0], 1.7
