@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import os
 import pathlib
 import random
 import tempfile
@@ -587,20 +588,22 @@ def test_pitman_yor_sends_pairs_packed(spark):
     """What is shuffled stays below a few bytes a token, though hardly a pair of words is met twice."""
     r = random.Random(5)
     docs = spark.createDataFrame([(i, " ".join(f"w{r.randrange(4000)}" for _ in range(1000))) for i in range(300)], "doc_id long, text string")
-    root = spark.conf.get("spark.local.dir", tempfile.gettempdir())
+    root = os.environ.get("SPARK_LOCAL_DIRS") or spark.conf.get("spark.local.dir", tempfile.gettempdir())
     shuffles = lambda: {p: p.stat().st_size for p in pathlib.Path(root).glob("**/blockmgr-*/*/shuffle_*.data")}
     before = shuffles()
     assert pitman_yor.score(docs).count() == 300
-    assert sum(n for p, n in shuffles().items() if p not in before) < 10 * 300_000
+    assert 0 < sum(n for p, n in shuffles().items() if p not in before) < 10 * 300_000
 
 
-def test_pitman_yor_scores_alike_in_any_buckets(docs, texts, monkeypatch):
+def test_pitman_yor_scores_alike_in_any_buckets(spark, monkeypatch):
     """Neither the number of buckets nor words too frequent for one change a result."""
-    want = sorted(map(tuple, pitman_yor.score(docs).collect()), key=repr)
-    assert want
-    monkeypatch.setattr(pitman_yor, "BUCKET", sum(len((t or "").encode()) for _, t in texts) // 12)
-    got = sorted(map(tuple, pitman_yor.score(docs).collect()), key=repr)
-    assert [x[:5] for x in got] == [x[:5] for x in want]
+    r = random.Random(7)
+    texts = [" ".join(r.choice(("the", "the", "of", f"w{r.randrange(60)}")) for _ in range(50)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, pitman_yor.score(docs).collect()))
+    monkeypatch.setattr(pitman_yor, "BUCKET", sum(map(len, texts)) // 6)  # half of all words are more than a bucket's share
+    got = sorted(map(tuple, pitman_yor.score(docs).collect()))
+    assert len(got) == 60 and [x[:5] for x in got] == [x[:5] for x in want]
     assert np.allclose([x[5:] for x in got], [x[5:] for x in want], rtol=1e-7, atol=1e-7)
 
 
