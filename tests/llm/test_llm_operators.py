@@ -146,6 +146,28 @@ def test_hot_anchor_is_split(spark):
     assert 0 < split < 30 and named < len(rows) * 20  # the split anchors' contexts do not travel
 
 
+def test_copies_send_little_for_each_byte(spark):
+    """What is shuffled stays well below the bytes of text times two, though every stretch is another document's too."""
+    r = random.Random(11)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(r.choice(words) for _ in range(500)) for _ in range(300)]
+    rows = [(i + 300 * k, t) for k in range(4) for i, t in enumerate(texts)]
+    root = os.environ.get("SPARK_LOCAL_DIRS") or spark.conf.get("spark.local.dir", tempfile.gettempdir())
+    shuffles = lambda: {p: p.stat().st_size for p in pathlib.Path(root).glob("**/blockmgr-*/*/shuffle_*.data")}
+    before = shuffles()
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), want=("size", "n_removed")).collect()
+    assert all(x.n_removed == (x.size if x.doc_id >= 300 else 0) for x in got) and len(got) == len(rows)
+    sent = sum(n for p, n in shuffles().items() if p not in before) / sum(x.size for x in got)
+    assert 0 < sent < 1.9, sent
+
+
+def test_spans_that_overlap_or_touch_are_one():
+    row, first, end = np.array([1, 0, 0, 0, 1, 0]), np.array([5, 0, 4, 30, 5, 12]), np.array([9, 10, 6, 40, 7, 30])
+    got = [x.tolist() for x in repeats._joined(row, first, end)]
+    assert got == [[0, 0, 1], [0, 12, 5], [10, 40, 9]]
+    assert [len(x) for x in repeats._joined(*[row[:0]] * 3)] == [0, 0, 0]
+
+
 def test_passages_in_very_long_texts(spark):
     """Texts beyond a slice and a piece, with repeats across their edges."""
     r = random.Random(3)
