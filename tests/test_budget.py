@@ -84,3 +84,49 @@ def test_search_counts_few_candidates():
 
     assert budget.longest(10_000, 9_000, count) == 3_000 and len(asked) < 40
     assert budget.longest(0, 5, count) == 0 and budget.longest(5, 5, lambda k: 99) == 0
+
+
+ODD = [" ", " ", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "\u2009", "\x1c", "\x1f", "\x85", "\u200b", "\u180e", "'", "'s", "'ll", "a", "word", "Unfortunately", "12", "!", "...", "é", "日本", "😀", "e\u0301", "<|endoftext|>", "<|endo", "text|>", "&", "x" * 70]
+
+
+def test_words_alone_count_as_in_their_text(monkeypatch):
+    """Counts and places of tokens from words encoded one by one equal the library's over the whole text."""
+    t, r = Tokenizer.from_file(PATHS[0]), random.Random(5)
+    words = budget.Words(t)
+    monkeypatch.setattr(budget, "REMEMBERED", 300)
+    for _ in range(5000):
+        text = "".join(r.choice(ODD) for _ in range(r.randint(0, 25)))
+        whole = t.encode(text, add_special_tokens=False)
+        n, place = words.tokens(text)
+        assert n == words.count(text) == len(whole.ids) and [place(i) for i in range(n)] == whole.offsets, text
+
+
+def test_only_byte_level_models_are_read_word_by_word():
+    assert [budget.separable(open(path, encoding="utf-8").read()) for path in PATHS] == [True, False]
+
+
+class Counted:
+    """A tokenizer that counts the characters that it is given."""
+
+    def __init__(self, path):
+        self.tokenizer, self.read = Tokenizer.from_file(path), 0
+
+    def encode(self, text, **kw):
+        self.read += len(text)
+        return self.tokenizer.encode(text, **kw)
+
+    def encode_batch_fast(self, texts, **kw):
+        self.read += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **kw)
+
+
+@pytest.mark.parametrize("how, size, overlap", [("truncate", 0, 0)])
+def test_a_budget_encodes_each_word_once(how, size, overlap):
+    """A text is not encoded again whole, in its frame and for each candidate: less is read than the texts hold."""
+    r, t = random.Random(3), Counted(PATHS[0])
+    vocabulary = [f"{r.choice('abc')}{r.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(3000)) for _ in range(20)]
+    words = budget.Words(t)
+    parts = [x for text in texts for x in budget.parts(words, text, 512, how, FRAME, False, size, overlap)]
+    assert len(parts) >= 20 and all(x[-1] <= 512 for x in parts)
+    assert t.read < sum(map(len, texts)) / 3
