@@ -120,7 +120,7 @@ class Counted:
         return self.tokenizer.encode_batch_fast(texts, **kw)
 
 
-@pytest.mark.parametrize("how, size, overlap", [("truncate", 0, 0)])
+@pytest.mark.parametrize("how, size, overlap", [("truncate", 0, 0), ("chunk", 400, 50)])
 def test_a_budget_encodes_each_word_once(how, size, overlap):
     """A text is not encoded again whole, in its frame and for each candidate: less is read than the texts hold."""
     r, t = random.Random(3), Counted(PATHS[0])
