@@ -130,3 +130,11 @@ def test_a_budget_encodes_each_word_once(how, size, overlap):
     parts = [x for text in texts for x in budget.parts(words, text, 512, how, FRAME, False, size, overlap)]
     assert len(parts) >= 20 and all(x[-1] <= 512 for x in parts)
     assert t.read < sum(map(len, texts)) / 3
+
+
+def test_census_of_words_and_of_whole_texts_agree(spark, monkeypatch):
+    frame = spark.createDataFrame(texts(), "doc_id long, text string").dropDuplicates(["doc_id"])
+    assert budget.separable(open(PATHS[0], encoding="utf-8").read())
+    words = budget.census(budget.fit(frame, PATHS[0], 30, template=FRAME)).first()
+    monkeypatch.setattr(budget, "separable", lambda source: False)
+    assert words == budget.census(budget.fit(frame, PATHS[0], 30, template=FRAME)).first() and words.cut > 0
